@@ -1,5 +1,423 @@
-"""Placeholder for the join until its own commit."""
+"""Exact set-similarity self-join on word shingles, heavy and light sets apart.
 
+A document's set holds its distinct 5-word shingles as 64-bit hashes (a text of
+1 to 4 words: that sequence as one; an empty one: nothing). Two documents link
+when 100 * |A & B| >= 75 * |A | B|. Linked sets of size s share at least
+ceil(3s/4) elements, so under one global order each holds a common element
+among its first floor(s/4) + 1, and two common ones among its first
+floor(s/4) + 2. The order is by document frequency, the frequent last.
 
-def components(docs):
-    raise NotImplementedError
+1. One pass over the texts hashes every set; equal sets are one class from then
+   on, named by 64 bits of their digest. The pass also finds the hot shingles,
+   those in at least one of 1,000 sets; there can be at most 1,000 times the
+   mean set size of them, whatever the input's size.
+2. A second pass scatters all other shingles, packed, to ranges of their hash.
+   Where a shingle has company its class learns so, with the frequency. A class
+   whose unshared shingles fill its prefix can have no partner, which excludes
+   nearly everything but copies; hot shingles never travel, they come last.
+3. For what remains, size-aware: a light set (size up to the boundary) enters
+   every 2-subset of its longer prefix into an index of subsets; a heavy set's
+   prefix elements are inverted lists, into which light sets large enough for a
+   heavy partner post as well. The boundary minimises the estimated cost, the
+   number of subsets below it plus the lengths of the lists scanned above it.
+4. Lists aren't expanded into all pairs. First each member is compared with one
+   pivot of its list and size range, which joins groups of near copies by as
+   many links as they have members. Then only members that are still in
+   different components, in lists that still hold several, are compared, all of
+   them. So no link between components is lost.
+5. Pairs are verified on the sets' shared shingles: all that can intersect.
+
+Components come from min-label propagation with pointer jumping over tables in
+the shared folder. Null text has no words; null doc_ids take part but name no
+component; repeated rows are copies; an empty table gives no rows; extra
+columns are left aside.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, saved, scratch, slices, text_buffer, word_spans
+
+SHINGLE = 5
+#: Similarity in percent.
+PERCENT = 75
+#: A shingle is hot in at least one of so many sets, and at least HOT_LEAST.
+HOT_SHARE = 1000
+HOT_LEAST = 64
+#: A set of ids that is broadcast has at most so many rows.
+BROADCAST_ROWS = 1_000_000
+
+WORD = np.ones(256, bool)
+WORD[[9, 10, 11, 12, 13, 32]] = False
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, ascending."""
+    data, offsets = text_buffer(column)
+    starts, ends, first = word_spans(data, offsets, WORD)
+    w = hash_spans(data, starts, ends, FOLDED_VALUES)
+    n = len(w)
+    with np.errstate(over="ignore"):
+        full = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
+        for k in range(SHINGLE):
+            full += w[k : n - SHINGLE + 1 + k] * MIX[k]
+        full = mix(full)
+        out = []
+        for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
+            if e - s >= SHINGLE:
+                out.append(np.unique(full[s : e - SHINGLE + 1]))
+            elif e > s:
+                out.append(mix((w[s:e] * MIX[: e - s]).sum(dtype=np.uint64, keepdims=True) + MIX[40 + e - s]))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def class_name(own: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=8).digest(), "little")
+
+
+def profile(docs: DataFrame) -> DataFrame:
+    """kind 0: doc_id, size and class of each document (a); kind 1: shingles
+    that may be hot (b) and how many classes of the task hold them (size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts, seen, sets = [], [], set(), 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = shingle_sets(part.column("text"))
+                names = np.array([class_name(x) for x in own], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.zeros(len(own), np.int32)), part.column("doc_id"), pa.array(names.view(np.int64)), pa.array(np.fromiter(map(len, own), np.int64, len(own)))], names=["kind", "doc_id", "name", "size"]
+                )
+                _, once = np.unique(names, return_index=True)
+                fresh = [i for i in once.tolist() if int(names[i]) not in seen and len(own[i])]
+                if len(seen) < 1 << 17:
+                    seen.update(int(names[i]) for i in fresh)
+                sets += len(fresh)
+                if fresh:
+                    h, c = np.unique(np.concatenate([own[i] for i in fresh]), return_counts=True)
+                    hashes.append(h[c > 1])
+                    counts.append(c[c > 1])
+        if hashes:
+            h, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            c = np.bincount(place, np.concatenate(counts), len(h)).astype(np.int64)
+            many = c >= max(8, sets // HOT_SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(many.sum()), np.int32)), pa.nulls(int(many.sum()), pa.int64()), pa.array(h[many].view(np.int64)), pa.array(c[many])], names=["kind", "doc_id", "name", "size"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, name long, size long")
+
+
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    return numbers.astype(kind).tobytes()
+
+
+def _rows(kind: int, keys: np.ndarray, names: np.ndarray, hashes: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+    """One row for each key: runs of class names with their lengths, the hashes
+    and a 32-bit number for each hash or name. Items must ascend by key, then
+    name."""
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(keys))
+    rows = []
+    for s, e in zip(cuts.tolist(), ends.tolist()):
+        own = names[s:e]
+        turn = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        rows.append((int(keys[s]), _packed(own[turn], "<u8"), _packed(np.diff(np.append(turn, e - s)), "<u4"), _packed(hashes[s:e], "<u8"), _packed(extra[s:e], "<u4") if len(extra) else b""))
+    return _batch(kind, rows)
+
+
+def _batch(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["kind", "key", "names", "counts", "hashes", "extra"])
+
+
+PACKED = "kind int, key int, names binary, counts binary, hashes binary, extra binary"
+CLASSES, SHINGLES, SHARED = 0, 1, 2
+
+
+def scatter(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
+    """Packed rows: SHINGLES by the top bits of the hash (all but hot ones), and
+    CLASSES by the top bits of the class name, with sizes and hot shingles."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets: dict[int, np.ndarray] = {}
+                for own in shingle_sets(part.column("text")):
+                    if len(own) > 2:  # smaller ones link with equal ones only
+                        sets.setdefault(class_name(own), own)
+                if not sets:
+                    continue
+                names = np.sort(np.fromiter(sets, np.uint64, len(sets)))
+                sizes = np.fromiter((len(sets[n]) for n in names.tolist()), np.int64, len(sets))
+                flat = np.concatenate([sets[n] for n in names.tolist()])
+                owner = np.repeat(np.arange(len(names)), sizes)
+                place = np.minimum(np.searchsorted(hot, flat), max(len(hot) - 1, 0))
+                is_hot = hot[place] == flat if len(hot) else np.zeros(len(flat), bool)
+                cold = np.flatnonzero(~is_hot)
+                key = (flat[cold] >> shift).astype(np.uint16 if bits <= 16 else np.uint32)
+                order = cold[np.argsort(key, kind="stable")]
+                yield _rows(SHINGLES, (flat[order] >> shift).astype(np.int64), names[owner[order]], flat[order], np.zeros(0))
+                warm = np.flatnonzero(is_hot)
+                counts = np.bincount(owner[warm], minlength=len(names))
+                at = np.concatenate([[0], np.cumsum(counts)])
+                home = (names >> shift).astype(np.int64)
+                cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+                rows = []
+                for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(home)).tolist()):
+                    rows.append((int(home[s]), _packed(names[s:e], "<u8"), _packed(counts[s:e], "<u4"), _packed(flat[warm][at[s] : at[e]], "<u8"), _packed(sizes[s:e], "<u4")))
+                yield _batch(CLASSES, rows)
+
+    return docs.select("text").mapInArrow(run, PACKED)
+
+
+def _read(cell: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
+def find_shared(packed: DataFrame, bits: int) -> DataFrame:
+    """CLASSES rows as they are, and SHARED rows by class: the shingles that
+    two or more classes hold, with their frequencies."""
+    shift = np.uint64(64 - bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, hashes = [], []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            if (kind == CLASSES).any():
+                yield batch.filter(pa.array(kind == CLASSES))
+            for i in np.flatnonzero(kind == SHINGLES).tolist():
+                names.append(np.repeat(_read(batch.column("names")[i], "<u8"), _read(batch.column("counts")[i], "<u4")))
+                hashes.append(_read(batch.column("hashes")[i], "<u8"))
+        if not hashes:
+            return
+        h, n = np.concatenate(hashes), np.concatenate(names)
+        hashes.clear(), names.clear()
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        company = np.zeros(len(h), bool)
+        same = h[1:] == h[:-1]
+        company[1:] |= same
+        company[:-1] |= same
+        h, n = h[company], n[company]
+        order = np.lexsort((n, h))
+        h, n = h[order], n[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+        h, n = h[once], n[once]
+        _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+        df = count[place]
+        h, n, df = h[df > 1], n[df > 1], df[df > 1]
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        yield _rows(SHARED, (n >> shift).astype(np.int64), n, h[order], df[order])
+
+    return packed.mapInArrow(run, PACKED)
+
+
+def survivors(packed: DataFrame, hot_cost: int) -> DataFrame:
+    """Classes that may have a partner: name, size, tokens (the part of the
+    2-subset prefix that is shared, in order), single (how many of them make
+    the 1-element prefix), shared (all shingles that others hold too) and the
+    costs of subsets and of scanning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[list[np.ndarray]]] = {CLASSES: [[], [], [], []], SHARED: [[], [], [], []]}
+        for batch in batches:
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                for k, (c, t) in enumerate((("names", "<u8"), ("counts", "<u4"), ("hashes", "<u8"), ("extra", "<u4"))):
+                    got[kind][k].append(_read(batch.column(c)[i], t))
+        if not got[CLASSES][0]:
+            return
+        names, counts, warm, sizes = map(np.concatenate, got[CLASSES])
+        warm_owner = np.repeat(names, counts)
+        names, once = np.unique(names, return_index=True)
+        sizes = sizes[once].astype(np.int64)
+        warm_owner = np.searchsorted(names, warm_owner)
+        # A class that several tasks saw brought its hot shingles several times.
+        order = np.lexsort((warm, warm_owner))
+        warm, warm_owner = warm[order], warm_owner[order]
+        fresh = np.ones(len(warm), bool)
+        fresh[1:] = (warm[1:] != warm[:-1]) | (warm_owner[1:] != warm_owner[:-1])
+        warm, warm_owner = warm[fresh], warm_owner[fresh]
+        if got[SHARED][0]:
+            n, c, h, df = map(np.concatenate, got[SHARED])
+            owner = np.searchsorted(names, np.repeat(n, c))
+        else:
+            owner, h, df = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        order = np.lexsort((h, df, owner))
+        owner, h, df = owner[order], h[order], df[order].astype(np.int64)
+        cold_at = np.searchsorted(owner, np.arange(len(names) + 1))
+        warm_at = np.searchsorted(warm_owner, np.arange(len(names) + 1))
+        lonely = sizes - np.diff(cold_at) - np.diff(warm_at)
+        single = sizes // 4 + 1 - lonely
+        rows = []
+        for i in np.flatnonzero(single > 0).tolist():
+            own = h[cold_at[i] : cold_at[i + 1]]
+            both = np.concatenate([own, warm[warm_at[i] : warm_at[i + 1]]])
+            if not len(both):
+                continue
+            k = int(min(single[i], len(both)))
+            tokens = both[: k + 1]
+            scan = int(df[cold_at[i] : cold_at[i] + k].sum()) + hot_cost * max(0, k - len(own))
+            rows.append((int(names[i].view(np.int64)), int(sizes[i]), _packed(tokens, "<u8"), k, _packed(np.sort(both), "<u8"), len(tokens) * (len(tokens) - 1) // 2, scan))
+            if len(rows) >= 2000:
+                yield out(rows)
+                rows = []
+        yield out(rows)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "size", "tokens", "single", "shared", "subset_cost", "scan_cost"])
+
+    return packed.mapInArrow(run, "name long, size long, tokens binary, single int, shared binary, subset_cost long, scan_cost long")
+
+
+def boundary(found: DataFrame) -> int:
+    """The largest light size, by estimated cost; sizes in quarter octaves."""
+    step = F.floor(4 * F.log2("size")).cast("int")
+    costs = sorted((r["step"], r["subsets"], r["scans"], r["top"]) for r in found.groupBy(step.alias("step")).agg(F.sum("subset_cost").alias("subsets"), F.sum("scan_cost").alias("scans"), F.max("size").alias("top")).collect())
+    best, at, light, heavy = None, 2, 0, sum(c[2] for c in costs)
+    for _, subsets, scans, top in [(0, 0, 0, 2), *costs]:
+        light, heavy = light + subsets, heavy - scans
+        if best is None or light + heavy < best:
+            best, at = light + heavy, top
+    return at
+
+
+def postings(found: DataFrame, light_to: int) -> DataFrame:
+    """key, name, size and light (1: light) of every entry of both indexes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, lights = [], [], []
+            size = batch.column("size").to_numpy()
+            single = batch.column("single").to_numpy()
+            for i in range(batch.num_rows):
+                tokens = _read(batch.column("tokens")[i], "<u8")
+                with np.errstate(over="ignore"):
+                    own = []
+                    if size[i] <= light_to:
+                        a, b = np.triu_indices(len(tokens), 1)
+                        low, high = np.minimum(tokens[a], tokens[b]), np.maximum(tokens[a], tokens[b])
+                        own.append(mix(low * MIX[50] + high * MIX[51]))
+                    if 4 * size[i] >= 3 * (light_to + 1):
+                        own.append(tokens[: single[i]])
+                    for part in own:
+                        keys.append(part)
+                        rows.append(np.full(len(part), i))
+            row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("name").take(pa.array(row)), pa.array(size[row])], names=["key", "name", "size"])
+
+    return found.select("name", "size", "tokens", "single").mapInArrow(run, "key long, name long, size long")
+
+
+def like_sizes(a: Column, b: Column) -> Column:
+    return (4 * F.least(a, b) >= 3 * F.greatest(a, b))
+
+
+def pivot_pairs(index: DataFrame) -> DataFrame:
+    """Each entry with its list's pivots of its size range and the one below."""
+    step = F.floor(F.log("size") / F.lit(float(np.log(4 / 3)))).cast("int")
+    ranged = index.withColumn("step", step)
+    pivots = ranged.groupBy("key", "step").agg(F.min(F.struct("name", "size")).alias("pivot"))
+    pivots = pivots.withColumn("at", F.explode(F.array(F.col("step"), F.col("step") + 1))).select("key", F.col("at").alias("step"), "pivot")
+    met = ranged.join(pivots, ["key", "step"]).filter((F.col("name") != F.col("pivot.name")) & like_sizes(F.col("size"), F.col("pivot.size")))
+    return met.select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b")).distinct()
+
+
+def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components in the lists that hold several."""
+    named = index.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rest = saved(named.join(several, "key", "left_semi"), "open-lists")
+    left, right = rest.alias("l"), rest.alias("r")
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.name") < F.col("r.name")) & (F.col("l.label") != F.col("r.label")) & like_sizes(F.col("l.size"), F.col("r.size")))
+    return met.select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that link."""
+    sets = found.select("name", "size", "shared")
+    a = sets.select(F.col("name").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
+    b = sets.select(F.col("name").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = _read(batch.column("shared_a")[i], "<u8"), _read(batch.column("shared_b")[i], "<u8")
+                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int(np.count_nonzero(y[place] == x))
+                keep[i] = 100 * both >= PERCENT * (int(sizes[i]) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "shared_a", "size_b", "shared_b").mapInArrow(run, "a long, b long")
+
+
+def label_components(links: DataFrame) -> DataFrame:
+    """name, label: the least name that links reach, for every name in them."""
+    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "adjacency")
+    labels = saved(both.groupBy(F.col("a").alias("name")).agg(F.min("b").alias("b")).select("name", F.least("name", "b").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("name").alias("b"), "label"), "b").groupBy(F.col("a").alias("name")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "name").select("name", "label", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("name").alias("next"), F.col("label").alias("far"))
+        after = saved(step.join(jump, "next").select("name", "label", F.least("next", "far").alias("after")), "labels")
+        labels = after.select("name", F.col("after").alias("label"))
+        if after.filter("label != after").isEmpty():
+            return labels
+
+
+def class_labels(docs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """name, label of every class that links with another."""
+    spark = docs.sparkSession
+    sets = profiles.filter("kind = 0").select("name").distinct().count()
+    hot_from = max(HOT_LEAST, sets // HOT_SHARE)
+    # At most HOT_SHARE times the mean set size: each holds so many of the sets.
+    hot_rows = profiles.filter("kind = 1").groupBy("name").agg(F.sum("size").alias("n")).filter(F.col("n") >= hot_from).select("name").toPandas()
+    hot = np.sort(hot_rows["name"].to_numpy(np.int64).view(np.uint64))
+    bits = max(3, (partitions(spark) - 1).bit_length())
+    ranges = 1 << bits
+    packed = find_shared(scatter(docs, hot, bits).repartitionById(ranges, F.col("key")), bits)
+    found = saved(survivors(packed.repartitionById(ranges, F.col("key")), hot_from), "survivors")
+    light_to = boundary(found)
+    index = saved(postings(found, light_to), "postings")
+    links = saved(verified(pivot_pairs(index), found), "links")
+    labels = label_components(links)
+    more = saved(verified(open_pairs(index, labels), found), "links")
+    if more.isEmpty():
+        return labels
+    return label_components(links.union(more))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    profiles = saved(profile(docs), "profiles")
+    labels = class_labels(docs, profiles)
+    full = profiles.filter("kind = 0 and size > 0")
+    classes = full.groupBy("name").agg(F.min("doc_id").alias("least")).join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = saved(classes.join(least, "label").select("name", "component_id"), "classes")
+    out = full.join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    return out.unionByName(profiles.filter("kind = 0 and size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the one that names it.
+    Documents without words and those without doc_id stay."""
+    gone = saved(components(docs).filter("doc_id != component_id").select("doc_id"), "copies")
+    # Ids of dropped rows are sent to all tasks only if they are few enough.
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)

@@ -104,7 +104,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
         local, rows["offset"] = first_fit_decreasing(rows["length"].to_numpy(), capacity)
         rows["sequence_id"] = (rows["group"].to_numpy() << 32) | local
         rows["sequence_tokens"] = np.bincount(local, rows["length"]).astype(np.int64)[local]
-        return rows
+        return rows.drop(columns="group")
 
     filled = pieces.groupBy("group").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long")
     exact = F.expr("sequence_tokens & (sequence_tokens - 1)") == 0
