@@ -21,7 +21,6 @@ benchmark or table is fine; extra columns are left aside.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +57,7 @@ class Matcher:
         self.m = m = len(patterns[0])
         flat = b" ".join(w for p in patterns for w in p)
         data = np.frombuffer(flat, np.uint8)
-        starts, ends, _ = word_spans(data, np.array([0, len(data)]), data_words())
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD)
         words = hash_spans(data, starts, ends, FOLDED_VALUES)
         self.words = words.reshape(len(patterns), m)
         self.size = 2 if m > 1 else 1
@@ -106,10 +105,6 @@ class Matcher:
         return found
 
 
-def data_words() -> np.ndarray:
-    return WORD
-
-
 def item_words(text: str | None) -> list[bytes]:
     data, offsets = text_buffer(pa.array([text or ""]))
     starts, ends, _ = word_spans(data, offsets, WORD)
@@ -201,6 +196,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return merged(found, docs, keep)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, columns as they are."""
+    for items in item_blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            search = Searcher(items, window)
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    _, places, _ = search.hits(*text_buffer(part.column("text")))
+                    yield part.filter(pa.array([not p for p in places], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def merged(found: list[DataFrame], docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """One row a document from several blocks' rows. The key is all of ``keep``
     (rows that repeat in all of it have equal results, so one stands for all)."""
