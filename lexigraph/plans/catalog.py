@@ -1,4 +1,523 @@
-"""Registered queries of the search engine and their SQL."""
+"""Registered queries of the search engine, each with its SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``documents`` is the corpus: id is doc_id, the title is made of it, the author
+is source. Index and graph tables of a corpus are written once for each session
+and folder and read by all queries that build on them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import checks, evaluation, graph, index, ingest, latency, search
+from ..sources import files
+from .storage import saved
+
+THRESHOLD = 0.5
+LEVELS = (0.5, 0.65, 0.8, 0.9)
+DAMPING = 0.85
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+_tables: dict[tuple, DataFrame] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def kept(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A derived table, written at first use in a session."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
+        if key not in _tables:
+            _tables[key] = saved(f(spark, sf_dir), f.__name__)
+        return _tables[key]
+
+    return get
+
+
+# Tables
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("author"), F.col("lang").alias("source"), "text")
+
+
+@kept
+def books(spark, sf_dir):
+    return ingest.books_of(corpus(spark, sf_dir), 1)
+
+
+@kept
+def posts(spark, sf_dir):
+    return index.laid_out(index.postings(books(spark, sf_dir)))
+
+
+@kept
+def words(spark, sf_dir):
+    return index.vocabulary(posts(spark, sf_dir)).repartitionByRange("word").sortWithinPartitions("word")
+
+
+@kept
+def links(spark, sf_dir):
+    return graph.edges(posts(spark, sf_dir), THRESHOLD)
+
+
+@kept
+def ranks(spark, sf_dir):
+    return graph.pagerank(books(spark, sf_dir).select("id"), links(spark, sf_dir), DAMPING)[0]
+
+
+# SQL of the same tables
+
+_WHITE = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+_LETTER = "\\p{L}\\p{Nl}\\p{No}"
+
+
+def _fold(x: str) -> str:
+    return f"replace(replace(replace(lower(nfc_normalize({x})), 'ß', 'ss'), 'µ', 'μ'), '’', '''')"
+
+
+def _toks(x: str) -> str:
+    return f"regexp_extract_all({_fold(x)}, '[{_LETTER}]+(?:''[{_LETTER}]+)*')"
+
+
+_CONTENT = f"regexp_replace(nfc_normalize(replace(replace(replace(text, chr(13) || chr(13) || chr(10), chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+_EXCERPT = f"left(regexp_replace(regexp_replace(content, '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g'), 650)"
+_CLEANED = f"""cleaned as (select doc_id as id, source as author, lang as source, {_CONTENT} as content from documents),
+counted as (select *, {_toks('content')} as toks, sha256(content) as digest from cleaned)"""
+_BOOKS = f"""{_CLEANED},
+books as (select id, 'doc ' || id as title, author, source, len(toks)::bigint as words, digest, content, toks
+  from counted where len(toks) >= 1 qualify row_number() over (partition by digest order by id) = 1)"""
+_POSTS = f"""{_BOOKS},
+posts as (select word, id as book_id, count(*)::bigint as count from (select id, unnest(toks) as word from books) group by all)"""
+_PAIRS = f"""{_POSTS},
+pairs as (select x.book_id as a, y.book_id as b, count(*)::bigint as shared_words, sum(least(x.count, y.count))::bigint as minimum, sum(greatest(x.count, y.count))::bigint as maximum
+  from posts x join posts y on x.word = y.word and x.book_id < y.book_id group by all)"""
+_LINKS = f"""{_PAIRS},
+links as materialized (select a, b, minimum / maximum as similarity from pairs where minimum / maximum > {THRESHOLD}),
+ways as materialized (select a as src, b as dst, similarity from links union all select b, a, similarity from links)"""
+_RANKS = f"""{_LINKS},
+deg as materialized (select id, (select count(*) from books)::double as n, coalesce(d, 0) as degree from books left join (select src, count(*) as d from ways group by src) on src = id),
+flow as materialized (select src, dst, degree from ways join deg on id = src),
+walk as (select 0 as turn, id, 1.0::double / n as score from deg
+  union all
+  select turn + 1, id, {1 - DAMPING} / n + {DAMPING} * lost / n + {DAMPING} * coalesce(got, 0)
+  from (select max(turn) as turn, coalesce(sum(score) filter (degree = 0), 0) as lost from walk join deg using (id)) s, deg
+  left join (select dst, sum(score / degree) as got from walk join flow on src = id group by dst) on dst = id where turn < 100),
+ranks as (select id as book_id, score from walk where turn = 100)"""
+
+
+def _with(parts: str, select: str) -> str:
+    return f"with recursive {parts} {select}"
+
+
+# Text, index and ingest
+
+
+@query(_with(_CLEANED, "select id as doc_id, word, count(*)::bigint as count from (select id, unnest(toks) as word from counted) group by all"))
+def tokenize_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(T.clean_text(F.col("text")))).alias("word"))
+    return rows.groupBy("doc_id", "word").agg(F.count("*").alias("count"))
+
+
+@query(_with(_CLEANED, "select id as doc_id, len(toks)::bigint as words, len(list_distinct(toks))::bigint as distinct_words from counted"))
+def doc_lengths(spark, sf_dir):
+    toks = T.tokens(T.clean_text(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", toks.alias("t")).select("doc_id", F.size("t").cast("long").alias("words"), F.size(F.array_distinct("t")).cast("long").alias("distinct_words"))
+
+
+@query("""select * from (values (1, 'café don''t ocean'), (2, 'sea ocean whale adventure'), (3, 'sea ocean whale adventure'), (4, 'sea ocean whale adventure'), (5, 'strasse ﬁ½'), (6, ''), (7, 'a b'), (8, 'body')) t(id, words)""".replace("ﬁ½", "fi ½").replace("strasse fi ½", "strasse fi½"))
+def clean_text_fixture(spark, sf_dir):
+    """Wrappers, line ends, normal form, folding and apostrophes on literals."""
+    star = "*** START OF THE PROJECT GUTENBERG EBOOK X ***"
+    end = "*** END OF THIS PROJECT GUTENBERG EBOOK X ***"
+    rows = [
+        (1, f"license\n{star}\nCafé DON’T 123 ocean.\n{end}\nlicense"), (2, "sea ocean\r\n\r\nwhale adventure\r\n"), (3, "sea ocean\r\r\n\r\r\nwhale adventure\r\r\n"), (4, "sea ocean\r\rwhale adventure\r"),
+        (5, "Straße ﬁ½"), (6, " \x1c\x85 "), (7, "Áb".replace("́", " ")), (8, f"{end}x\nno".replace("*** END", "** END").replace("** END OF THIS PROJECT GUTENBERG EBOOK X ***x\nno", "body")),
+    ]
+    made = spark.createDataFrame(rows, "id int, text string")
+    return made.select("id", F.array_join(T.tokens(T.clean_text(F.col("text"))), " ").alias("words"))
+
+
+@query(_with(_POSTS, "select distinct word from posts"))
+def vocabulary(spark, sf_dir):
+    return words(spark, sf_dir)
+
+
+@query(_with(_POSTS, "select word, book_id, count from posts"))
+def postings(spark, sf_dir):
+    return posts(spark, sf_dir)
+
+
+@query(_with(_POSTS, "select word, count(*)::bigint as books, sum(count)::bigint as occurrences from posts group by word"))
+def term_frequencies(spark, sf_dir):
+    return posts(spark, sf_dir).groupBy("word").agg(F.count("*").alias("books"), F.sum("count").alias("occurrences"))
+
+
+@query(_with(_BOOKS, "select id, title, author, words from books"))
+def exact_dedup(spark, sf_dir):
+    return books(spark, sf_dir).select("id", "title", "author", "words")
+
+
+@query(_with(_CLEANED, """select id, len(toks)::bigint as words, case when len(toks) < 100 then 'short'
+  when row_number() over (partition by digest, len(toks) >= 100 order by id) > 1 then 'duplicate' else 'accepted' end as status from counted"""))
+def ingest_status(spark, sf_dir):
+    return ingest.statuses(corpus(spark, sf_dir), 100).select("id", "words", "status")
+
+
+@query(_with(_CLEANED, """, st as (select id, len(toks)::bigint as words, case when len(toks) < 100 then 'short'
+  when row_number() over (partition by digest, len(toks) >= 100 order by id) > 1 then 'duplicate' else 'accepted' end as status from counted)
+select id, words from st where status = 'accepted' order by id limit 50"""))
+def first_accepted(spark, sf_dir):
+    """The first 50 accepted documents: the target is the feature."""
+    return ingest.first_accepted(ingest.statuses(corpus(spark, sf_dir), 100), 50, ["id"]).select("id", "words")
+
+
+@query("select doc_id from documents where lang = 'en'")
+def language_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("Text").alias("Type"), F.col("lang").alias("Language"))
+    return ingest.catalog_candidates(rows).select("doc_id")
+
+
+@query("select page_id, regexp_matches(lower(left(ltrim(html, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 16)), '^(<!doctype html|<html)') as rejected from pages")
+def html_reject(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.is_html(F.col("html")).alias("rejected"))
+
+
+@query("select doc_id, octet_length(encode(text)) > 10000 as rejected from documents")
+def oversize_reject(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.too_large(F.col("text"), 10_000).alias("rejected"))
+
+
+@query(_with(_BOOKS, f"select id, {_EXCERPT} as excerpt from books"))
+def excerpt(spark, sf_dir):
+    return books(spark, sf_dir).select("id", "excerpt")
+
+
+@query(_with(_CLEANED, "select id, digest from counted"))
+def digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.digest(T.clean_text(F.col("text"))).alias("digest"))
+
+
+@query(_with(_CLEANED, "select digest, count(*)::bigint as copies, min(id) as first_id from counted group by digest having count(*) > 1"))
+def duplicate_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.digest(T.clean_text(F.col("text"))).alias("digest"))
+    return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+@query("select doc_id as id, 'doc ' || doc_id as title, coalesce(nullif(source, ''), 'Unknown') as author, lang as language, 'https://www.gutenberg.org/ebooks/' || doc_id as source, 'https://www.gutenberg.org/cache/epub/' || doc_id || '/pg' || doc_id || '.txt' as download_url from documents")
+def catalog_books(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Text#"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("Title"), F.col("source").alias("Authors"), F.col("lang").alias("Language"), F.lit("Text").alias("Type"))
+    return files.catalog_books(rows)
+
+
+@query("select conv_id, word, count(*)::bigint as count from (select conv_id, unnest(" + _toks("text") + ") as word from conversations) group by all")
+def conversation_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.explode(T.tokens(F.col("text"))).alias("word"))
+    return rows.groupBy("conv_id", "word").agg(F.count("*").alias("count"))
+
+
+# Search
+
+_HITS = ", hits as (select p.book_id, sum(count)::bigint as occurrences, coalesce(any_value(score), 0) as pagerank from posts p {ranks} where {match} group by p.book_id)"
+_FREQUENCY = "occurrences desc, pagerank desc, book_id"
+_RANK = "pagerank desc, occurrences desc, book_id"
+
+
+def _found_sql(match: str, ranked: bool) -> str:
+    parts = _RANKS if ranked else f"{_POSTS}, ranks as (select 0 as book_id, 0.0::double as score where false)"
+    return parts + _HITS.format(match=match, ranks="left join ranks r on r.book_id = p.book_id")
+
+
+def _page_sql(match: str, order: str, ranked: bool, first: int = 1, size: int = 12) -> str:
+    return _with(_found_sql(match, ranked), f"select (row_number() over (order by {order}))::int as place, id, title, author, words, occurrences, round(pagerank, 8) as pagerank from hits join books on id = book_id qualify place between {first} and {first + size - 1}")
+
+
+def _page(spark, sf_dir, asked: search.Query, ranked: bool) -> DataFrame:
+    scores = ranks(spark, sf_dir) if ranked else spark.createDataFrame([], "book_id long, score double")
+    found = search.hits(posts(spark, sf_dir), words(spark, sf_dir), asked, scores)
+    return search.page_of(found, books(spark, sf_dir), asked).select("place", "id", "title", "author", "words", "occurrences", F.round("pagerank", 8).alias("pagerank"))
+
+
+@query(_page_sql("word = 'the'", _FREQUENCY, False))
+def keyword_frequency(spark, sf_dir):
+    return _page(spark, sf_dir, search.Query("The", ranking="frequency"), False)
+
+
+@query(_page_sql("word = 'the'", "round(pagerank, 12) desc, occurrences desc, book_id", True))
+def keyword_pagerank(spark, sf_dir):
+    """PageRank order; scores are equal to 12 digits where the plan's order of
+    addition differs, so both sides order by the rounded score."""
+    asked = search.Query("the")
+    found = search.hits(posts(spark, sf_dir), words(spark, sf_dir), asked, ranks(spark, sf_dir)).withColumn("pagerank", F.round("pagerank", 12))
+    return search.page_of(found, books(spark, sf_dir), asked).select("place", "id", "title", "author", "words", "occurrences", F.round("pagerank", 8).alias("pagerank"))
+
+
+@query(_page_sql("word = 'the'", _FREQUENCY, False, 13))
+def keyword_page2(spark, sf_dir):
+    return _page(spark, sf_dir, search.Query("the", ranking="frequency", page=2), False)
+
+
+@query(_with(_found_sql("word = 'absent-word'", False), "select book_id, occurrences from hits"))
+def keyword_absent(spark, sf_dir):
+    return search.hits(posts(spark, sf_dir), words(spark, sf_dir), search.Query("absentword", ranking="frequency"), spark.createDataFrame([], "book_id long, score double")).select("book_id", "occurrences")
+
+
+def _pattern_hits(spark, sf_dir, pattern: str) -> DataFrame:
+    asked = search.Query(pattern, "regex", "frequency")
+    return search.hits(posts(spark, sf_dir), words(spark, sf_dir), asked, spark.createDataFrame([], "book_id long, score double")).select("book_id", "occurrences")
+
+
+def _pattern_sql(pattern: str) -> str:
+    return _with(_POSTS, f"select book_id, sum(count)::bigint as occurrences from posts where regexp_full_match(word, '{pattern}', 's') group by book_id")
+
+
+@query(_pattern_sql("the|les|und"))
+def regex_alternation(spark, sf_dir):
+    return _pattern_hits(spark, sf_dir, "the|les|und")
+
+
+@query(_pattern_sql("th.*"))
+def regex_prefix(spark, sf_dir):
+    return _pattern_hits(spark, sf_dir, "th.*")
+
+
+@query(_pattern_sql("[éèa-c]+"))
+def regex_class(spark, sf_dir):
+    return _pattern_hits(spark, sf_dir, "[éèa-c]+")
+
+
+@query(_pattern_sql("[^s].*"))
+def regex_negated(spark, sf_dir):
+    return _pattern_hits(spark, sf_dir, "[^s].*")
+
+
+@query(_pattern_sql("(th|er)*e?"))
+def regex_repeated_group(spark, sf_dir):
+    return _pattern_hits(spark, sf_dir, "(th|er)*e?")
+
+
+@query(_pattern_sql("((th)+|(er)+)+n"))
+def regex_nested(spark, sf_dir):
+    """Repetition inside repetition: run by the automaton."""
+    return _pattern_hits(spark, sf_dir, "((th)+|(er)+)+n")
+
+
+@query(_page_sql("regexp_full_match(word, 'th(e|at)')", _FREQUENCY, False))
+def regex_page(spark, sf_dir):
+    return _page(spark, sf_dir, search.Query("th(e|at)", "regex", "frequency"), False)
+
+
+@query(_with(_POSTS, "select distinct word from posts where regexp_full_match(word, 'th(e|at).*') order by word limit 30"))
+def regex_matched_terms(spark, sf_dir):
+    """The first 30 matched words: the limit is the feature."""
+    return search.matched_terms(words(spark, sf_dir), search.Query("th(e|at).*", "regex")).orderBy("word").limit(search.SHOWN_TERMS)
+
+
+@query(_with(_POSTS, "select distinct word from posts where (word >= 'q' and word < 'r') or (word >= 'é' and word < 'ê')"))
+def first_char_prefilter(spark, sf_dir):
+    from ..functions.patterns import Pattern
+
+    return words(spark, sf_dir).filter(Pattern("[qé].*").prefilter(F.col("word")))
+
+
+# The graph
+
+
+@query(_with(_PAIRS, "select a, b, shared_words, minimum, maximum, round(minimum / maximum, 6) as similarity from pairs"))
+def pair_overlap(spark, sf_dir):
+    return graph.similarities(graph.overlaps(posts(spark, sf_dir))).select("a", "b", "shared_words", "minimum", "maximum", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_with(_LINKS, "select a, b, round(similarity, 6) as similarity from links"))
+def graph_edges(spark, sf_dir):
+    return links(spark, sf_dir).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(_with(_LINKS, "select id, coalesce(d, 0)::bigint as degree from books left join (select src, count(*) as d from ways group by src) on src = id"))
+def degrees(spark, sf_dir):
+    return graph.degrees(books(spark, sf_dir), links(spark, sf_dir))
+
+
+@query(_with(_LINKS, "select id from books where id not in (select src from ways)"))
+def isolates(spark, sf_dir):
+    return graph.degrees(books(spark, sf_dir), links(spark, sf_dir)).filter("degree = 0").select("id")
+
+
+@query(_with(_RANKS, "select book_id, round(score, 8) as score from ranks"))
+def pagerank(spark, sf_dir):
+    return ranks(spark, sf_dir).select("book_id", F.round("score", 8).alias("score"))
+
+
+@query(_with(_found_sql("word = 'loser'", True), """, seeds as (select book_id, row_number() over (order by occurrences desc, book_id) as place from hits qualify place <= 3),
+near as (select dst, similarity, src from ways join seeds on src = book_id where dst not in (select book_id from hits) qualify row_number() over (partition by dst order by similarity desc, place) = 1)
+select (row_number() over (order by similarity desc, dst))::int as place, id, title, words, round(similarity, 6) as similarity, src as related_to from near join books on id = dst qualify place <= 6"""))
+def recommendations(spark, sf_dir):
+    asked = search.Query("loser", ranking="frequency")
+    found = search.hits(posts(spark, sf_dir), words(spark, sf_dir), asked, ranks(spark, sf_dir)).withColumn("pagerank", F.lit(0.0))
+    out = search.recommendations(found, links(spark, sf_dir), books(spark, sf_dir), "frequency")
+    return out.select("place", "id", "title", "words", "similarity", "related_to")
+
+
+@query(_with(_LINKS, """, near as (select id, least(id, coalesce(min(dst), id)) as label from books left join ways on src = id group by id),
+step as (select 0 as turn, id, label from near union all
+  select turn + 1, id, least(label, coalesce(other, label)) from (select s.turn, s.id, s.label, min(o.label) as other from step s left join ways on src = s.id left join step o on o.id = dst group by all) where turn < 12)
+select id, label as component from step where turn = 12"""))
+def components(spark, sf_dir):
+    return graph.components(books(spark, sf_dir), links(spark, sf_dir))
+
+
+@query(_with(_LINKS, """, levels as (select unnest([0.5, 0.65, 0.8, 0.9])::double as threshold),
+e as (select threshold, count(similarity)::bigint as edges from levels left join links on similarity > threshold group by threshold),
+iso as (select threshold, count(*)::bigint as isolated from levels, books where not exists (select 1 from ways where src = id and similarity > threshold) group by threshold),
+step as (select 0 as turn, threshold, id, id as label from levels, books union all
+  select turn + 1, threshold, id, least(label, coalesce(other, label)) from (select s.turn, s.threshold, s.id, s.label, min(o.label) as other from step s left join ways w on w.src = s.id and w.similarity > s.threshold left join step o on o.id = w.dst and o.threshold = s.threshold group by all) where turn < 12),
+parts as (select threshold, count(*)::bigint as components, max(size)::bigint as largest_component from (select threshold, label, count(*) as size from step where turn = 12 group by all) group by threshold),
+n as (select count(*)::double as n from books)
+select threshold, edges, round(2.0 * edges / (n * (n - 1)), 8) as density, round(2.0 * edges / n, 8) as mean_degree, coalesce(isolated, 0) as isolated, components, largest_component from e left join iso using (threshold) join parts using (threshold), n"""))
+def threshold_connectivity(spark, sf_dir):
+    found = graph.connectivity(books(spark, sf_dir).select("id"), links(spark, sf_dir), LEVELS)
+    return found.withColumn("density", F.round("density", 8)).withColumn("mean_degree", F.round("mean_degree", 8))
+
+
+_GIVEN = f", given as (select w.dst as id, w.src as neighbour, score as pagerank, degree, {DAMPING} * score / degree as contribution from ways w join ranks on book_id = w.src join deg on deg.id = w.src)"
+
+
+@query(_with(_RANKS + _GIVEN, f"""select id, degree::bigint as degree, round(score, 8) as score, round({1 - DAMPING} / n, 10) as teleportation, round({DAMPING} * lost / n, 8) as dangling_share, round(coalesce(total, 0), 8) as neighbour_total,
+  round({1 - DAMPING} / n + {DAMPING} * lost / n + coalesce(total, 0), 8) as recomputed from deg join ranks on book_id = id left join (select id, sum(contribution) as total from given group by id) using (id), (select coalesce(sum(score), 0) as lost from ranks join deg on id = book_id where degree = 0)"""))
+def pagerank_decomposition(spark, sf_dir):
+    out = graph.decomposition(books(spark, sf_dir).select("id"), links(spark, sf_dir), ranks(spark, sf_dir), DAMPING)
+    r = lambda c, n=8: F.round(c, n).alias(c)
+    return out.select("id", "degree", r("score"), r("teleportation", 10), r("dangling_share"), r("neighbour_total"), r("recomputed"))
+
+
+@query(_with(_RANKS + _GIVEN, "select id, (row_number() over (partition by id order by round(contribution, 12) desc, neighbour))::int as place, neighbour, degree::bigint as degree, round(contribution, 8) as contribution from given qualify place <= 5"))
+def top_contributions(spark, sf_dir):
+    given = graph.contributions(books(spark, sf_dir).select("id"), links(spark, sf_dir), ranks(spark, sf_dir), DAMPING).withColumn("contribution", F.round("contribution", 12))
+    return graph.top_contributions(given).select("id", "place", "neighbour", "degree", F.round("contribution", 8).alias("contribution"))
+
+
+@query(_with(_PAIRS, """, five as (select id, title, len(list_distinct(toks))::bigint as unique_words from books order by id limit 5)
+select x.id as a, y.id as b, x.unique_words as unique_words_a, y.unique_words as unique_words_b, coalesce(shared_words, 0) as shared_words, coalesce(minimum, 0) as minimum, coalesce(maximum, 0) as maximum,
+  round(coalesce(minimum / maximum, 0), 6) as similarity, round(1 - coalesce(minimum / maximum, 0), 6) as distance, coalesce(minimum / maximum, 0) > 0.5 as is_edge
+from five x join five y on x.id < y.id left join pairs on a = x.id and b = y.id"""))
+def pair_examples(spark, sf_dir):
+    """Worked examples of five given books: the ids are the feature."""
+    ids = tuple(r["id"] for r in books(spark, sf_dir).select("id").orderBy("id").limit(5).collect())
+    out = graph.pair_examples(books(spark, sf_dir), posts(spark, sf_dir), ids, THRESHOLD)
+    return out.withColumn("similarity", F.round("similarity", 6)).withColumn("distance", F.round("distance", 6))
+
+
+# Statistics and checks
+
+
+@query(_with(_POSTS, "select count(*)::bigint as books, sum(words)::bigint as words, min(words)::bigint as min_words, (select count(distinct word) from posts)::bigint as terms, count(*) >= 1664 and min(words) >= 10000 as corpus_ready from books"))
+def corpus_stats(spark, sf_dir):
+    return checks.corpus_stats(books(spark, sf_dir), words(spark, sf_dir))
+
+
+@query("""select * from (values ('corpus_minimum', false), ('storage_integrity', true), ('index_counts', true), ('foreign_keys', true), ('graph_ready', true), ('graph_definition', true), ('graph_counts', true), ('graph_edges', true),
+  ('pagerank_coverage', true), ('pagerank_finite_positive', true), ('pagerank_normalized', true)) t(name, passed)""")
+def validation_checks(spark, sf_dir):
+    info = {"threshold": THRESHOLD, "metric": graph.METRIC, "nodes": books(spark, sf_dir).count(), "edges": links(spark, sf_dir).count()}
+    found = checks.checks(books(spark, sf_dir), words(spark, sf_dir), posts(spark, sf_dir), links(spark, sf_dir), ranks(spark, sf_dir), info, graph.METRIC)
+    return spark.createDataFrame(list(found.items()), "name string, passed boolean")
+
+
+@query(_with(_POSTS, """select n as size, count(distinct id)::bigint as books, sum(count)::bigint as words, count(distinct word)::bigint as terms from (select unnest([50, 100, 200, 400]) as n) s
+  join (select id, row_number() over (order by id) as place from books) b on place <= n join posts on book_id = id group by n"""))
+def nested_subsets(spark, sf_dir):
+    """Growth over the first 50, 100, 200 and 400 books: the sizes are the feature."""
+    out = None
+    for n in (50, 100, 200, 400):
+        first = books(spark, sf_dir).select("id").orderBy("id").limit(n)
+        own = posts(spark, sf_dir).join(first, F.col("book_id") == first["id"], "left_semi")
+        row = own.agg(F.count_distinct("book_id").alias("books"), F.sum("count").alias("words"), F.count_distinct("word").alias("terms")).select(F.lit(n).alias("size"), "books", "words", "terms")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# Evaluation and benchmark summaries
+
+_ALL_HITS = f"{_POSTS}, f as (select book_id, sum(count) as n from posts where word = 'the' group by book_id)"
+
+
+def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two rankings of five labelled books for each language, judged by
+    labels.quality."""
+    own = posts(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book_id")), "book_id", "left_semi").join(books(spark, sf_dir).select(F.col("id").alias("book_id"), F.col("source").alias("lang"), "words"), "book_id").groupBy("lang", "book_id", "words").agg(F.sum("count").alias("n"))
+    from pyspark.sql import Window
+
+    groups = None
+    for ranking, key in (("frequency", F.desc("n")), ("pagerank", F.asc("words"))):
+        turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "book_id"))
+        top = own.withColumn("place", turn).filter("place <= 5").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "book_id"))), lambda x: x["book_id"]).alias("book_ids"))
+        one = top.select(F.lit("p1").alias("participant"), F.col("lang").alias("task"), F.col("lang").alias("query"), F.lit("keyword").alias("mode"), F.lit(ranking).alias("ranking"), "book_ids")
+        groups = one if groups is None else groups.unionByName(one)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("book_id"), F.col("quality").cast("string").alias("judged"))
+    sheet = evaluation.blank_feedback(groups).join(labels, "book_id", "left")
+    return groups, sheet.withColumn("relevant", F.coalesce("judged", F.lit(""))).select(*evaluation.FIELDS)
+
+
+_TOPS = f"""{_BOOKS}, own as (select source as task, id, words from books where id in (select doc_id from labels)),
+tops as (select task, 'frequency' as ranking, id from own qualify row_number() over (partition by task order by words desc, id) <= 5
+  union all select task, 'pagerank', id from own qualify row_number() over (partition by task order by words, id) <= 5),
+trials as (select task, ranking, sum(quality) / 5.0 as precision_at_5 from tops left join labels on doc_id = id group by all having count(quality) = 5 and count(*) = 5)"""
+
+
+@query(_with(_TOPS, "select 'p1' as participant, task, 'keyword' as mode, ranking, precision_at_5::double as precision_at_5 from trials"))
+def precision_at_5(spark, sf_dir):
+    return evaluation.completed_trials(_judged(spark, sf_dir)[1]).select("participant", "task", "mode", "ranking", "precision_at_5")
+
+
+@query(_with(_TOPS, "select f.task, (p.precision_at_5 - f.precision_at_5)::double as difference from trials f join trials p on f.task = p.task and f.ranking = 'frequency' and p.ranking = 'pagerank'"))
+def paired_difference(spark, sf_dir):
+    return evaluation.paired_differences(evaluation.completed_trials(_judged(spark, sf_dir)[1])).select("task", "difference")
+
+
+@query("select 2::bigint as trials, 0.4::double as frequency, 0.6::double as pagerank, 0.2::double as difference")
+def evaluation_fixture(spark, sf_dir):
+    """One participant, one query, both rankings of five books."""
+    judged = {"frequency": "10010", "pagerank": "11010"}
+    rows = [("p", "t", "sea", "keyword", r, str(i + 1), str(i + 1), v, "", "", "") for r, vs in judged.items() for i, v in enumerate(vs)]
+    trials = evaluation.completed_trials(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in evaluation.FIELDS)))
+    mean = evaluation.by_ranking(trials).groupBy().pivot("ranking", ["frequency", "pagerank"]).agg(F.first("mean_precision_at_5"))
+    both = evaluation.paired_differences(trials).agg(F.round(F.avg("difference"), 6).alias("difference"))
+    return trials.agg(F.count("*").alias("trials")).crossJoin(mean).crossJoin(both)
+
+
+@query("select event_type, count(*)::bigint as requests, round(median(value), 6) as median_value, round(quantile_disc(value, 0.95), 6) as p95_value from events group by event_type")
+def latency_median_p95(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("requests"), F.round(latency.median("value"), 6).alias("median_value"), F.round(latency.p95("value"), 6).alias("p95_value"))
+
+
+@query("""select user_id % 4 as clients, count(*)::bigint as requests, count(*) filter (event_id % 5 < 3)::bigint as successes, count(*) filter (event_id % 5 = 3)::bigint as rejected_503, count(*) filter (event_id % 5 = 4)::bigint as other_errors,
+  round(median(value) filter (event_id % 5 < 3), 6) as success_median_ms, round(quantile_disc(value, 0.95) filter (event_id % 5 < 3), 6) as success_p95_ms, round(count(*) / 60.0, 6) as completed_requests_per_second, round(count(*) filter (event_id % 5 < 3) / 60.0, 6) as successful_requests_per_second from events group by user_id % 4""")
+def throughput_by_status(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    samples = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("clients"), F.when(kind < 3, 200).when(kind == 3, 503).otherwise(500).alias("status"), F.col("value").alias("ms"))
+    out = latency.http_summary(samples, samples.select("clients", F.lit(60.0).alias("seconds")).distinct()).drop("seconds")
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    """Blinded order of trials by a seeded hash; SQL has no such hash."""
+    return evaluation.shuffled_trials(_judged(spark, sf_dir)[0]).select("participant", "trial", "task", "ranking", "book_ids")
