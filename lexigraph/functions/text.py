@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LETTER = r"\p{L}\p{Nl}\p{No}"
 #: A word in folded text, in which apostrophes are straight.
@@ -39,12 +40,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t).casefold(), na_action="ignore")
 

@@ -150,11 +150,16 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, toleranc
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             alone = rows["b"].isna()
             own = np.sort(rows.loc[alone, "a"].to_numpy(np.int64))
-            score, turns = power_iteration(own, rows.loc[~alone, "a"].to_numpy(np.int64), rows.loc[~alone, "b"].to_numpy(np.int64), damping, tolerance, max_iterations)
+            try:
+                score, turns = power_iteration(own, rows.loc[~alone, "a"].to_numpy(np.int64), rows.loc[~alone, "b"].to_numpy(np.int64), damping, tolerance, max_iterations)
+            except NotConverged:
+                score, turns = np.zeros(len(own)), -1
             return pd.DataFrame({"book_id": own, "score": score, "turns": turns})
 
         found = saved(rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "book_id long, score double, turns int"), "scores")
         first = found.select("turns").first()
+        if first and first["turns"] < 0:
+            raise NotConverged("PageRank did not converge.")
         return found.select("book_id", "score"), first["turns"] if first else 0
     return pagerank_by_join(ids, links, damping, tolerance, max_iterations)
 
