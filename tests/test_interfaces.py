@@ -119,6 +119,40 @@ def test_fetch():
     assert len(calls) == 4 and waits == [2.0, 4.0]
 
 
+def test_collect(spark):
+    from lexigraph.sources.collect import Collector
+
+    texts = {11: "sea ocean whale", 12: "sea ocean whale", 13: "short", 14: None, 15: "<html> a b c", 16: "new words here"}
+    rows = [(i, f"T{i}", "A", "s", f"u{i}", "en") for i in texts]
+    candidates = spark.createDataFrame(rows, "id long, title string, author string, source string, download_url string, language string")
+
+    def get(url):
+        text = texts[int(url[1:])]
+        if text is None:
+            raise urllib.error.HTTPError(url, 404, "", None, None)
+        return text.encode()
+
+    run = Collector(spark, min_words=2, get=get, pause=lambda s: None)
+    assert run.run(candidates, 10) == 2
+    assert {k: v[0] for k, v in run.states.items()} == {11: "accepted", 12: "duplicate", 13: "short", 14: "missing", 15: "error", 16: "accepted"}
+    again = Collector(spark, min_words=2, get=get, pause=lambda s: None)
+    again.resume(run.state_table(), run.book_table())
+    texts[15] = "now a text"
+    assert again.run(candidates, 10) == 3 and again.states[15][0] == "accepted"
+    assert Collector(spark, min_words=2, get=get, pause=lambda s: None).run(candidates, 10, seed=True) == 1
+
+    def down(url):
+        raise OSError("down")
+
+    failing = Collector(spark, get=down, pause=lambda s: None)
+    with pytest.raises(ValueError):
+        failing.run(candidates, 10)
+    assert len(failing.states) == 5
+    short = Collector(spark, min_words=100)
+    with pytest.raises(ValueError):
+        short.resume(run.state_table(), run.book_table())
+
+
 def test_stream(spark, tmp_path):
     arrivals = tmp_path / "in"
     rows = spark.createDataFrame([(1, "a", "b", "c", "sea ocean"), (2, "a", "b", "c", "sea ocean"), (3, "a", "b", "c", "tree")], BOOK)
