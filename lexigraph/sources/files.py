@@ -28,13 +28,13 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def catalog_books(catalog: DataFrame, site: str = "https://www.gutenberg.org", mirror: str = "https://www.gutenberg.org") -> DataFrame:
+def catalog_books(catalog: DataFrame, site: str = "https://www.gutenberg.org", mirror: str = "https://www.gutenberg.org/files") -> DataFrame:
     """id, title, author, language, source and download_url of a catalogue."""
     number = F.col("`Text#`").cast("long")
     author: Column = F.coalesce(F.expr("nullif(Authors, '')"), F.lit("Unknown"))
     return catalog.select(
         number.alias("id"), F.col("Title").alias("title"), author.alias("author"), F.trim("Language").alias("language"),
-        F.format_string("%s/ebooks/%d", F.lit(site), number).alias("source"), F.format_string("%s/cache/epub/%d/pg%d.txt", F.lit(mirror), number, number).alias("download_url"),
+        F.format_string("%s/ebooks/%d", F.lit(site), number).alias("source"), F.format_string("%s/%d/pg%d.txt", F.lit(mirror), number, number).alias("download_url"),
     )
 
 
