@@ -18,14 +18,18 @@ floor(s/4) + 2. The order is by document frequency, the frequent last.
 3. For what remains, size-aware: a light set (size up to the boundary) enters
    every 2-subset of its longer prefix into an index of subsets; a heavy set's
    prefix elements are inverted lists, into which light sets large enough for a
-   heavy partner post as well. The boundary minimises the estimated cost, the
-   number of subsets below it plus the lengths of the lists scanned above it.
-4. Lists aren't expanded into all pairs. First each member is compared with one
-   pivot of its list and size range, which joins groups of near copies by as
-   many links as they have members. Then only members that are still in
-   different components, in lists that still hold several, are compared, all of
-   them. So no link between components is lost.
-5. Pairs are verified on the sets' shared shingles: all that can intersect.
+   heavy partner post as well. The boundary minimises the estimated cost: the number of
+   subsets below it, and above it list entries with a share of the lists'
+   lengths, the part that is compared.
+4. Lists aren't expanded into all pairs. Classes with the same longest list lie
+   together in blocks of bounded size, where inverted lists of all their shared
+   shingles give the exact components without a row for each pair. Then lists
+   that still hold several components yield one drawn pair for each, which
+   joins what many links connect; and last all pairs of different components
+   and blocks, so that no link between components is lost.
+5. Pairs pass the positional bound (what two sets can share behind their first
+   common element) and are verified on the sets' shared shingles, which are all
+   that can intersect; a set travels once for each pair of blocks.
 
 Components come from min-label propagation with pointer jumping over tables in
 the shared folder. Null text has no words; null doc_ids take part but name no
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, saved, scratch, slices, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, saved, slices, spread, text_buffer, word_spans
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -51,6 +55,10 @@ PERCENT = 75
 #: A shingle is hot in at least one of so many sets, and at least HOT_LEAST.
 HOT_SHARE = 1000
 HOT_LEAST = 64
+#: What share of a list's members an entry is compared with, in rows' cost.
+COMPARED = 0.02
+#: Shingles of the sets in a block, about.
+BLOCK_SHINGLES = 2_000_000
 #: A set of ids that is broadcast has at most so many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -224,7 +232,8 @@ def find_shared(packed: DataFrame, bits: int) -> DataFrame:
 
 
 def survivors(packed: DataFrame, hot_cost: int) -> DataFrame:
-    """Classes that may have a partner: name, size, tokens (the part of the
+    """Classes that may have a partner: name, size, lonely (shingles that no
+    other class holds), tokens (the part of the
     2-subset prefix that is shared, in order), single (how many of them make
     the 1-element prefix), shared (all shingles that others hold too) and the
     costs of subsets and of scanning."""
@@ -267,19 +276,19 @@ def survivors(packed: DataFrame, hot_cost: int) -> DataFrame:
                 continue
             k = int(min(single[i], len(both)))
             tokens = both[: k + 1]
-            scan = int(df[cold_at[i] : cold_at[i] + k].sum()) + hot_cost * max(0, k - len(own))
-            rows.append((int(names[i].view(np.int64)), int(sizes[i]), _packed(tokens, "<u8"), k, _packed(np.sort(both), "<u8"), len(tokens) * (len(tokens) - 1) // 2, scan))
+            scan = k + int(COMPARED * (df[cold_at[i] : cold_at[i] + k].sum() + hot_cost * max(0, k - len(own))))
+            rows.append((int(names[i].view(np.int64)), int(sizes[i]), int(lonely[i]), _packed(tokens, "<u8"), k, _packed(np.sort(both), "<u8"), len(tokens) * (len(tokens) - 1) // 2, scan))
             if len(rows) >= 2000:
                 yield out(rows)
                 rows = []
         yield out(rows)
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        columns = list(zip(*rows)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "size", "tokens", "single", "shared", "subset_cost", "scan_cost"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) or [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "size", "lonely", "tokens", "single", "shared", "subset_cost", "scan_cost"])
 
-    return packed.mapInArrow(run, "name long, size long, tokens binary, single int, shared binary, subset_cost long, scan_cost long")
+    return packed.mapInArrow(run, "name long, size long, lonely long, tokens binary, single int, shared binary, subset_cost long, scan_cost long")
 
 
 def boundary(found: DataFrame) -> int:
@@ -295,75 +304,203 @@ def boundary(found: DataFrame) -> int:
 
 
 def postings(found: DataFrame, light_to: int) -> DataFrame:
-    """key, name, size and light (1: light) of every entry of both indexes."""
+    """key, name, size and room of every entry of both indexes: room is how much
+    the set can share with another whose first common elements these are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, lights = [], [], []
-            size = batch.column("size").to_numpy()
-            single = batch.column("single").to_numpy()
+            keys, rows, rooms = [], [], []
+            size, lonely, single = (batch.column(c).to_numpy() for c in ("size", "lonely", "single"))
             for i in range(batch.num_rows):
                 tokens = _read(batch.column("tokens")[i], "<u8")
+                left = size[i] - lonely[i] - np.arange(len(tokens))
                 with np.errstate(over="ignore"):
-                    own = []
                     if size[i] <= light_to:
                         a, b = np.triu_indices(len(tokens), 1)
                         low, high = np.minimum(tokens[a], tokens[b]), np.maximum(tokens[a], tokens[b])
-                        own.append(mix(low * MIX[50] + high * MIX[51]))
+                        keys.append(mix(low * MIX[50] + high * MIX[51]))
+                        rooms.append(left[b] + 1)
+                        rows.append(np.full(len(a), i))
                     if 4 * size[i] >= 3 * (light_to + 1):
-                        own.append(tokens[: single[i]])
-                    for part in own:
-                        keys.append(part)
-                        rows.append(np.full(len(part), i))
+                        keys.append(tokens[: single[i]])
+                        rooms.append(left[: single[i]])
+                        rows.append(np.full(len(keys[-1]), i))
             row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("name").take(pa.array(row)), pa.array(size[row])], names=["key", "name", "size"])
+            room = np.concatenate(rooms) if rooms else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("name").take(pa.array(row)), pa.array(size[row]), pa.array(room)], names=["key", "name", "size", "room"])
 
-    return found.select("name", "size", "tokens", "single").mapInArrow(run, "key long, name long, size long")
+    return found.select("name", "size", "lonely", "tokens", "single").mapInArrow(run, "key long, name long, size long, room long")
 
 
-def like_sizes(a: Column, b: Column) -> Column:
-    return (4 * F.least(a, b) >= 3 * F.greatest(a, b))
+def may_link(a: Column, b: Column, room_a: Column, room_b: Column) -> Column:
+    """Whether sets of sizes a and b can share the 3 (a + b) / 7 that a link
+    takes, given the room behind their first common elements."""
+    return 7 * F.least(room_a, room_b) >= 3 * (a + b)
 
 
-def pivot_pairs(index: DataFrame) -> DataFrame:
-    """Each entry with its list's pivots of its size range and the one below."""
-    step = F.floor(F.log("size") / F.lit(float(np.log(4 / 3)))).cast("int")
-    ranged = index.withColumn("step", step)
-    pivots = ranged.groupBy("key", "step").agg(F.min(F.struct("name", "size")).alias("pivot"))
-    pivots = pivots.withColumn("at", F.explode(F.array(F.col("step"), F.col("step") + 1))).select("key", F.col("at").alias("step"), "pivot")
-    met = ranged.join(pivots, ["key", "step"]).filter((F.col("name") != F.col("pivot.name")) & like_sizes(F.col("size"), F.col("pivot.size")))
-    return met.select(F.least("name", "pivot.name").alias("a"), F.greatest("name", "pivot.name").alias("b")).distinct()
+def union(comp: np.ndarray, members: np.ndarray) -> None:
+    """Give the components of ``members`` their least label."""
+    labels = np.unique(comp[members])
+    if len(labels) > 1:
+        comp[np.isin(comp, labels)] = labels[0]
 
 
-def open_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in the lists that hold several."""
-    named = index.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = saved(named.join(several, "key", "left_semi"), "open-lists")
-    left, right = rest.alias("l"), rest.alias("r")
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.name") < F.col("r.name")) & (F.col("l.label") != F.col("r.label")) & like_sizes(F.col("l.size"), F.col("r.size")))
-    return met.select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct()
+def block_components(sizes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Component (least index) of each set among these, by inverted lists.
+
+    A set is compared with all at once: its elements' lists are counted. Only
+    sets outside the largest component need that, until none is left; of two
+    sets in different components one is outside it, so no link is missed."""
+    n = len(sets)
+    comp = np.arange(n)
+    lengths = np.fromiter(map(len, sets), np.int64, n)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    todo = np.ones(n, bool)
+    while True:
+        held = np.bincount(comp, minlength=n)
+        left = np.flatnonzero(todo & (comp != held.argmax()))
+        if not len(left):
+            return comp
+        # The member of the largest of the other components, for wide steps.
+        i = left[held[comp[left]].argmax()]
+        todo[i] = False
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        run, inner = spread(high - low)
+        both = np.bincount(owner[low[run] + inner], minlength=n)
+        union(comp, np.append(np.flatnonzero(100 * both >= PERCENT * (sizes[i] + sizes - both)), i))
+
+
+def placed(index: DataFrame, found: DataFrame) -> DataFrame:
+    """name, block of every class that shares a list: classes whose longest
+    list is the same lie together, in blocks of bounded size."""
+    lists = index.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    top = index.join(lists, "key").groupBy("name", "size").agg(F.max(F.struct("held", "key"))["key"].alias("top"))
+    top = saved(top, "top-lists")
+    parts = top.groupBy("top").agg(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)).alias("parts"))
+    block = F.xxhash64("top", F.pmod(F.xxhash64("name"), F.col("parts")))
+    return saved(top.join(parts, "top").select("name", block.alias("block")), "blocks")
+
+
+def within_blocks(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """name, label: components by the links inside each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, sizes, sets in whole_groups(batches, "block"):
+            comp = block_components(np.array(sizes), sets) if len(sets) > 1 else np.zeros(1, np.int64)
+            names = np.array(names)
+            least = np.full(len(names), np.iinfo(np.int64).max)
+            np.minimum.at(least, comp, names)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(least[comp])], names=["name", "label"])
+
+    sets = found.select("name", "size", "shared").join(blocks, "name").select("block", "name", "size", "shared")
+    return sets.repartition("block").sortWithinPartitions("block").mapInArrow(run, "name long, label long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
+    """(key, names, sizes, sets) of each run of equal keys."""
+    now, names, sizes, sets = None, [], [], []
+    for batch in batches:
+        shared = batch.column("shared")
+        for i, (k, name, size) in enumerate(zip(batch.column(key).to_pylist(), batch.column("name").to_pylist(), batch.column("size").to_pylist())):
+            if k != now and sets:
+                yield now, names, sizes, sets
+                names, sizes, sets = [], [], []
+            now = k
+            names.append(name)
+            sizes.append(size)
+            sets.append(np.frombuffer(shared[i].as_py(), "<u8"))
+    if sets:
+        yield now, names, sizes, sets
+
+
+def open_lists(index: DataFrame, blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of the lists that hold several components, with the list's most
+    frequent one (main)."""
+    where = blocks.join(labels, "name")
+    named = index.join(where, "name")
+    held = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = held.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    return named.join(main.select("key", "main"), "key")
+
+
+def chosen_pairs(entries: DataFrame) -> DataFrame:
+    """For each open list and component one member drawn by hash, each paired
+    with the one of the main component."""
+    draw = F.struct(F.xxhash64("name", "key").alias("draw"), "name", "size", "room", "block")
+    one = entries.groupBy("key", "label", "main").agg(F.min(draw).alias("x"))
+    main = one.filter("label = main").select("key", F.col("x").alias("y"))
+    met = one.filter("label != main").join(main, "key").filter(may_link(F.col("x.size"), F.col("y.size"), F.col("x.room"), F.col("y.room")))
+    return _pairs(met, "x.name", "y.name", "x.block", "y.block")
+
+
+def open_pairs(entries: DataFrame) -> DataFrame:
+    """All pairs of different components and blocks that share an open list:
+    each entry outside the main component meets all entries of others. (Pairs
+    within a block have been compared.)"""
+    columns = ("name", "size", "room", "block", "label")
+    apart = entries.filter("label != main").select("key", F.struct(*columns).alias("x"))
+    met = apart.join(entries.select("key", F.struct(*columns).alias("y")), "key")
+    met = met.filter((F.col("x.label") != F.col("y.label")) & (F.col("x.block") != F.col("y.block")) & may_link(F.col("x.size"), F.col("y.size"), F.col("x.room"), F.col("y.room")))
+    return _pairs(met, "x.name", "y.name", "x.block", "y.block")
+
+
+def _pairs(met: DataFrame, x: str, y: str, x_block: str, y_block: str) -> DataFrame:
+    tile = F.xxhash64(F.least(x_block, y_block), F.greatest(x_block, y_block))
+    return met.select(tile.alias("tile"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs that link."""
-    sets = found.select("name", "size", "shared")
-    a = sets.select(F.col("name").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
-    b = sets.select(F.col("name").alias("b"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
+    """Pairs that link, enough of them for the components. A set travels once
+    for each tile (pair of blocks) in which it has pairs, not for each pair."""
+    pairs = saved(pairs, "pairs")
+    needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = needed.join(found.select("name", "size", "shared"), "name").select("tile", F.lit(0).alias("kind"), "name", F.lit(None).cast("long").alias("b"), "size", "shared")
+    asked = pairs.select("tile", F.lit(1).alias("kind"), F.col("a").alias("name"), "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = _read(batch.column("shared_a")[i], "<u8"), _read(batch.column("shared_b")[i], "<u8")
-                place = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[place] == x))
-                keep[i] = 100 * both >= PERCENT * (int(sizes[i]) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+        now, sets, top = None, {}, {}
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "shared_a", "size_b", "shared_b").mapInArrow(run, "a long, b long")
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        for batch in batches:
+            links = []
+            shared = batch.column("shared")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("tile", "kind", "name", "b", "size")))
+            for i, (tile, kind, name, b, size) in enumerate(rows):
+                if tile != now:
+                    now, sets, top = tile, {}, {}
+                if kind == 0:
+                    sets[name], top[name] = (size, np.frombuffer(shared[i].as_py(), "<u8")), name
+                    continue
+                p, q = root(name), root(b)
+                if p == q:
+                    continue
+                (m, x), (n, y) = sets[name], sets[b]
+                both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+                if 100 * both >= PERCENT * (m + n - both):
+                    top[q] = p
+                    links.append((name, b))
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    return sets.unionByName(asked).repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(run, "a long, b long")
+
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after joining the components that ``links`` connect."""
+    name = lambda c: labels.select(F.col("name").alias(c), F.col("label").alias(f"{c}_label"))
+    between = links.join(name("a"), "a").join(name("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).filter("a != b").distinct()
+    between = saved(between, "links")
+    if between.isEmpty():
+        return labels
+    top = label_components(between).select(F.col("name").alias("label"), F.col("label").alias("top"))
+    return saved(labels.join(top, "label", "left").select("name", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def label_components(links: DataFrame) -> DataFrame:
@@ -394,12 +531,12 @@ def class_labels(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     found = saved(survivors(packed.repartitionById(ranges, F.col("key")), hot_from), "survivors")
     light_to = boundary(found)
     index = saved(postings(found, light_to), "postings")
-    links = saved(verified(pivot_pairs(index), found), "links")
-    labels = label_components(links)
-    more = saved(verified(open_pairs(index, labels), found), "links")
-    if more.isEmpty():
-        return labels
-    return label_components(links.union(more))
+    blocks = placed(index, found)
+    labels = saved(within_blocks(found, blocks), "labels")
+    for pairs in (chosen_pairs, open_pairs):
+        entries = saved(open_lists(index, blocks, labels), "open-lists")
+        labels = joined_labels(labels, verified(pairs(entries), found))
+    return labels
 
 
 def components(docs: DataFrame) -> DataFrame:
