@@ -1,15 +1,20 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are predicted one after another; each model sees the presence of a
-small set of words and the log-odds of all earlier categories. For training
+small set of word beginnings (4 to 6 characters, so that inflected and compound
+forms count too; shorter words as they are) and the log-odds of all earlier categories. For training
 those come from out-of-fold predictions, so a later model learns from earlier
 probabilities as good as it will meet, and never from rows that taught them.
 
-The models are fitted on at most about ``FIT_ROWS`` labelled rows (chosen by a
-hash of doc_id; rows with the same words count once). Words are chosen by the
-strength of their association with any category, counted over the whole sample
-by Spark; only word indices of the sample reach the driver. Every whole text is
-scored.
+Where the labels name one degree only, the later categories are degrees of it:
+labelled rows that hold several of the telling words.
+
+The models are fitted on at most about ``FIT_ROWS`` labelled rows, chosen by a
+hash of doc_id. Rows whose two least word hashes agree, nearly always copies or
+near copies, count once, lest a group of copies teach its own words. Words are
+chosen by the strength of their association with the labels, counted over the
+whole sample by Spark; only word indices of the sample reach the driver. Every
+whole text is scored.
 
 Null text is empty and gets the base rates; repeated rows get equal rows; with
 no labelled rows, or one class only, a category's model is its base rate; an
@@ -26,29 +31,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, hash_spans, saved, slices, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, hash_spans, saved, slices, text_buffer, word_spans
 from .decontam import WORD
 
-FIT_ROWS = 20_000
-WORDS = 64
+FIT_ROWS = 10_000
+WORDS = 96
+#: Lengths of word beginnings, in characters.
+BEGINNINGS = (4, 5, 6)
 #: Rows of the sample that a word needs.
 SUPPORT = 8
 FOLDS = 5
-RIDGE = 2.0
+RIDGE = 0.05
 THRESHOLD = 0.5
-#: From the general to the specific: name and label condition.
-CATEGORIES = (("disruptive", "toxic = 1 or quality = 0"), ("toxic", "toxic = 1"), ("severe", "toxic = 1 and quality = 0"))
+#: A word is chosen if its strength is at least this share of the strongest's.
+STRENGTH = 0.25
+#: From the general to the specific: name, label condition, and how many of the
+#: chosen words a row of that label must hold to count for the category.
+CATEGORIES = (("toxic", "toxic = 1", 0), ("repeated", "toxic = 1", 2), ("severe", "toxic = 1", 5))
 
 
-def distinct_words(column: pa.Array) -> list[np.ndarray]:
-    """Hashes of each text's distinct words, as signed numbers."""
+def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (signed) and text of every word beginning; for a word shorter than
+    all, of the word."""
     data, offsets = text_buffer(column)
     starts, ends, first = word_spans(data, offsets, WORD)
-    words = hash_spans(data, starts, ends, FOLDED_VALUES).view(np.int64)
-    return [np.unique(words[s:e]) for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    chars = np.append(chars, np.full(max(BEGINNINGS) + 1, len(data)))
+    at = np.searchsorted(chars, starts)
+    hashes, texts = [], []
+    for k in BEGINNINGS:
+        stop = chars[np.minimum(at + k, len(chars) - 1)]
+        long = stop <= ends
+        stop = np.minimum(stop, ends)
+        use = np.ones(len(starts), bool) if k == min(BEGINNINGS) else long
+        h = hash_spans(data, starts[use], stop[use], FOLDED_VALUES)
+        with np.errstate(over="ignore"):
+            hashes.append((h + MIX[k]).view(np.int64))
+        texts.append(owner[use])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+def distinct_words(column: pa.Array) -> list[np.ndarray]:
+    """Hashes of each text's distinct word beginnings."""
+    hashes, owner = beginnings(column)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    once = np.ones(len(hashes), bool)
+    once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return np.split(hashes[once], np.searchsorted(owner[once], np.arange(1, len(column)))) if len(column) else []
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20) -> np.ndarray:
     """Weights (the last is the intercept, unpenalised) by Newton's method."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
@@ -83,15 +119,12 @@ class Chain:
         return out
 
     def features(self, column: pa.Array) -> np.ndarray:
-        data, offsets = text_buffer(column)
-        starts, ends, first = word_spans(data, offsets, WORD)
-        x = np.zeros((len(offsets) - 1, len(self.words)))
-        if not len(self.words) or not len(starts):
-            return x
-        words = hash_spans(data, starts, ends, FOLDED_VALUES).view(np.int64)
-        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        hit = np.flatnonzero(self.words[place] == words)
-        x[np.searchsorted(first, hit, side="right") - 1, place[hit]] = 1
+        hashes, owner = beginnings(column)
+        x = np.zeros((len(column), len(self.words)))
+        if len(self.words) and len(hashes):
+            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            hit = np.flatnonzero(self.words[place] == hashes)
+            x[owner[hit], place[hit]] = 1
         return x
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
@@ -116,8 +149,8 @@ def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.n
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = FIT_ROWS, words: int = WORDS) -> Chain:
     """Learn the chain from the rows of ``docs`` that ``labels`` covers."""
-    names = [n for n, _ in categories]
-    truth = labels.filter("doc_id is not null").select("doc_id", *(F.coalesce(F.expr(c), F.lit(False)).cast("double").alias(f"y{i}") for i, (_, c) in enumerate(categories))).dropDuplicates(["doc_id"])
+    names = [n for n, _, _ in categories]
+    truth = labels.filter("doc_id is not null").select("doc_id", *(F.coalesce(F.expr(c), F.lit(False)).cast("double").alias(f"y{i}") for i, (_, c, _) in enumerate(categories))).dropDuplicates(["doc_id"])
     total = labels.count()
     if total > rows:
         truth = truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
@@ -132,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), found, *(part.column(y) for y in ys)], names=["doc_id", "words", *ys])
 
     sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<long>, " + ", ".join(f"{y} double" for y in ys))
-    sample = saved(sample.withColumn("alike", F.xxhash64("words")).dropDuplicates(["alike"]), "toxicity-sample")
+    sample = saved(sample.withColumn("alike", F.xxhash64(F.slice("words", 1, 2))).dropDuplicates(["alike"]), "toxicity-sample")
     base = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     n = base["n"]
     if not n:
@@ -142,13 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
     for y in ys:
         rate = min(max((base[y] or 0) / n, 1e-3), 1 - 1e-3)
         strength = F.greatest(strength, (F.col(y) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-    chosen = np.sort(np.array([r["word"] for r in counts.select("word", strength.alias("z")).orderBy(F.desc("z"), "word").limit(words).collect()], np.int64))
+    found = counts.select("word", strength.alias("z")).orderBy(F.desc("z"), "word").limit(words).collect()
+    chosen = np.sort(np.array([r["word"] for r in found if r["z"] >= STRENGTH * found[0]["z"]], np.int64))
     places = F.array(*(F.lit(int(w)) for w in chosen)).cast("array<long>")
     rows_ = sample.select(F.array_intersect("words", places).alias("words"), F.pmod(F.col("alike"), F.lit(FOLDS)).alias("fold"), F.col("alike"), *ys).orderBy("alike").toPandas()
     x = np.zeros((len(rows_), len(chosen)))
     for i, own in enumerate(rows_["words"]):
         x[i, np.searchsorted(chosen, np.asarray(own, np.int64))] = 1
-    return Chain(names, chosen, fit_arrays(x, rows_[ys].to_numpy(float), rows_["fold"].to_numpy()))
+    degree = np.array([least for _, _, least in categories])
+    truths = rows_[ys].to_numpy(float) * (x.sum(axis=1)[:, None] >= degree)
+    return Chain(names, chosen, fit_arrays(x, truths, rows_["fold"].to_numpy()))
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
