@@ -17,7 +17,8 @@ whole sample by Spark; only word indices of the sample reach the driver. Every
 whole text is scored.
 
 Null text is empty and gets the base rates; repeated rows get equal rows; with
-no labelled rows, or one class only, a category's model is its base rate; an
+no labelled rows, or one class only, a category's model is its base rate and
+nothing is toxic; an
 empty table gives no rows; extra columns are left aside or, by ``clean``, kept.
 Ties in word choice go by the word's hash.
 """
@@ -42,8 +43,9 @@ BEGINNINGS = (4, 5, 6)
 SUPPORT = 8
 FOLDS = 5
 RIDGE = 0.05
-THRESHOLD = 0.5
-#: A word is chosen if its strength is at least this share of the strongest's.
+#: A word is chosen if at least this share of the rows that hold it has the label.
+PURITY = 0.75
+#: And if its strength is at least this share of the strongest's.
 STRENGTH = 0.25
 #: From the general to the specific: name, label condition, and how many of the
 #: chosen words a row of that label must hold to count for the category.
@@ -105,10 +107,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 2
 
 
 class Chain:
-    """The words' hashes (ascending) and one weight vector for each category."""
+    """The words' hashes (ascending), one weight vector for each category, and
+    the log-odds of the first from which a text counts as toxic."""
 
-    def __init__(self, names: list[str], words: np.ndarray, weights: list[np.ndarray]):
-        self.names, self.words, self.weights = names, words, weights
+    def __init__(self, names: list[str], words: np.ndarray, weights: list[np.ndarray], cut: float = 0.0):
+        self.names, self.words, self.weights, self.cut = names, words, weights, cut
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         """Log-odds (rows, categories), each fed to the next."""
@@ -127,13 +130,25 @@ class Chain:
             x[owner[hit], place[hit]] = 1
         return x
 
-    def probabilities(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.margins(self.features(column))))
+    def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities (rows, categories), and which texts are toxic."""
+        margins = self.margins(self.features(column))
+        return 1 / (1 + np.exp(-margins)), margins[:, 0] >= self.cut
 
 
-def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.ndarray]:
+def best_cut(margins: np.ndarray, y: np.ndarray) -> float:
+    """Where out-of-fold margins part the classes best by F1; amid the gap."""
+    order = np.argsort(-margins, kind="stable")
+    m, hits = margins[order], np.cumsum(y[order])
+    ends = np.append(m[:-1] > m[1:], True)
+    score = np.where(ends, 2 * hits / (np.arange(1, len(m) + 1) + y.sum()), -1)
+    k = int(score.argmax())
+    return float(m[k] - 1 if k + 1 == len(m) else (m[k] + m[k + 1]) / 2)
+
+
+def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], float]:
     """One weight vector for each column of ``labels``; the later ones are
-    fitted on the earlier ones' out-of-fold log-odds."""
+    fitted on the earlier ones' out-of-fold log-odds. And the first's cut."""
     known, weights = np.zeros((len(x), 0)), []
     for k in range(labels.shape[1]):
         full, y = np.hstack([x, known]), labels[:, k]
@@ -144,7 +159,7 @@ def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> list[np.n
             w = logistic(full[~out], y[~out])
             held[out] = full[out] @ w[:-1] + w[-1]
         known = np.hstack([known, np.clip(held, -30, 30)[:, None]])
-    return weights
+    return weights, best_cut(known[:, 0], labels[:, 0]) if labels[:, 0].any() else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = FIT_ROWS, words: int = WORDS) -> Chain:
@@ -170,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
     n = base["n"]
     if not n:
         return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * i + [-30.0]) for i in range(len(names))])
-    counts = sample.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).filter(F.col("n") >= SUPPORT)
+    counts = sample.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).filter((F.col("n") >= SUPPORT) & (F.greatest(*ys, F.lit(0.0)) >= PURITY * F.col("n")))
     strength: Column = F.lit(0.0)
     for y in ys:
         rate = min(max((base[y] or 0) / n, 1e-3), 1 - 1e-3)
@@ -184,33 +199,30 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
         x[i, np.searchsorted(chosen, np.asarray(own, np.int64))] = 1
     degree = np.array([least for _, _, least in categories])
     truths = rows_[ys].to_numpy(float) * (x.sum(axis=1)[:, None] >= degree)
-    return Chain(names, chosen, fit_arrays(x, truths, rows_["fold"].to_numpy()))
+    return Chain(names, chosen, *fit_arrays(x, truths, rows_["fold"].to_numpy()))
 
 
-def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, p_<category> of each and the boolean toxic."""
     names = [f"p_{n}" for n in chain.names]
-    at = chain.names.index("toxic")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                p = chain.probabilities(part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(p[:, at] >= threshold)], names=[*keep, *names, "toxic"])
+                p, toxic = chain.judge(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(p[:, i]) for i in range(len(names))), pa.array(toxic)], names=[*keep, *names, "toxic"])
 
     columns = list(dict.fromkeys([*keep, "text"]))
     return docs.select(columns).mapInArrow(run, f"{fields}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")
 
 
-def clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+def clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of ``docs`` that aren't toxic, with their columns as they are."""
-    at = chain.names.index("toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keep = chain.probabilities(part.column("text"))[:, at] < threshold
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(~chain.judge(part.column("text"))[1]))
 
     return docs.mapInArrow(run, docs.schema)
