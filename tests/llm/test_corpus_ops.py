@@ -213,10 +213,11 @@ def test_chain_uses_out_of_fold_margins():
     x = draw.integers(0, 2, (400, 6)).astype(float)
     first = (x[:, 0] > 0).astype(float)
     second = first * (draw.random(400) < 0.9)
-    weights = toxicity.fit_arrays(x, np.stack([first, second], 1), np.arange(400) % 5)
+    weights, cut = toxicity.fit_arrays(x, np.stack([first, second], 1), np.arange(400) % 5)
     assert len(weights[0]) == 7 and len(weights[1]) == 8
     margins = toxicity.Chain(["a", "toxic"], np.arange(6), weights).margins(x)
-    assert ((margins > 0).astype(float)[:, 0] == first).mean() > 0.99
+    assert ((margins[:, 0] >= cut) == first).mean() > 0.99
+    assert toxicity.best_cut(np.array([3.0, 1.0, 1.0, -1.0, -5.0]), np.array([1.0, 1.0, 1.0, 0.0, 0.0])) == 0.0
 
 
 # Language
