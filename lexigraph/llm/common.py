@@ -3,6 +3,8 @@ vectorised word scanning over Arrow string buffers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,11 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step holds; longer single texts go alone.
 STEP_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python, about.
+BATCH_BYTES = 8 << 20
 #: Bytes that one hashing step covers; words are never cut.
 HASH_BYTES = 1 << 20
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes, however long the texts are, unless the
+    session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "-1"):  # Spark's default, and no bound
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +55,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage
     ends here, and a lost executor costs at most the tasks that were running."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    bounded(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -169,5 +183,8 @@ def spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.arange(total) - first[run]
 
 
-def binary(chunks: list[bytes]) -> pa.Array:
-    return pa.array(chunks, pa.binary())
+def release() -> None:
+    """Give memory that is free back to the system, between heavy steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

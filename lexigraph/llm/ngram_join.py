@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, saved, slices, spread, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, release, saved, slices, spread, text_buffer, word_spans
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -211,6 +211,7 @@ def find_shared(packed: DataFrame, bits: int) -> DataFrame:
         hashes.clear(), names.clear()
         order = np.argsort(h)
         h, n = h[order], n[order]
+        del order
         company = np.zeros(len(h), bool)
         same = h[1:] == h[:-1]
         company[1:] |= same
@@ -227,6 +228,8 @@ def find_shared(packed: DataFrame, bits: int) -> DataFrame:
         order = np.argsort(n, kind="stable")
         n = n[order]
         yield _rows(SHARED, (n >> shift).astype(np.int64), n, h[order], df[order])
+        del h, n, df, order
+        release()
 
     return packed.mapInArrow(run, PACKED)
 
@@ -282,6 +285,8 @@ def survivors(packed: DataFrame, hot_cost: int) -> DataFrame:
                 yield out(rows)
                 rows = []
         yield out(rows)
+        got.clear()
+        release()
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, scratch, slices
+from .common import partitions, release, saved, scratch, slices
 from .tokens import encoder
 
 MAGIC = b"LXTK"
@@ -36,6 +36,8 @@ STRIDE = 256
 #: Ids in a segment before the next begins (a longer document goes alone).
 SEGMENT_IDS = 1 << 22
 NULL_ID = -(2**63)
+#: Text bytes that are encoded at once.
+STEP = 1 << 20
 
 
 class EliasFano:
@@ -126,13 +128,15 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, *keep: str, after=N
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         code, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", STEP):
                 ids, at = code.encode(part.column("text"))
                 raw = ids.astype("<u4").tobytes()
                 rows = [raw[4 * s : 4 * e] + end for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(at) + 1), pa.array(rows, pa.binary())], names=[*keep, "n_tokens", "ids"])
+            release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary", *[more] * bool(more)])
     return docs.select(*keep, "text").mapInArrow((lambda batches: after(run(batches))) if after else run, schema)

@@ -40,7 +40,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = KIND == 0
 #: Units whose ids a worker keeps.
-KEEP = 1_200_000
+KEEP = 400_000
 _loaded: dict[str, "Encoder"] = {}
 
 
