@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after another; each model sees the presence of a
-small set of word beginnings (4 to 6 characters, so that inflected and compound
-forms count too; shorter words as they are) and the log-odds of all earlier categories. For training
+Categories are predicted one after another; each model sees the presence or
+the rate of a small set of whole words and word beginnings (so that inflected
+and compound forms count too) and the log-odds of all earlier categories. For training
 those come from out-of-fold predictions, so a later model learns from earlier
 probabilities as good as it will meet, and never from rows that taught them.
 
@@ -12,9 +12,11 @@ labelled rows that hold several of the telling words.
 The models are fitted on at most about ``FIT_ROWS`` labelled rows, chosen by a
 hash of doc_id. Rows whose two least word hashes agree, nearly always copies or
 near copies, count once, lest a group of copies teach its own words. Words are
-chosen by the strength of their association with the labels, counted over the
-whole sample by Spark; only word indices of the sample reach the driver. Every
-whole text is scored.
+chosen by the strength of their association with the labels inside a language
+(``lang``, where there is one) or over all, against that language's own share of
+the label and with room for each; a word that clean texts hold by chance, once,
+still tells by its rate. The strengths are counted over the whole sample by
+Spark; only values of chosen features reach the driver. Every whole text is scored.
 
 Null text is empty and gets the base rates; repeated rows get equal rows; with
 no labelled rows, or one class only, a category's model is its base rate and
@@ -29,65 +31,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLDED_VALUES, MIX, hash_spans, saved, slices, text_buffer, word_spans
 from .decontam import WORD
 
 FIT_ROWS = 10_000
+#: Features of one language, and of all, at most.
 WORDS = 96
-#: Lengths of word beginnings, in characters.
-BEGINNINGS = (4, 5, 6)
+ALL_WORDS = 384
+#: Lengths of word beginnings, in characters; WHOLE stands for the whole word.
+BEGINNINGS = (4, 5, 6, 8)
+WHOLE = 15
+#: A feature's low bits: the length, then the kind (presence or rate).
+RATE = 16
+#: Words added to a text's length in rates, so that one word of a short text is no high rate.
+SHRINK = 50
 #: Rows of the sample that a word needs.
 SUPPORT = 8
 FOLDS = 5
 RIDGE = 0.05
-#: A word is chosen if at least this share of the rows that hold it has the label.
-PURITY = 0.75
-#: And if its strength is at least this share of the strongest's.
-STRENGTH = 0.25
+#: Standard deviations above chance that a feature needs: some hundred thousand are tried.
+STRENGTH = 6.0
+#: Or, for presence, minus the log of a bound on the chance of so many labelled
+#: rows (Chernoff); where the label is common, deviations can't get that large.
+SURPRISE = 14.0
 #: From the general to the specific: name, label condition, and how many of the
 #: chosen words a row of that label must hold to count for the category.
 CATEGORIES = (("toxic", "toxic = 1", 0), ("repeated", "toxic = 1", 2), ("severe", "toxic = 1", 5))
 
 
-def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (signed) and text of every word beginning; for a word shorter than
-    all, of the word."""
+def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (signed, the length in its low bits) and text of every word and word
+    beginning, and the words of each text."""
     data, offsets = text_buffer(column)
     starts, ends, first = word_spans(data, offsets, WORD)
+    sizes = np.diff(first)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
+    owner = np.repeat(np.arange(len(offsets) - 1), sizes)
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     chars = np.append(chars, np.full(max(BEGINNINGS) + 1, len(data)))
     at = np.searchsorted(chars, starts)
     hashes, texts = [], []
-    for k in BEGINNINGS:
-        stop = chars[np.minimum(at + k, len(chars) - 1)]
-        long = stop <= ends
-        stop = np.minimum(stop, ends)
-        use = np.ones(len(starts), bool) if k == min(BEGINNINGS) else long
+    for k in (*BEGINNINGS, WHOLE):
+        stop = ends if k == WHOLE else chars[np.minimum(at + k, len(chars) - 1)]
+        use = stop <= ends
         h = hash_spans(data, starts[use], stop[use], FOLDED_VALUES)
         with np.errstate(over="ignore"):
-            hashes.append((h + MIX[k]).view(np.int64))
+            h = (h + MIX[k]) * MIX[0]
+        hashes.append(((h ^ (h >> np.uint64(32))) & np.uint64(2**64 - 32) | np.uint64(k)).view(np.int64))
         texts.append(owner[use])
-    return np.concatenate(hashes), np.concatenate(texts)
+    return np.concatenate(hashes), np.concatenate(texts), sizes
 
 
-def distinct_words(column: pa.Array) -> list[np.ndarray]:
-    """Hashes of each text's distinct word beginnings."""
-    hashes, owner = beginnings(column)
+def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct hashes, ascending: hash, text and count."""
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     once = np.ones(len(hashes), bool)
     once[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return np.split(hashes[once], np.searchsorted(owner[once], np.arange(1, len(column)))) if len(column) else []
+    at = np.flatnonzero(once)
+    return hashes[at], owner[at], np.diff(np.append(at, len(hashes)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20) -> np.ndarray:
-    """Weights (the last is the intercept, unpenalised) by Newton's method."""
+def rate(counts, sizes, log1p=np.log1p):
+    """The rate feature of a word seen ``counts`` times: bounded by log(1001)."""
+    return log1p(1000 * counts / (sizes + SHRINK))
+
+
+def measured(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Values (texts, features) from all words' hashes and texts."""
+    x = np.zeros((len(sizes), len(features)))
+    if not len(features) or not len(hashes):
+        return x
+    known = np.unique(features & ~RATE)
+    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+    hashes, owner, counts = counted(hashes[hit], owner[hit])
+    for kind, values in ((0, np.ones(len(counts))), (RATE, rate(counts, sizes[owner]))):
+        place = np.minimum(np.searchsorted(features, hashes | kind), len(features) - 1)
+        own = np.flatnonzero(features[place] == hashes | kind)
+        x[owner[own], place[own]] = values[own]
+    return x
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 50) -> np.ndarray:
+    """Weights (the last is the intercept, unpenalised) by Newton's method,
+    steps halved until they lower the loss."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -96,18 +127,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 2
         return w
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
+    loss = lambda v: np.logaddexp(0, (1 - 2 * y) * (x1 @ v)).sum() + (penalty * v * v).sum() / 2
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
         h = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
         step = np.linalg.solve(h, x1.T @ (y - p) - penalty * w)
-        w += np.clip(step, -4, 4)
+        while (after := loss(w + step)) > now and np.abs(step).max() >= 1e-6:
+            step /= 2
         if np.abs(step).max() < 1e-6:
             break
+        w, now = w + step, after
     return w
 
 
 class Chain:
-    """The words' hashes (ascending), one weight vector for each category, and
+    """The features (ascending), one weight vector for each category, and
     the log-odds of the first from which a text counts as toxic."""
 
     def __init__(self, names: list[str], words: np.ndarray, weights: list[np.ndarray], cut: float = 0.0):
@@ -122,13 +157,7 @@ class Chain:
         return out
 
     def features(self, column: pa.Array) -> np.ndarray:
-        hashes, owner = beginnings(column)
-        x = np.zeros((len(column), len(self.words)))
-        if len(self.words) and len(hashes):
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[place] == hashes)
-            x[owner[hit], place[hit]] = 1
-        return x
+        return measured(*beginnings(column), self.words)
 
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (rows, categories), and which texts are toxic."""
@@ -170,36 +199,78 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
     if total > rows:
         truth = truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
     # At most about ``rows`` rows of a few numbers each: a proven bound.
-    joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(truth), "doc_id")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    joined = docs.filter("text is not null").select("doc_id", lang.alias("lang"), "text").join(F.broadcast(truth), "doc_id")
     ys = [f"y{i}" for i in range(len(categories))]
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = pa.array(distinct_words(part.column("text")), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), found, *(part.column(y) for y in ys)], names=["doc_id", "words", *ys])
+                hashes, owner, sizes = beginnings(part.column("text"))
+                hashes, owner, counts = counted(hashes, owner)
+                cuts = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (hashes, counts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), *lists, *(part.column(y) for y in ys)], names=["doc_id", "lang", "size", "words", "counts", *ys])
 
-    sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<long>, " + ", ".join(f"{y} double" for y in ys))
+    sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, size long, words array<long>, counts array<long>, " + ", ".join(f"{y} double" for y in ys))
     sample = saved(sample.withColumn("alike", F.xxhash64(F.slice("words", 1, 2))).dropDuplicates(["alike"]), "toxicity-sample")
-    base = sample.agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
-    n = base["n"]
-    if not n:
+    if sample.isEmpty():
         return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * i + [-30.0]) for i in range(len(names))])
-    counts = sample.select(F.explode("words").alias("word"), *ys).groupBy("word").agg(F.count("*").alias("n"), *(F.sum(y).alias(y) for y in ys)).filter((F.col("n") >= SUPPORT) & (F.greatest(*ys, F.lit(0.0)) >= PURITY * F.col("n")))
-    strength: Column = F.lit(0.0)
-    for y in ys:
-        rate = min(max((base[y] or 0) / n, 1e-3), 1 - 1e-3)
-        strength = F.greatest(strength, (F.col(y) - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate)))
-    found = counts.select("word", strength.alias("z")).orderBy(F.desc("z"), "word").limit(words).collect()
-    chosen = np.sort(np.array([r["word"] for r in found if r["z"] >= STRENGTH * found[0]["z"]], np.int64))
-    places = F.array(*(F.lit(int(w)) for w in chosen)).cast("array<long>")
-    rows_ = sample.select(F.array_intersect("words", places).alias("words"), F.pmod(F.col("alike"), F.lit(FOLDS)).alias("fold"), F.col("alike"), *ys).orderBy("alike").toPandas()
-    x = np.zeros((len(rows_), len(chosen)))
-    for i, own in enumerate(rows_["words"]):
-        x[i, np.searchsorted(chosen, np.asarray(own, np.int64))] = 1
+    chosen = chosen_features(sample, ys, words)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, counts = batch.column("words"), batch.column("counts").flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            x = measured(np.repeat(lists.flatten().to_numpy(), counts), np.repeat(owner, counts), batch.column("size").to_numpy(), chosen)
+            yield pa.RecordBatch.from_arrays([batch.column("alike"), *(batch.column(y) for y in ys), pa.array(list(x), pa.list_(pa.float64()))], names=["alike", *ys, "x"])
+
+    rows_ = sample.mapInArrow(valued, "alike long, " + ", ".join(f"{y} double" for y in ys) + ", x array<double>").orderBy("alike").toPandas()
+    x = np.array(rows_["x"].tolist(), float).reshape(len(rows_), len(chosen))
     degree = np.array([least for _, _, least in categories])
-    truths = rows_[ys].to_numpy(float) * (x.sum(axis=1)[:, None] >= degree)
-    return Chain(names, chosen, *fit_arrays(x, truths, rows_["fold"].to_numpy()))
+    truths = rows_[ys].to_numpy(float) * ((x > 0).sum(axis=1)[:, None] >= degree)
+    weights, cut = fit_arrays(x, truths, rows_["alike"].to_numpy() % FOLDS)
+    # Without a telling feature all texts have the base rates, and none is toxic.
+    return Chain(names, chosen, weights, cut if len(chosen) else np.inf)
+
+
+def chosen_features(sample: DataFrame, ys: list[str], words: int) -> np.ndarray:
+    """The features, ascending, whose sum over the rows of a label is well above
+    what the label's share in each language lets expect; in one language or over
+    all. Of features equal in all rows the longest is taken."""
+    least, most = 1e-3, 1 - 1e-3
+    shares = [F.greatest(F.lit(least), F.least(F.lit(most), F.avg(y))).alias(f"p_{y}") for y in ys]
+    base = sample.groupBy("lang").agg(F.count("*").alias("total"), *shares)
+    one = sample.select("lang", "size", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    one = one.select("lang", "row", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
+    sums = [F.sum("v").alias("v1"), F.sum(F.col("v") * F.col("v")).alias("v2"), *(F.sum(y).alias(f"n_{y}") for y in ys), *(F.sum(F.col(y) * F.col("v")).alias(f"v_{y}") for y in ys)]
+    own = one.groupBy("lang", "word").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), *sums).join(F.broadcast(base), "lang")
+    kinds = []
+    for kind, first, second, name in ((0, F.col("n").cast("double"), F.col("n").cast("double"), "n"), (RATE, F.col("v1"), F.col("v2"), "v")):
+        over = [(F.col(f"{name}_{y}") - F.col(f"p_{y}") * first).alias(f"o{i}") for i, y in enumerate(ys)]
+        vary = [(F.col(f"p_{y}") * (1 - F.col(f"p_{y}")) * second).alias(f"e{i}") for i, y in enumerate(ys)]
+        want = [(F.col(f"p_{y}") * first).alias(f"w{i}") for i, y in enumerate(ys)]
+        kinds.append(own.select("lang", F.col("word").bitwiseOR(F.lit(kind)).alias("word"), "n", "rows", F.round(first, 6).alias("first"), *over, *vary, *want))
+    each = kinds[0].union(kinds[1])
+    at = range(len(ys))
+    z = lambda o, e: F.greatest(*(F.when(e(i) > 0, o(i) / F.sqrt(e(i))).otherwise(0.0) for i in at), F.lit(0.0))
+    each = each.withColumn("z", F.when(F.col("n") >= SUPPORT, z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}"))).otherwise(0.0))
+    pooled = each.groupBy("word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum("first").alias("first"), *(F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "oew" for i in at))
+    strong: Column = F.greatest("top", z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}")))
+    unlikely: Column = F.lit(False)
+    for i in at:
+        n, k = F.col("n"), F.col(f"w{i}") + F.col(f"o{i}")
+        rest = F.when(n - k > 1e-6, (n - k) * F.log((n - k) / (n - F.col(f"w{i}")))).otherwise(0.0)
+        bound = F.when(F.col(f"o{i}") > 0, k * F.log(k / F.col(f"w{i}")) + rest).otherwise(0.0)
+        unlikely = unlikely | ((F.col("word").bitwiseAND(F.lit(RATE)) == 0) & (bound >= SURPRISE))
+    strong = pooled.filter(F.col("n") >= SUPPORT).withColumn("z", strong).filter((F.col("z") >= STRENGTH) | unlikely)
+    # Equal in all rows: the same rows (by their hashes' sum) and the same sum of values.
+    kind = F.col("word").bitwiseAND(F.lit(RATE))
+    strong = strong.withColumn("length", F.col("word").bitwiseAND(F.lit(RATE - 1)))
+    same = Window.partitionBy(kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
+    ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), "word")))
+    found = ranked.filter(F.col("rank") <= words).orderBy("rank", F.desc("z"), "word").limit(ALL_WORDS).select("word").collect()
+    return np.sort(np.array([r["word"] for r in found], np.int64))
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

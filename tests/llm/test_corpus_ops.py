@@ -208,6 +208,29 @@ def test_toxicity(spark):
     assert toxicity.score(rows.filter("false"), chain).count() == 0
 
 
+def test_toxicity_of_rare_languages_shows_in_rates(spark):
+    """Toxic texts of a second language hold compounds of one word again and
+    again; many clean ones hold one by chance."""
+    draw = random.Random(13)
+    texts, langs, labels = [], [], []
+    some = ["".join(draw.choice("abdegiklmnoprstu") for _ in range(7)) for _ in range(6000)]
+    for i in range(900):
+        second, toxic = i % 3 == 0, draw.random() < 0.15
+        t = [("u" if second else "w") + draw.choice(some) for _ in range(draw.randrange(80, 160))]
+        for _ in range((4 if toxic else draw.random() < 0.15) if second else int(toxic)):
+            t.insert(draw.randrange(len(t)), f"achlich{draw.randrange(10**6)}" if second else draw.choice(["idiot", "scum", "moron"]))
+        texts.append(" ".join(t))
+        langs.append("de" if second else "en")
+        labels.append((i, 1, int(toxic)))
+    rows = docs(spark, texts, langs)
+    chain = toxicity.fit(rows, spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int"))
+    flagged = {r["doc_id"] for r in toxicity.score(rows, chain).filter("toxic").collect()}
+    assert flagged >= {i for i, _, toxic in labels if toxic}
+    assert len(flagged - {i for i, _, toxic in labels if toxic}) <= 3
+    few = toxicity.fit(rows, spark.createDataFrame(labels[:20], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(rows, few).filter("toxic").count() == 0  # too few rows to find a feature
+
+
 def test_chain_uses_out_of_fold_margins():
     draw = np.random.default_rng(12)
     x = draw.integers(0, 2, (400, 6)).astype(float)
