@@ -10,8 +10,10 @@ Where the labels name one degree only, the later categories are degrees of it:
 labelled rows that hold several of the telling words.
 
 The models are fitted on at most about ``FIT_ROWS`` labelled rows, chosen by a
-hash of doc_id. Rows whose two least word hashes agree, nearly always copies or
-near copies, count once, lest a group of copies teach its own words. Words are
+hash of doc_id. Rows of one label whose sets of words and beginnings are equal
+count once, the one with the least doc_id; near copies (by min-hashes) all count,
+but in one fold and as one row of a feature's support, lest a group of copies
+teach its own words. Words are
 chosen by the strength of their association with the labels inside a language
 (``lang``, where there is one) or over all, against that language's own share of
 the label and with room for each; a word that clean texts hold by chance, once,
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, saved, slices, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, hash_spans, mix, saved, slices, text_buffer, word_spans
 from .decontam import WORD
 
 FIT_ROWS = 10_000
@@ -48,8 +50,10 @@ WHOLE = 15
 RATE = 16
 #: Words added to a text's length in rates, so that one word of a short text is no high rate.
 SHRINK = 50
-#: Rows of the sample that a word needs.
+#: Rows of the sample that a word needs, in nearly as many groups of near copies.
 SUPPORT = 8
+#: Min-hashes that all agree in near copies.
+SKETCH = 6
 FOLDS = 5
 RIDGE = 0.05
 #: Standard deviations above chance that a feature needs: some hundred thousand are tried.
@@ -96,6 +100,17 @@ def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[at], owner[at], np.diff(np.append(at, len(hashes)))
 
 
+def sketches(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A key of each text's set of hashes (from ``cuts[i]`` to ``cuts[i + 1]``)
+    that near copies are likely to share and others are not."""
+    out, full = np.zeros(len(cuts) - 1, np.uint64), np.flatnonzero(np.diff(cuts))
+    with np.errstate(over="ignore"):
+        for j in range(SKETCH if len(full) else 0):
+            least = np.minimum.reduceat(mix(hashes.view(np.uint64) ^ MIX[j]), cuts[full])
+            out[full] = mix(out[full] + least)
+    return out.view(np.int64)
+
+
 def rate(counts, sizes, log1p=np.log1p):
     """The rate feature of a word seen ``counts`` times: bounded by log(1001)."""
     return log1p(1000 * counts / (sizes + SHRINK))
@@ -208,24 +223,24 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
             for part in slices(batch, "text"):
                 hashes, owner, sizes = beginnings(part.column("text"))
                 hashes, owner, counts = counted(hashes, owner)
-                cuts = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (hashes, counts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), *lists, *(part.column(y) for y in ys)], names=["doc_id", "lang", "size", "words", "counts", *ys])
+                cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v)) for v in (hashes, counts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), pa.array(sketches(hashes, cuts)), *lists, *(part.column(y) for y in ys)], names=["doc_id", "lang", "size", "alike", "words", "counts", *ys])
 
-    sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, size long, words array<long>, counts array<long>, " + ", ".join(f"{y} double" for y in ys))
-    sample = saved(sample.withColumn("alike", F.xxhash64(F.slice("words", 1, 2))).dropDuplicates(["alike"]), "toxicity-sample")
+    sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, size long, alike long, words array<long>, counts array<long>, " + ", ".join(f"{y} double" for y in ys))
+    sample = saved(one_of_equals(sample, ys), "toxicity-sample")
     if sample.isEmpty():
         return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * i + [-30.0]) for i in range(len(names))])
-    chosen = chosen_features(sample, ys, words)
+    chosen = chosen_features(sample, list({c: y for (_, c, _), y in zip(reversed(categories), reversed(ys))}.values()), words)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, counts = batch.column("words"), batch.column("counts").flatten().to_numpy()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
             x = measured(np.repeat(lists.flatten().to_numpy(), counts), np.repeat(owner, counts), batch.column("size").to_numpy(), chosen)
-            yield pa.RecordBatch.from_arrays([batch.column("alike"), *(batch.column(y) for y in ys), pa.array(list(x), pa.list_(pa.float64()))], names=["alike", *ys, "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("alike"), *(batch.column(y) for y in ys), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "alike", *ys, "x"])
 
-    rows_ = sample.mapInArrow(valued, "alike long, " + ", ".join(f"{y} double" for y in ys) + ", x array<double>").orderBy("alike").toPandas()
+    rows_ = sample.mapInArrow(valued, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, alike long, " + ", ".join(f"{y} double" for y in ys) + ", x array<double>").orderBy("doc_id", "alike", *ys).toPandas()
     x = np.array(rows_["x"].tolist(), float).reshape(len(rows_), len(chosen))
     degree = np.array([least for _, _, least in categories])
     truths = rows_[ys].to_numpy(float) * ((x > 0).sum(axis=1)[:, None] >= degree)
@@ -234,6 +249,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = F
     return Chain(names, chosen, weights, cut if len(chosen) else np.inf)
 
 
+def one_of_equals(sample: DataFrame, ys: list[str]) -> DataFrame:
+    """Of rows with the same words and labels the one with the least doc_id."""
+    same = Window.partitionBy(F.sha2(F.array_join("words", ","), 256), *ys).orderBy("doc_id", "lang", "size", F.xxhash64("counts"))
+    return sample.withColumn("copy", F.row_number().over(same)).filter("copy = 1").drop("copy")
+
+
 def chosen_features(sample: DataFrame, ys: list[str], words: int) -> np.ndarray:
     """The features, ascending, whose sum over the rows of a label is well above
     what the label's share in each language lets expect; in one language or over
@@ -241,21 +262,23 @@ def chosen_features(sample: DataFrame, ys: list[str], words: int) -> np.ndarray:
     least, most = 1e-3, 1 - 1e-3
     shares = [F.greatest(F.lit(least), F.least(F.lit(most), F.avg(y))).alias(f"p_{y}") for y in ys]
     base = sample.groupBy("lang").agg(F.count("*").alias("total"), *shares)
-    one = sample.select("lang", "size", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    one = one.select("lang", "row", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
+    one = sample.select("lang", "size", "alike", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    one = one.select("lang", "row", "alike", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
     sums = [F.sum("v").alias("v1"), F.sum(F.col("v") * F.col("v")).alias("v2"), *(F.sum(y).alias(f"n_{y}") for y in ys), *(F.sum(F.col(y) * F.col("v")).alias(f"v_{y}") for y in ys)]
-    own = one.groupBy("lang", "word").agg(F.count("*").alias("n"), F.sum("row").alias("rows"), *sums).join(F.broadcast(base), "lang")
+    # Groups of near copies are told apart by one of 64 bits each.
+    bit = F.expr("bit_or(shiftleft(1L, cast(pmod(alike, 64) as int)))")
+    own = one.groupBy("lang", "word").agg(F.count("*").alias("n"), F.bit_count(bit).alias("groups"), F.sum("row").alias("rows"), *sums).filter(F.greatest(*(F.col(f"n_{y}") for y in ys), F.lit(0.0)) > 0).join(F.broadcast(base), "lang")
     kinds = []
     for kind, first, second, name in ((0, F.col("n").cast("double"), F.col("n").cast("double"), "n"), (RATE, F.col("v1"), F.col("v2"), "v")):
         over = [(F.col(f"{name}_{y}") - F.col(f"p_{y}") * first).alias(f"o{i}") for i, y in enumerate(ys)]
         vary = [(F.col(f"p_{y}") * (1 - F.col(f"p_{y}")) * second).alias(f"e{i}") for i, y in enumerate(ys)]
         want = [(F.col(f"p_{y}") * first).alias(f"w{i}") for i, y in enumerate(ys)]
-        kinds.append(own.select("lang", F.col("word").bitwiseOR(F.lit(kind)).alias("word"), "n", "rows", F.round(first, 6).alias("first"), *over, *vary, *want))
-    each = kinds[0].union(kinds[1])
+        kinds.append(F.struct(F.col("word").bitwiseOR(F.lit(kind)).alias("word"), F.round(first, 6).alias("first"), *over, *vary, *want))
+    each = own.select("lang", "n", "groups", "rows", F.explode(F.array(*kinds)).alias("kind")).select("lang", "n", "groups", "rows", "kind.*")
     at = range(len(ys))
     z = lambda o, e: F.greatest(*(F.when(e(i) > 0, o(i) / F.sqrt(e(i))).otherwise(0.0) for i in at), F.lit(0.0))
-    each = each.withColumn("z", F.when(F.col("n") >= SUPPORT, z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}"))).otherwise(0.0))
-    pooled = each.groupBy("word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum("first").alias("first"), *(F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "oew" for i in at))
+    each = each.withColumn("z", F.when((F.col("n") >= SUPPORT) & (F.col("groups") >= SUPPORT - 1), z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}"))).otherwise(0.0))
+    pooled = each.groupBy("word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), F.sum("n").alias("n"), F.sum("groups").alias("groups"), F.sum("rows").alias("rows"), F.sum("first").alias("first"), *(F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "oew" for i in at))
     strong: Column = F.greatest("top", z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}")))
     unlikely: Column = F.lit(False)
     for i in at:
@@ -263,7 +286,7 @@ def chosen_features(sample: DataFrame, ys: list[str], words: int) -> np.ndarray:
         rest = F.when(n - k > 1e-6, (n - k) * F.log((n - k) / (n - F.col(f"w{i}")))).otherwise(0.0)
         bound = F.when(F.col(f"o{i}") > 0, k * F.log(k / F.col(f"w{i}")) + rest).otherwise(0.0)
         unlikely = unlikely | ((F.col("word").bitwiseAND(F.lit(RATE)) == 0) & (bound >= SURPRISE))
-    strong = pooled.filter(F.col("n") >= SUPPORT).withColumn("z", strong).filter((F.col("z") >= STRENGTH) | unlikely)
+    strong = pooled.filter((F.col("n") >= SUPPORT) & (F.col("groups") >= SUPPORT - 1)).withColumn("z", strong).filter((F.col("z") >= STRENGTH) | unlikely)
     # Equal in all rows: the same rows (by their hashes' sum) and the same sum of values.
     kind = F.col("word").bitwiseAND(F.lit(RATE))
     strong = strong.withColumn("length", F.col("word").bitwiseAND(F.lit(RATE - 1)))

@@ -231,6 +231,19 @@ def test_toxicity_of_rare_languages_shows_in_rates(spark):
     assert toxicity.score(rows, few).filter("toxic").count() == 0  # too few rows to find a feature
 
 
+def test_labelled_rows_with_common_beginnings_all_count(spark, monkeypatch):
+    """Different texts of few words, which share their least hashes, all stay;
+    equal texts count once for each label."""
+    draw, kept = random.Random(14), []
+    texts = [" ".join(draw.choice(["w%d" % k for k in range(300)]) for _ in range(120)) for _ in range(200)]
+    texts += [texts[0], texts[1]]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)] + [(200, 1, 1), (201, 1, 1)]
+    equals = toxicity.one_of_equals
+    monkeypatch.setattr(toxicity, "one_of_equals", lambda sample, ys: kept.append(equals(sample, ys)) or kept[0])
+    toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sorted(r["doc_id"] for r in kept[0].select("doc_id").collect()) == [*range(200), 201]
+
+
 def test_chain_uses_out_of_fold_margins():
     draw = np.random.default_rng(12)
     x = draw.integers(0, 2, (400, 6)).astype(float)
