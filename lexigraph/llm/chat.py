@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spread, text_buffer
+from .common import STEP_BYTES, slices, spread, text_buffer
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of public chat templates (fixed values).
@@ -90,7 +90,7 @@ def assemble(roles: list[str], contents: pa.Array) -> tuple[np.ndarray, np.ndarr
     return out, at, begin, sizes
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """conv_id, part, formatted and loss (array<struct<start, end>>, code points
     of the part, end exclusive) of all conversations in ``turns``."""
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("conv_id", F.col("conv_id").cast("long"))
@@ -106,7 +106,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part], pa.int32()), text, pa.array([loss], kinds)], names=["conv_id", "part", "formatted", "loss"])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", min(STEP_BYTES, part_bytes)):
                 convs = piece.column("conv_id").to_pylist()
                 roles = [r or "" for r in piece.column("role").to_pylist()]
                 buffer, at, begin, sizes = assemble(roles, escaped(piece.column("text")))
@@ -120,7 +120,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                     if started and (convs[first] != now):
                         yield flush()
                         held, loss, size, chars, part = [], [], 0, 0, 0
-                    elif size > PART_BYTES:
+                    elif size > part_bytes:
                         yield flush()
                         held, loss, size, chars, part = [], [], 0, 0, part + 1
                     now, started = convs[first], True

@@ -10,9 +10,13 @@ patterns with that suffix, whose hashes and then words are compared directly.
 A batch's texts are cut into overlapping lanes of words that all jump at the
 same time, each at its own pace; a lane's search is the sequential one.
 
-The benchmark is a query set of its own. It is taken in blocks of items of at
-most ``BLOCK_BYTES``, which bounds what is sent along with a task; each block
-runs against all documents, and only hit documents' positions are joined.
+Up to ``BLOCK_BYTES`` of benchmark text (its size is asked first) the tables go
+along with the tasks, and one pass over the documents does it all. A larger
+benchmark stays a table: what goes along is the shift tables (of fixed size,
+whatever the benchmark's) and a fixed bitmap of window hashes; the pass gives each
+row a key and its candidate places with their words, and these meet the table
+of windows by suffix bucket and words in a join. Either way documents are scanned
+once, every row is judged alone, and the results are the same.
 
 Null text has no words; an item without words has no windows; repeated items
 count once for each item_id; repeated documents each get a row; an empty
@@ -25,16 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, mix, slices, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, hash_spans, mix, saved, slices, text_buffer, word_spans
 
 WINDOW = 10
 LANE = 256
 TABLE_BITS = 16
-#: Text bytes of the benchmark items that one pass searches for.
+#: Text bytes of a benchmark whose own tables go along with the tasks.
 BLOCK_BYTES = 8 << 20
+#: Bits of the bitmap of window hashes of a larger benchmark.
+FILTER_BITS = 24
 
 WORD = np.ones(256, bool)
 WORD[:128] = False
@@ -49,38 +56,39 @@ def blocks_of(words: np.ndarray) -> np.ndarray:
     return out
 
 
-class Matcher:
-    """Wu-Manber tables for patterns of m words each."""
+def window_hash(words: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """Hash of the m words from each place on."""
+    with np.errstate(over="ignore"):
+        total = np.full(len(first), m, np.uint64)
+        for j in range(m):
+            total += words[first + j] * MIX[8 + j % 32] + np.uint64(j // 32)
+        return mix(total)
 
-    def __init__(self, patterns: list[list[bytes]]):
-        self.patterns = patterns
-        self.m = m = len(patterns[0])
-        flat = b" ".join(w for p in patterns for w in p)
-        data = np.frombuffer(flat, np.uint8)
-        starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD)
-        words = hash_spans(data, starts, ends, FOLDED_VALUES)
-        self.words = words.reshape(len(patterns), m)
-        self.size = 2 if m > 1 else 1
+
+class Shifts:
+    """The shift table for patterns of m words each: word hashes, row by row."""
+
+    def __init__(self, m: int, patterns: np.ndarray):
+        self.m = m
         self.mask = np.uint64((1 << TABLE_BITS) - 1)
-        longest = m - self.size + 1
-        self.shift = np.full(1 << TABLE_BITS, longest, np.int32)
-        blocks = blocks_of(words).reshape(len(patterns), m) if m > 1 else self.words
+        self.size = 2 if m > 1 else 1
+        self.longest = m - self.size + 1
+        self.shift = np.full(1 << TABLE_BITS, self.longest, np.int32)
+        self.blocks = blocks_of(patterns.ravel()).reshape(-1, m) if m > 1 else patterns
         for j in range(self.size - 1, m):
-            np.minimum.at(self.shift, (blocks[:, j] & self.mask).astype(np.int64), m - 1 - j)
-        order = np.argsort(blocks[:, -1], kind="stable")
-        self.suffix, self.bucket = blocks[order, -1], order
+            np.minimum.at(self.shift, (self.blocks[:, j] & self.mask).astype(np.int64), m - 1 - j)
 
-    def search(self, words: np.ndarray, blocks: np.ndarray, doc_first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(first word, pattern) of all places whose word hashes agree."""
+    def stops(self, words: np.ndarray, blocks: np.ndarray, doc_first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places where the shift is 0 (a pattern may end there), and their
+        blocks' hashes. All lanes jump at the same time."""
         m, lanes_at, lanes_to = self.m, [], []
         for s, e in zip(doc_first[:-1].tolist(), doc_first[1:].tolist()):
             if e - s >= m:
                 at = np.arange(s + m - 1, e, LANE)
                 lanes_at.append(at)
                 lanes_to.append(np.minimum(at + LANE, e))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         if not lanes_at:
-            return found
+            return
         at, to = np.concatenate(lanes_at), np.concatenate(lanes_to)
         keys = blocks if m > 1 else words
         while len(at):
@@ -88,21 +96,39 @@ class Matcher:
             jump = self.shift[(key & self.mask).astype(np.int64)].astype(np.int64)
             stop = jump == 0
             if stop.any():
-                place, suffix = at[stop], key[stop]
-                low, high = np.searchsorted(self.suffix, suffix, "left"), np.searchsorted(self.suffix, suffix, "right")
-                count = high - low
-                if count.any():
-                    row = np.repeat(np.arange(len(place)), count)
-                    which = self.bucket[np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)]
-                    first = place[row] - m + 1
-                    same = np.ones(len(row), bool)
-                    for j in range(m):
-                        same &= words[first + j] == self.words[which, j]
-                    found.append((first[same], which[same]))
+                yield at[stop], key[stop]
             at = at + np.maximum(jump, 1)
             going = at < to
             at, to = at[going], to[going]
-        return found
+
+
+class Matcher(Shifts):
+    """Wu-Manber tables with buckets for patterns of m words each."""
+
+    def __init__(self, patterns: list[list[bytes]]):
+        self.patterns = patterns
+        flat = b" ".join(w for p in patterns for w in p)
+        data = np.frombuffer(flat, np.uint8)
+        starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD)
+        self.words = hash_spans(data, starts, ends, FOLDED_VALUES).reshape(len(patterns), -1)
+        super().__init__(self.words.shape[1], self.words)
+        order = np.argsort(self.blocks[:, -1], kind="stable")
+        self.suffix, self.bucket = self.blocks[order, -1], order
+
+    def search(self, words: np.ndarray, blocks: np.ndarray, doc_first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first word, pattern) of all places whose word hashes agree."""
+        for place, suffix in self.stops(words, blocks, doc_first):
+            low, high = np.searchsorted(self.suffix, suffix, "left"), np.searchsorted(self.suffix, suffix, "right")
+            count = high - low
+            if not count.any():
+                continue
+            row = np.repeat(np.arange(len(place)), count)
+            which = self.bucket[np.repeat(low, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)]
+            first = place[row] - self.m + 1
+            same = np.ones(len(row), bool)
+            for j in range(self.m):
+                same &= words[first + j] == self.words[which, j]
+            yield first[same], which[same]
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -113,7 +139,7 @@ def item_words(text: str | None) -> list[bytes]:
 
 
 class Searcher:
-    """All patterns of a block of items, by length."""
+    """All patterns of the items, by length."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int):
         owners: dict[tuple[bytes, ...], set] = {}
@@ -158,17 +184,14 @@ def covered(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in out]
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of bounded size, streamed from the table."""
-    block, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        own = len((row.text or "").encode())
-        if block and size + own > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append((row.item_id, row.text))
-        size += own
-    yield block
+def carried(benchmark: DataFrame) -> list[tuple[int, str]] | None:
+    """The items, if they are few enough to go along with the tasks."""
+    told = benchmark.filter("length(text) > 0").select("item_id", "text")
+    size = told.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    return [(r.item_id, r.text) for r in told.collect()] if size <= BLOCK_BYTES else None
+
+
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -176,59 +199,141 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     items (array of item_id, as strings in order) of every row of ``docs``."""
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, spans array<struct<first:long,length:long>>, items array<string>"])
-    kinds = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
-    found: list[DataFrame] = []
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = Searcher(items, window)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    n, places, owners = search.hits(*text_buffer(part.column("text")))
-                    spans = pa.array([[{"first": s, "length": k} for s, k in covered(p)] for p in places], kinds)
-                    names = pa.array([sorted(map(str, o)) for o in owners], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), spans, names], names=[*keep, "n_words", "spans", "items"])
-
-        source = docs if not found else docs.filter("text is not null")
-        found.append(source.select(*keep, "text").mapInArrow(run, schema))
-    if len(found) == 1:
-        return found[0]
-    return merged(found, docs, keep)
+    items = carried(benchmark)
+    if items is None:
+        return find_by_join(docs.select(*dict.fromkeys([*keep, "text"])), benchmark, window, keep, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searcher(items, window)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n, places, owners = search.hits(*text_buffer(part.column("text")))
+                spans = pa.array([[{"first": s, "length": k} for s, k in covered(p)] for p in places], SPANS)
+                names = pa.array([sorted(map(str, o)) for o in owners], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), spans, names], names=[*keep, "n_words", "spans", "items"])
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, columns as they are."""
-    for items in item_blocks(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            search = Searcher(items, window)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    _, places, _ = search.hits(*text_buffer(part.column("text")))
-                    yield part.filter(pa.array([not p for p in places], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
-
-
-def merged(found: list[DataFrame], docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row a document from several blocks' rows. The key is all of ``keep``
-    (rows that repeat in all of it have equal results, so one stands for all)."""
-    rows = found[0].withColumn("block", F.lit(0))
-    for k, more in enumerate(found[1:], 1):
-        rows = rows.unionByName(more.withColumn("block", F.lit(k)).filter("size(items) > 0"))
-    once = rows.groupBy(*keep, "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("copies")
-    )
-    joined = F.aggregate(
-        F.array_sort("spans"),
-        F.expr("cast(array() as array<struct<first:bigint,length:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["length"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), (F.greatest(F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["length"], x["first"] + x["length"]) - F.element_at(acc, -1)["first"]).alias("length")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return once.withColumn("spans", joined).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies").cast("int"), F.lit(1))))).select(*keep, "n_words", "spans", "items")
+    items = carried(benchmark)
+    if items is None:
+        found, met, key = candidates(docs, benchmark, window)
+        hit = saved(met.select(F.col("key").alias(key)).distinct(), "contaminated")
+        return found.join(hit, key, "left_anti").select(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Searcher(items, window)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, places, _ = search.hits(*text_buffer(part.column("text")))
+                yield part.filter(pa.array([not p for p in places], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+WINDOWS, SHIFTS, BITS = 0, 1, 2
+
+
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """kind WINDOWS: an item's window of ``size`` words with its hash; SHIFTS:
+    an entry of a task's shift table for size (hash: slot, value: shift); BITS:
+    64 bits of its bitmap (hash: slot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "size", "hash", "value", "words", "item"]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                items = list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist()))
+                for matcher, owners in Searcher(items, window).parts:
+                    m, n = matcher.m, len(matcher.patterns)
+                    hashes = window_hash(matcher.words.ravel(), np.arange(n) * m, m)
+                    words = [b" ".join(p).decode() for p in matcher.patterns]
+                    row = [i for i, own in enumerate(owners) for _ in own]
+                    yield pa.RecordBatch.from_arrays([pa.array([WINDOWS] * len(row), pa.int32()), pa.array([m] * len(row), pa.int32()), pa.array(hashes[row].view(np.int64)), pa.nulls(len(row), pa.int64()), pa.array([words[i] for i in row], pa.string()), pa.array([str(x) for own in owners for x in own], pa.string())], names=names)
+                    slot = np.flatnonzero(matcher.shift < matcher.longest)
+                    place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    bits = np.zeros((1 << FILTER_BITS) >> 6, np.uint64)
+                    np.bitwise_or.at(bits, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+                    set_ = np.flatnonzero(bits)
+                    for kind, at, value in ((SHIFTS, slot, matcher.shift[slot].astype(np.int64)), (BITS, set_, bits[set_].view(np.int64))):
+                        k = len(at)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array([m] * k, pa.int32()), pa.array(at), pa.array(value), pa.nulls(k, pa.string()), pa.nulls(k, pa.string())], names=names)
+
+    told = benchmark.filter("length(text) > 0").select("item_id", "text")
+    return told.mapInArrow(run, "kind int, size int, hash long, value long, words string, item string")
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, str]:
+    """All rows of ``docs`` with a key, n_words and candidates; key, first,
+    size and item of every occurrence; and the key's name among the columns."""
+    table = saved(windows_of(benchmark, window).distinct(), "windows")
+    # Bounded by the sizes of the tables: a shift for each slot and size, and the bitmap.
+    shifts: dict[int, np.ndarray] = {}
+    for r in table.filter(F.col("kind") == SHIFTS).groupBy("size", "hash").agg(F.min("value").alias("value")).toLocalIterator():
+        shifts.setdefault(r["size"], np.full(1 << TABLE_BITS, Shifts(r["size"], np.zeros((0, r["size"]), np.uint64)).longest, np.int32))[r["hash"]] = r["value"]
+    bits = np.zeros((1 << FILTER_BITS) >> 6, np.int64)
+    for r in table.filter(F.col("kind") == BITS).groupBy("hash").agg(F.expr("bit_or(value)").alias("value")).toLocalIterator():
+        bits[r["hash"]] = r["value"]
+    bits = bits.view(np.uint64)
+    own = [free_name(docs, c) for c in ("key", "n_words", "candidates")]
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("words", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searchers = []
+        for m in sorted(shifts):
+            searchers.append(Shifts(m, np.zeros((0, m), np.uint64)))
+            searchers[-1].shift = shifts[m]
+        key = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_buffer(part.column("text"))
+                starts, ends, first = word_spans(data, offsets, WORD)
+                words = hash_spans(data, starts, ends, FOLDED_VALUES)
+                blocks, found = blocks_of(words), [[] for _ in range(part.num_rows)]
+                for s in searchers:
+                    for place, _ in s.stops(words, blocks, first):
+                        at = place - s.m + 1
+                        h = window_hash(words, at, s.m)
+                        slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        may = np.flatnonzero(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+                        for a, x, d in zip(at[may].tolist(), h[may].view(np.int64).tolist(), (np.searchsorted(first, at[may], side="right") - 1).tolist()):
+                            said = b" ".join(data[starts[a + j] : ends[a + j]].tobytes().lower() for j in range(s.m)).decode()
+                            found[d].append({"first": a - int(first[d]), "size": s.m, "hash": x, "words": said})
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.arange(key, key + part.num_rows)), pa.array(np.diff(first)), pa.array(found, kind)], names=[*part.schema.names, *own])
+                key += part.num_rows
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{own[0]} long, {own[1]} long, {own[2]} array<struct<first:long,size:int,hash:long,words:string>>"])
+    found = saved(docs.mapInArrow(run, schema), "candidates")
+    places = found.filter(F.size(own[2]) > 0).select(F.col(own[0]).alias("key"), F.explode(own[2]).alias("c")).select("key", "c.*")
+    # Windows that occur, once each, meet the benchmark's; then they are few for the hot ones' many places.
+    occurring = saved(places.select("size", "hash", "words").distinct().join(table.filter(F.col("kind") == WINDOWS).select("size", "hash", "words", "item"), ["size", "hash", "words"]), "occurring")
+    return found, places.join(occurring, ["size", "hash", "words"]).select("key", "first", "size", "item"), own[0]
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def find_by_join(docs: DataFrame, benchmark: DataFrame, window: int, keep: tuple[str, ...], schema: str) -> DataFrame:
+    """``find_contamination`` for a benchmark that stays a table."""
+    own_words = free_name(docs, "n_words")
+    found, met, key = candidates(docs, benchmark, window)
+    met = saved(met, "occurrences")
+    spans = met.select("key", "first", "size").distinct().groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("found_places"))
+    items = met.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("found_items"))
+    hits = spans.join(items, "key").withColumnRenamed("key", key)
+    rows = found.select(*keep, F.col(own_words).alias("found_words"), key).join(hits, key, "left").select(*keep, "found_words", "found_places", "found_items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = pa.array([[{"first": s, "length": k} for s, k in covered([(x["first"], x["size"]) for x in p or []])] for p in batch.column("found_places").to_pylist()], SPANS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column("found_words"), spans, pa.array([x or [] for x in batch.column("found_items").to_pylist()], pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,13 +1,15 @@
 """First-fit decreasing in randomised groups, by a tournament tree.
 
 Each document's ids are cut into pieces of at most ``capacity``. Pieces are
-dealt to groups by a hash of (doc_id, start), so a hot source, a run of copies
-or one enormous document spreads over all groups, and every group packs its
-pieces alone: longest first, each into the first open sequence with room. The
-tournament tree holds the most room below each node, so that first sequence is
-found in log2(n) steps.
-
-Only (doc_id, start, length, checksum) travels; the ids stay behind. Null text
+counted and then dealt to groups of about ``GROUP_PIECES`` by a seeded hash of
+doc_id, start, checksum and the piece's number in its task, so a hot source, a
+run of copies, rows that all lack a doc_id or one enormous document spread over
+all groups, and every group packs its pieces alone: longest first, each into the
+first open sequence with room. The tournament tree holds the most room below
+each node, so that first sequence is found in log2(n) steps.
+
+Only (doc_id, start, length, checksum) travels, written once in the shared
+folder; the ids stay behind. Null text
 is empty and gives one piece with the end id; null doc_ids pack like others;
 repeated rows are packed as often as they occur, with ties broken by doc_id,
 start and checksum; an empty table gives no rows; extra columns are left aside.
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .token_output import tokenized
 
-#: Documents whose pieces make a group, on average.
-GROUP_DOCS = 1024
+#: Pieces of a group, on average.
+GROUP_PIECES = 2048
 
 
 class Tournament:
@@ -74,7 +77,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of each tokenized row."""
+    """Pieces of each tokenized row, numbered within the task."""
+    before = 0
     for batch in batches:
         ids, n = batch.column("ids"), batch.column("n_tokens").to_numpy(zero_copy_only=False)
         counts = -(-n // capacity)
@@ -87,17 +91,19 @@ def cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordB
             if i != now:
                 now, raw = i, memoryview(ids[i].as_buffer())
             sums[k] = zlib.crc32(raw[4 * s : 4 * (s + size)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums), pa.array(n[row])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums), pa.array(n[row]), pa.array(np.arange(before, before + len(row)))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "turn"])
+        before += len(row)
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048, seed: int = 17) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_tokens and padded_tokens of every piece of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = max(1, -(-docs.select("doc_id").count() // GROUP_DOCS))
-    coded = tokenized(docs, vocabulary, end_id, "doc_id")
-    pieces = coded.mapInArrow(lambda batches: cut(batches, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)).cast("long"))
+    coded = tokenized(docs, vocabulary, end_id, "doc_id", after=lambda batches: cut(batches, capacity), schema="start long, length long, ids_crc32 long, doc_tokens long, turn long")
+    pieces = saved(coded, "pieces")
+    groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "turn")
+    pieces = pieces.withColumn("group", F.pmod(draw, F.lit(groups)).cast("long")).drop("turn")
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)

@@ -2,19 +2,26 @@
 
 A segment is one self-contained run of bytes: magic ``LXTK``, a header of
 little-endian unsigned 64-bit numbers (version, documents, ids, first id's
-place in the whole, width of an id in bytes), the documents' ids as int64, the
+place in its range, width of an id in bytes), the documents' ids as int64, the
 Elias-Fano boundaries and the concatenated token ids. Boundaries b_1..b_n (the
 end of each document, relative to the segment) are stored as l low bits each,
 l = floor(log2(ids / documents)), and a bit vector with a one at
 (b_i >> l) + i; a directory of every 256th one's place makes ``select`` look at
-one small stretch. That is about 2 + l bits a document instead of 64.
+one small stretch. That is about 2 + l bits a document instead of 64, and all
+reading of boundaries goes through ``select``.
+
+The output is dealt into ranges of ascending doc_id, and each range into
+segments of a bounded number of ids. Segments lie in a table of one binary
+column in the shared folder, so that Spark's committer decides which task's
+bytes count, whatever is lost meanwhile; its row groups are small, so a reader
+holds few segments at once. A second table has each range's first place.
 
-Segments lie in a table of one binary column in the shared folder, so that
-Spark's committer decides which task's bytes count, whatever is lost meanwhile.
 Documents are in ascending doc_id order within and across segments. A null text
-is an empty one; an empty document has just its end id; repeated rows stay
-(rows of equal doc_id keep the order of their texts); null doc_ids come first.
-Extra columns are left aside, and an empty table makes no segments.
+is an empty one; an empty document has just its end id; repeated rows stay;
+rows of equal doc_id go by their ids' checksum and number, and where a doc_id
+(or null) fills several ranges' share of the table they are dealt to several
+ranges by that checksum; null doc_ids come first. Extra columns are left aside,
+and an empty table makes no segments.
 """
 
 from __future__ import annotations
@@ -27,17 +34,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, release, saved, scratch, slices
+from .common import partitions, release, scratch, slices
 from .tokens import encoder
 
 MAGIC = b"LXTK"
-VERSION = 1
+VERSION = 2
 STRIDE = 256
 #: Ids in a segment before the next begins (a longer document goes alone).
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 18
+#: Segments of a row group of the stored table, at most.
+GROUP_SEGMENTS = 4
 NULL_ID = -(2**63)
 #: Text bytes that are encoded at once.
 STEP = 1 << 20
+#: Documents whose boundaries and checksums are read at once.
+READ_DOCS = 16 * STRIDE
 
 
 class EliasFano:
@@ -58,32 +69,24 @@ class EliasFano:
         bits[ones] = 1
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), ones[::STRIDE].astype(np.uint32))
 
-    def select(self, i: int) -> int:
-        """The i-th value: finds the i-th one from the directory's nearest."""
-        at = int(self.places[i // STRIDE])
-        need, byte = i % STRIDE, at >> 3
-        window = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-        window[: at & 7] = 0
-        while True:
-            ones = np.flatnonzero(window)
-            if len(ones) > need:
-                place = byte * 8 + int(ones[need])
-                break
-            need -= len(ones)
-            byte += len(window) // 8
-            window = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
-        first = i * self.low_bits
-        bits = np.unpackbits(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], bitorder="little")[first & 7 :][: self.low_bits]
-        return (place - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(bits))
-
-    def all(self) -> np.ndarray:
-        """All values at once, by the same rule."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high + bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+    def select(self, first: int, last: int) -> np.ndarray:
+        """Values ``first`` to ``last`` (exclusive): finds their ones from the
+        directory's nearest places, and their low bits by place."""
+        index = np.arange(first, last)
+        if not len(index):
+            return index
+        ones = np.empty(len(index), np.int64)
+        for block in range(first // STRIDE, (last - 1) // STRIDE + 1):
+            begin = int(self.places[block])
+            stop = int(self.places[block + 1]) if block + 1 < len(self.places) else 8 * len(self.high)
+            found = np.flatnonzero(np.unpackbits(self.high[begin >> 3 : (stop + 7) >> 3], bitorder="little")[begin & 7 :]) + begin
+            low, high = max(first, block * STRIDE), min(last, (block + 1) * STRIDE)
+            ones[low - first : high - first] = found[low - block * STRIDE : high - block * STRIDE]
+        values = (ones - index) << self.low_bits
+        if self.low_bits:
+            bits = index[:, None] * self.low_bits + np.arange(self.low_bits)
+            values += ((self.low[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        return values
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u8").tobytes()
@@ -101,54 +104,66 @@ class EliasFano:
         return cls(n, low_bits, lows, highs, np.frombuffer(data[at : at + marks], "<u4")), at + marks
 
 
-def write_segment(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    head = np.array([VERSION, len(doc_ids), len(ids), width], "<u8").tobytes()
-    return b"".join((MAGIC, head, doc_ids.astype("<i8").tobytes(), EliasFano.of(ends).to_bytes(), ids.astype(f"<u{width}").tobytes()))
+def write_segment(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, place: int = 0) -> bytes:
+    head = np.array([VERSION, len(doc_ids), len(ids), place, ids.dtype.itemsize], "<u8").tobytes()
+    return b"".join((MAGIC, head, doc_ids.astype("<i8").tobytes(), EliasFano.of(ends).to_bytes(), ids.tobytes()))
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
-    """Doc ids, boundaries and token ids of a segment."""
-    if data[:4] != MAGIC:
+def read_segment(data) -> tuple[np.ndarray, EliasFano, np.ndarray, int]:
+    """Doc ids, boundaries, token ids and place of a segment, without a copy."""
+    view = memoryview(data)
+    if bytes(view[:4]) != MAGIC:
         raise ValueError("not a token segment")
-    version, docs, n, width = np.frombuffer(data, "<u8", 4, 4).tolist()
+    version, docs, n, place, width = np.frombuffer(view, "<u8", 5, 4).tolist()
     if version != VERSION:
         raise ValueError(f"segment version {version}")
-    view = memoryview(data)[36:]
+    view = view[44:]
     doc_ids = np.frombuffer(view, "<i8", docs)
     bounds, used = EliasFano.read(view[docs * 8 :])
     ids = np.frombuffer(view, f"<u{width}", n, docs * 8 + used)
-    return doc_ids, bounds, ids
+    return doc_ids, bounds, ids, place
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, *keep: str, after=None, more: str = "") -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int, *keep: str, after=None, schema: str = "n_tokens long, ids binary", narrow: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens (with the end id) and ids (little-endian
     unsigned 32-bit, with the end id) of each row's whole text. ``after`` turns
-    these batches into others in the same task, ``more`` names its new columns."""
+    these batches into others in the same task, of ``keep`` and ``schema``.
+    ``narrow``: ids take 16 bits where the vocabulary allows it."""
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        code, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        code = encoder(vocabulary)
+        width = code.width if narrow and end_id < 1 << 16 else 4
+        end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
             for part in slices(batch, "text", STEP):
                 ids, at = code.encode(part.column("text"))
-                raw = ids.astype("<u4").tobytes()
-                rows = [raw[4 * s : 4 * e] + end for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+                raw = ids.astype(f"<u{width}").tobytes()
+                rows = [raw[width * s : width * e] + end for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(at) + 1), pa.array(rows, pa.binary())], names=[*keep, "n_tokens", "ids"])
             release()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", "ids binary", *[more] * bool(more)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), schema])
     return docs.select(*keep, "text").mapInArrow((lambda batches: after(run(batches))) if after else run, schema)
 
 
-def id_ranges(docs: DataFrame, column: str, n: int) -> list[int]:
-    """Bounds that deal ``column`` into about n equal ranges; n - 1 numbers."""
+def id_bounds(docs: DataFrame, column: str, n: int) -> np.ndarray:
+    """Bounds that deal ``column`` into n about equal ranges: n - 1 numbers,
+    ascending; a frequent value is several of them."""
     if n < 2:
-        return []
+        return np.zeros(0, np.int64)
     marks = [i / n for i in range(1, n)]
     found = docs.agg(F.percentile_approx(column, marks, max(10_000, 20 * n))).first()[0]
-    return sorted(set(found or []))
+    return np.sort(np.array(found or [], np.int64))
+
+
+def range_of(bounds: np.ndarray, doc_ids: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """The range of each row. An id that is several bounds has the ranges
+    between them to itself, dealt by the 32-bit checksum."""
+    low, high = np.searchsorted(bounds, doc_ids, "left"), np.searchsorted(bounds, doc_ids, "right")
+    own = high - low - 1
+    return np.where(own > 0, low + 1 + (sums * np.maximum(own, 1) >> 32), low)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None) -> str:
@@ -159,62 +174,74 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, path: str | None
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
-    bounds = np.array(id_ranges(docs, "doc_id", 4 * partitions(spark)), np.int64)
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
+    bounds = id_bounds(docs, "doc_id", 4 * partitions(spark))
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            place = pa.array(np.searchsorted(bounds, ids, side="left").astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, place], names=[*batch.schema.names, "range"])
+            doc_ids = batch.column("doc_id").to_numpy()
+            sums = np.fromiter((zlib.crc32(x.as_buffer()) for x in batch.column("ids")), np.int64, len(doc_ids))
+            place = range_of(bounds, doc_ids, sums).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums), pa.array(place)], names=[*batch.schema.names, "sum", "range"])
 
-    coded = tokenized(docs.withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary, end_id, "doc_id", after=ranged, more="range int")
+    coded = tokenized(docs, vocabulary, end_id, "doc_id", after=ranged, schema="n_tokens long, ids binary, sum long, range int", narrow=True)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, docs_, ends, total, part = None, [], [], [], 0, 0
+        now, ids, docs_, ends, total, part, place = None, [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            data = write_segment(np.array(docs_, np.int64), np.array(ends, np.int64), flat)
+            flat = np.frombuffer(b"".join(ids), f"<u{sum(map(len, ids)) // total}")
+            data = write_segment(np.array(docs_, np.int64), np.array(ends, np.int64), flat, place)
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part], pa.int32()), pa.array([len(docs_)], pa.int64()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], names=["range", "part", "n_docs", "n_ids", "segment"])
 
         for batch in batches:
-            for r, d, n, raw in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "n_tokens", "ids"))):
+            raws = batch.column("ids")
+            for i, (r, d, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "n_tokens")))):
                 if docs_ and (r != now or total + n > SEGMENT_IDS):
                     yield flush()
-                    part = part + 1 if r == now else 0
+                    part, place = (part + 1, place + total) if r == now else (0, 0)
                     ids, docs_, ends, total = [], [], [], 0
-                elif r != now:
-                    part = 0
                 now = r
-                ids.append(raw)
-                docs_.append(NULL_ID if d is None else d)
+                ids.append(raws[i].as_py())
+                docs_.append(d)
                 total += n
                 ends.append(total)
         if docs_:
             yield flush()
 
-    dealt = coded.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
-    dealt.mapInArrow(pack, "range int, part int, n_docs long, n_ids long, segment binary").write.parquet(path)
+    dealt = coded.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id", "sum", "n_tokens")
+    packed = dealt.select("range", "doc_id", "n_tokens", "ids").mapInArrow(pack, "range int, part int, n_docs long, n_ids long, segment binary")
+    groups = {"parquet.block.row.count.limit": GROUP_SEGMENTS, "parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    packed.write.options(**groups).parquet(f"{path}/segments")
+    # A row for each range, of which there are 4 times the shuffle partitions at most.
+    held = spark.read.parquet(f"{path}/segments").groupBy("range").agg(F.sum("n_ids").alias("n_ids"))
+    before = F.sum("n_ids").over(Window.orderBy("range")) - F.col("n_ids")
+    held.select("range", before.alias("first")).coalesce(1).write.parquet(f"{path}/ranges")
     return path
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32
     of each document, all from the segments' bytes."""
-    stored = spark.read.parquet(path)
-    order = Window.orderBy("range", "part")
-    before = stored.select("range", "part", "n_ids").withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).select("range", "part", "before")
-    before = saved(before, "directory")  # a row for each segment; as a table its size is known, so Spark chooses the join by it
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, bounds, ids = read_segment(batch.column("segment")[i].as_py())
-                first = batch.column("before")[i].as_py()
-                ends = bounds.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(starts + first), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return stored.select("range", "part", "segment").join(before, ["range", "part"]).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            cells = batch.column("segment")
+            for i, r in enumerate(batch.column("range").to_pylist()):
+                doc_ids, bounds, ids, place = read_segment(cells[i].as_buffer())
+                at = 0
+                for first in range(0, len(doc_ids), READ_DOCS):
+                    own = doc_ids[first : first + READ_DOCS]
+                    ends = bounds.select(first, first + len(own))
+                    starts = np.concatenate([[at], ends[:-1]])
+                    raw = memoryview(ids[at : ends[-1]].astype("<u4")).cast("B")
+                    sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((starts - at).tolist(), (ends - at).tolist())]
+                    at = int(ends[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r, np.int32)), pa.array(own, pa.int64(), mask=own == NULL_ID), pa.array(starts + place), pa.array(ends - starts), pa.array(sums, pa.int64())], names=["range", "doc_id", "start", "n_tokens", "ids_crc32"])
+            release()
+
+    stored = spark.read.schema("range int, segment binary").parquet(f"{path}/segments")
+    read = stored.mapInArrow(unpack, "range int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    # Bounded by 4 times the shuffle partitions; only narrow rows meet it.
+    first = F.broadcast(spark.read.schema("range int, first long").parquet(f"{path}/ranges"))
+    return read.join(first, "range").select("doc_id", (F.col("start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

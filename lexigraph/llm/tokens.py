@@ -7,8 +7,9 @@ letters, digits and signs meet. Both supported pre-tokenizers (byte-level with
 the leading-space rule, and word-end BPE that drops white space) give the same
 ids for the units as for the whole text, so the library encodes each distinct
 unit once and its ids are gathered for every occurrence. A text that holds
-white space outside ASCII or a special token's string, where the cuts aren't
-safe, is encoded whole.
+white space outside ASCII or a special token's string (in any case of letters),
+where the cuts aren't safe, is encoded whole. The library's own settings hold: a
+special token's string in a text gives that token's id.
 """
 
 from __future__ import annotations
@@ -63,10 +64,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         said = json.loads(self.tokenizer.to_str())
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)", re.I)
+        # First signs of special tokens; one that begins with a letter makes all texts suspect.
+        self.signs = tuple({b"" if any(c.isalpha() for c in t[:2]) else t[:2].encode() for t in special})
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = self._kind(said)
         self.letters = byte_letters()
         self.known = np.zeros(0, np.uint64)
@@ -101,7 +104,7 @@ class Encoder:
         raw = data.tobytes()
         if self.kind == "whole":
             odd[:] = True
-        elif any(x in raw for x in (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\xef")):
+        elif any(x in raw for x in (*self.signs, b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\xef")):
             for i, t in enumerate(column.to_pylist()):
                 odd[i] = t is not None and bool(ODD_SPACE.search(t) or self.special.search(t))
         starts, ends, plain, first = units(data, offsets)

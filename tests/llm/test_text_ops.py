@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -17,7 +18,7 @@ from lexigraph.llm import chat, decontam, media, packing, token_output  # noqa:
 from lexigraph.llm.tokens import Encoder  # noqa: E402
 
 DOC = "doc_id long, text string, source string, n_tokens string"
-TEXTS = ["", None, "a b c", "  two  spaces ", "x\n\ny", "don't  stop's 'em", "été à Ôté 12,5€", "中文 abc12", "\x1c\x85 odd   b", "<|endoftext|> </s>", "İstanbul ΣΑΣ", "a" * 5000, "word " * 3000, "\t tab\tx\r\ny", "é combining"]
+TEXTS = ["", None, "a b c", "  two  spaces ", "x\n\ny", "don't  stop's 'em", "été à Ôté 12,5€", "中文 abc12", "\x1c\x85 odd   b", "<|endoftext|> </s>", "a <|endoftext|> b<|startoftext|><|EndOfText|>", "İstanbul ΣΑΣ", "a" * 5000, "word " * 3000, "\t tab\tx\r\ny", "é combining"]
 
 
 def docs(spark, texts, schema=DOC):
@@ -26,13 +27,19 @@ def docs(spark, texts, schema=DOC):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
-    code = Encoder(public_tokenizers.path(name))
+    """Held against a tokenizer of its own, with the library's settings."""
+    code, own = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
     draw = random.Random(1)
     texts = TEXTS + ["".join(draw.choice("aB é'\n  1.,_ß×÷µ中́ ") for _ in range(draw.randrange(40))) for _ in range(400)]
     for _ in range(2):  # the second time from the cache
         ids, at = code.encode(pa.array(texts, pa.string()))
         for i, t in enumerate(texts):
-            assert ids[at[i] : at[i + 1]].tolist() == code.whole([t or ""])[0], t
+            assert ids[at[i] : at[i + 1]].tolist() == own.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_special_strings_are_the_librarys():
+    ids, at = Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array(["a <|endoftext|> b", "a b"]))
+    assert ids[: at[1]].tolist() == [64, 220, 50256, 275]
 
 
 def test_elias_fano():
@@ -40,37 +47,65 @@ def test_elias_fano():
     for n, top in ((1, 1), (1, 10**9), (700, 5), (1000, 10**6), (3, 0)):
         values = np.sort(draw.integers(0, top + 1, n))
         coded, used = token_output.EliasFano.read(memoryview(token_output.EliasFano.of(values).to_bytes()))
-        assert coded.all().tolist() == values.tolist()
-        assert [coded.select(i) for i in range(n)] == values.tolist()
+        assert coded.select(0, n).tolist() == values.tolist()
+        assert all(coded.select(i, j).tolist() == values[i:j].tolist() for i, j in ((0, 0), (n - 1, n), (n // 2, n), (n // 3, n // 2 + 1)))
     wide = np.cumsum(draw.integers(1, 2000, 100_000))
     assert len(token_output.EliasFano.of(wide).to_bytes()) < 0.22 * 8 * len(wide)
 
 
-def test_token_files(spark):
+def library_ids(name, texts, end_id):
+    own = Tokenizer.from_file(public_tokenizers.path(name))
+    return [own.encode(t or "", add_special_tokens=False).ids + [end_id] for t in texts]
+
+
+@pytest.mark.parametrize("segment", [None, 20])
+def test_token_files(spark, monkeypatch, segment):
+    if segment:  # several segments to a range
+        monkeypatch.setattr(token_output, "SEGMENT_IDS", segment)
+    TEXTS = globals()["TEXTS"] * (6 if segment else 1)
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = docs(spark, TEXTS).union(docs(spark, TEXTS).filter("doc_id = 2")).repartition(3)
-    out = token_output.read_tokens(spark, token_output.write_tokens(rows, path, 2)).collect()
-    code, at, expected = Encoder(path), 0, []
+    folder = token_output.write_tokens(rows, path, 2)
+    out = token_output.read_tokens(spark, folder).collect()
+    ids, at, expected = library_ids("word_bpe_49k.json", TEXTS, 2), 0, []
     for i in [*range(3), *range(2, len(TEXTS))]:
-        ids = code.whole([TEXTS[i] or ""])[0] + [2]
-        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
+        expected.append((i, at, len(ids[i]), zlib.crc32(np.array(ids[i], "<u4").tobytes())))
+        at += len(ids[i])
     assert sorted(map(tuple, out)) == expected
+    if segment:
+        assert spark.read.parquet(f"{folder}/segments").filter("part > 0").count() > 3
     empty = spark.createDataFrame([], DOC)
     assert token_output.read_tokens(spark, token_output.write_tokens(empty, path, 2)).count() == 0
 
 
+def test_rows_without_doc_id_are_dealt_to_many_ranges(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["word %d of %d" % (i, i * i) for i in range(1000)] + ["x", "y y", ""]
+    rows = spark.createDataFrame([(None if i < 1000 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    folder = token_output.write_tokens(rows, path, 2)
+    stored = spark.read.parquet(f"{folder}/segments").groupBy("range").sum("n_docs").collect()
+    assert len(stored) >= 8 and max(r[1] for r in stored) < 300
+    out = sorted(token_output.read_tokens(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] * 1000 + [1000, 1001, 1002]
+    ids = library_ids("word_bpe_49k.json", texts, 2)
+    assert sorted(r["ids_crc32"] for r in out) == sorted(zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids)
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert at == sum(map(len, ids))
+
+
 def test_segments_refuse_other_bytes():
     with pytest.raises(ValueError):
-        token_output.read_segment(b"nope" + bytes(40))
+        token_output.read_segment(b"nope" + bytes(60))
 
 
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = docs(spark, TEXTS)
     out = packing.pack(rows, path, capacity=512).collect()
-    code = Encoder(path)
-    ids = {i: code.whole([t or ""])[0] + [1] for i, t in enumerate(TEXTS)}
+    ids = dict(enumerate(library_ids("byte_bpe_50k.json", TEXTS, 1)))
     covered, sequences = collections.Counter(), collections.defaultdict(list)
     for r in out:
         piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
@@ -87,6 +122,20 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOC), path).count() == 0
 
 
+def test_rows_without_doc_id_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(None, "the same text", 1)] * 1500 + [(7, "a b c " * 40_000, 1)], "doc_id long, text string, length int")
+    out = packing.pack(rows, path).collect()
+    ids = library_ids("byte_bpe_50k.json", ["the same text", "a b c " * 40_000], 1)
+    assert sum(r["length"] for r in out) == 1500 * len(ids[0]) + len(ids[1])
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(groups) >= 15 and max(groups.values()) < 300  # the long text's pieces too
+    assert sorted(r["start"] for r in out if r["doc_id"] == 7) == list(range(0, len(ids[1]), 2048))
+    again = packing.pack(rows, path).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+
+
 def test_first_fit_equals_scan():
     draw = np.random.default_rng(5)
     lengths = draw.integers(1, 101, 500)
@@ -128,17 +177,15 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(rows.filter("false"))).count() == 0
 
 
-def test_long_conversations_come_in_parts(spark, monkeypatch):
-    def small(*a):
-        return None
-
-    rows = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "x" * 300_000) for i in range(40)], "conv_id long, turn long, role string, text string")
-    import importlib
-
-    made = chat.format_conversations(rows)
-    assert made.count() >= 1
-    out = chat.read_back(made, True).first()
-    assert (out["n_turns"], out["loss_chars"]) == (40, 20 * 300_000)
+def test_long_conversations_come_in_parts(spark):
+    rows = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "é<s>" * 20_000) for i in range(40)] + [(2, 0, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+    whole, made = chat.format_conversations(rows), chat.format_conversations(rows, part_bytes=300_000)
+    assert made.filter("conv_id = 1").count() >= 10 and whole.count() == 2
+    assert made.filter("conv_id = 1").agg({"part": "max"}).first()[0] == made.filter("conv_id = 1").count() - 1
+    for dealt in (True, False):
+        assert sorted(map(tuple, chat.read_back(made, dealt).collect())) == sorted(map(tuple, chat.read_back(whole, dealt).collect()))
+    out = {r["conv_id"]: r for r in chat.read_back(made).collect()}[1]
+    assert (out["n_turns"], out["loss_chars"]) == (40, 20 * 80_000)
 
 
 def test_escapes():
@@ -232,6 +279,10 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     assert sorted(map(tuple, decontam.contamination_report(rows, bench).collect())) == expected
     kept = decontam.without_contaminated(rows, bench)
     assert kept.columns == rows.columns
+    twins = [(5, "x y z " * 16), (5, "a b the a b the a b the a b the " * 4), (5, "x y z " * 16)]
+    same = spark.createDataFrame(twins, "doc_id long, text string")
+    assert sorted(map(tuple, decontam.contamination_report(same, bench).collect())) == sorted(brute_hits(twins, items))
+    assert decontam.without_contaminated(same, bench).count() == 2
     assert sorted(r["doc_id"] for r in kept.collect()) == [e[0] for e in expected if not e[5]]
     assert decontam.contamination_report(rows, bench.filter("false")).filter("contaminated").count() == 0
     assert decontam.contamination_report(rows.filter("false"), bench).count() == 0
