@@ -35,19 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder of this machine is set as the checkpoint folder.
-    """
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share,
+    or under the checkpoint folder that the session was given later. Without
+    one only a session on one machine goes on, in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             base = found.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -64,6 +64,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or the like that is no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges whose ``column`` holds about ``limit`` bytes."""
     n = batch.num_rows

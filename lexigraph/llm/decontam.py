@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, mix, saved, slices, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, free_name, hash_spans, mix, saved, slices, text_buffer, word_spans
 
 WINDOW = 10
 LANE = 256
@@ -312,12 +312,6 @@ def candidates(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[Data
     return found, places.join(occurring, ["size", "hash", "words"]).select("key", "first", "size", "item"), own[0]
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def find_by_join(docs: DataFrame, benchmark: DataFrame, window: int, keep: tuple[str, ...], schema: str) -> DataFrame:
     """``find_contamination`` for a benchmark that stays a table."""
     own_words = free_name(docs, "n_words")

@@ -26,20 +26,25 @@ floor(s/4) + 2. The order is by document frequency, the frequent last.
    shingles give the exact components without a row for each pair. Then lists
    that still hold several components yield one drawn pair for each, which
    joins what many links connect; and last all pairs of different components
-   and blocks, so that no link between components is lost.
+   and blocks, so that no link between components is lost; they meet by bands of
+   sizes, as linked sets are alike in size.
 5. Pairs pass the positional bound (what two sets can share behind their first
    common element) and are verified on the sets' shared shingles, which are all
-   that can intersect; a set travels once for each pair of blocks.
+   that can intersect; a set travels once for each part of a pair of blocks, of
+   which those with many pairs have several.
 
 Components come from min-label propagation with pointer jumping over tables in
 the shared folder. Null text has no words; null doc_ids take part but name no
 component; repeated rows are copies; an empty table gives no rows; extra
-columns are left aside.
+columns are left aside. ``one_of_each`` keeps, of each component, one row: of the
+least doc_id (one without doc_id only where no row has one), of its texts the one
+with the least hash, of equal texts the one with the least other columns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLDED_VALUES, MIX, hash_spans, mix, partitions, release, saved, slices, spread, text_buffer, word_spans
+from .common import FOLDED_VALUES, MIX, free_name, hash_spans, mix, partitions, release, saved, slices, spread, text_buffer, word_spans
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -57,10 +62,13 @@ HOT_SHARE = 1000
 HOT_LEAST = 64
 #: What share of a list's members an entry is compared with, in rows' cost.
 COMPARED = 0.02
-#: Shingles of the sets in a block, about.
+#: Shingles of the sets in a block, and sets in it, about.
 BLOCK_SHINGLES = 2_000_000
-#: A set of ids that is broadcast has at most so many rows.
-BROADCAST_ROWS = 1_000_000
+BLOCK_SETS = 20_000
+#: Pairs in a part of a tile, about.
+TILE_PAIRS = 512
+#: Shingles of a hash range, about, where that makes more ranges than there are shuffle partitions.
+RANGE_SHINGLES = 8_000_000
 
 WORD = np.ones(256, bool)
 WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -93,8 +101,9 @@ def class_name(own: np.ndarray) -> int:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, size and class of each document (a); kind 1: shingles
-    that may be hot (b) and how many classes of the task hold them (size)."""
+    """kind 0: doc_id, class (name), size and text hash (print) of each row;
+    kind 1: shingles that may be hot (name) and how many classes of the task
+    hold them (size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen, sets = [], [], set(), 0
@@ -103,7 +112,7 @@ def profile(docs: DataFrame) -> DataFrame:
                 own = shingle_sets(part.column("text"))
                 names = np.array([class_name(x) for x in own], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(own), np.int32)), part.column("doc_id"), pa.array(names.view(np.int64)), pa.array(np.fromiter(map(len, own), np.int64, len(own)))], names=["kind", "doc_id", "name", "size"]
+                    [pa.array(np.zeros(len(own), np.int32)), part.column("doc_id"), pa.array(names.view(np.int64)), pa.array(np.fromiter(map(len, own), np.int64, len(own))), part.column("print")], names=["kind", "doc_id", "name", "size", "print"]
                 )
                 _, once = np.unique(names, return_index=True)
                 fresh = [i for i in once.tolist() if int(names[i]) not in seen and len(own[i])]
@@ -118,9 +127,9 @@ def profile(docs: DataFrame) -> DataFrame:
             h, place = np.unique(np.concatenate(hashes), return_inverse=True)
             c = np.bincount(place, np.concatenate(counts), len(h)).astype(np.int64)
             many = c >= max(8, sets // HOT_SHARE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(many.sum()), np.int32)), pa.nulls(int(many.sum()), pa.int64()), pa.array(h[many].view(np.int64)), pa.array(c[many])], names=["kind", "doc_id", "name", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(many.sum()), np.int32)), pa.nulls(int(many.sum()), pa.int64()), pa.array(h[many].view(np.int64)), pa.array(c[many]), pa.nulls(int(many.sum()), pa.int64())], names=["kind", "doc_id", "name", "size", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, name long, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print")).mapInArrow(run, "kind int, doc_id long, name long, size long, print long")
 
 
 def _packed(numbers: np.ndarray, kind: str) -> bytes:
@@ -385,7 +394,7 @@ def placed(index: DataFrame, found: DataFrame) -> DataFrame:
     lists = index.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     top = index.join(lists, "key").groupBy("name", "size").agg(F.max(F.struct("held", "key"))["key"].alias("top"))
     top = saved(top, "top-lists")
-    parts = top.groupBy("top").agg(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)).alias("parts"))
+    parts = top.groupBy("top").agg(F.ceil(F.greatest(F.sum("size") / F.lit(BLOCK_SHINGLES), F.count("*") / F.lit(BLOCK_SETS))).alias("parts"))
     block = F.xxhash64("top", F.pmod(F.xxhash64("name"), F.col("parts")))
     return saved(top.join(parts, "top").select("name", block.alias("block")), "blocks")
 
@@ -447,8 +456,11 @@ def open_pairs(entries: DataFrame) -> DataFrame:
     each entry outside the main component meets all entries of others. (Pairs
     within a block have been compared.)"""
     columns = ("name", "size", "room", "block", "label")
-    apart = entries.filter("label != main").select("key", F.struct(*columns).alias("x"))
-    met = apart.join(entries.select("key", F.struct(*columns).alias("y")), "key")
+    # Sizes of linked sets differ by a factor of 4/3 at most: by one band of 1.34 at most.
+    band = F.floor(F.log("size") / math.log(1.34)).cast("int")
+    near = F.explode(F.array(band - 1, band, band + 1)).alias("band")
+    apart = entries.filter("label != main").select("key", near, F.struct(*columns).alias("x"))
+    met = apart.join(entries.select("key", band.alias("band"), F.struct(*columns).alias("y")), ["key", "band"])
     met = met.filter((F.col("x.label") != F.col("y.label")) & (F.col("x.block") != F.col("y.block")) & may_link(F.col("x.size"), F.col("y.size"), F.col("x.room"), F.col("y.room")))
     return _pairs(met, "x.name", "y.name", "x.block", "y.block")
 
@@ -460,8 +472,12 @@ def _pairs(met: DataFrame, x: str, y: str, x_block: str, y_block: str) -> DataFr
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs that link, enough of them for the components. A set travels once
-    for each tile (pair of blocks) in which it has pairs, not for each pair."""
+    for each tile (pair of blocks) in which it has pairs, not for each pair; a
+    tile of many pairs is a square grid of parts, by hashes of both sets."""
     pairs = saved(pairs, "pairs")
+    grid = pairs.groupBy("tile").agg(F.ceil(F.sqrt(F.count("*") / F.lit(TILE_PAIRS))).alias("grid"))
+    place = [F.pmod(F.xxhash64(F.lit(7), c), F.col("grid")) for c in ("a", "b")]
+    pairs = saved(pairs.join(grid, "tile").select(F.xxhash64("tile", *place).alias("tile"), "a", "b"), "pairs")
     needed = pairs.select("tile", F.explode(F.array("a", "b")).alias("name")).distinct()
     sets = needed.join(found.select("name", "size", "shared"), "name").select("tile", F.lit(0).alias("kind"), "name", F.lit(None).cast("long").alias("b"), "size", "shared")
     asked = pairs.select("tile", F.lit(1).alias("kind"), F.col("a").alias("name"), "b", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("shared"))
@@ -525,12 +541,14 @@ def label_components(links: DataFrame) -> DataFrame:
 def class_labels(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     """name, label of every class that links with another."""
     spark = docs.sparkSession
-    sets = profiles.filter("kind = 0").select("name").distinct().count()
+    known = profiles.filter("kind = 0").groupBy("name").agg(F.max("size").alias("size")).agg(F.count("*").alias("sets"), F.coalesce(F.sum("size"), F.lit(0)).alias("shingles")).first()
+    sets = known["sets"]
     hot_from = max(HOT_LEAST, sets // HOT_SHARE)
     # At most HOT_SHARE times the mean set size: each holds so many of the sets.
     hot_rows = profiles.filter("kind = 1").groupBy("name").agg(F.sum("size").alias("n")).filter(F.col("n") >= hot_from).select("name").toPandas()
     hot = np.sort(hot_rows["name"].to_numpy(np.int64).view(np.uint64))
-    bits = max(3, (partitions(spark) - 1).bit_length())
+    # Ranges follow the data where shuffle partitions would leave too much for a task.
+    bits = max(3, (max(partitions(spark), -(-known["shingles"] // RANGE_SHINGLES)) - 1).bit_length())
     ranges = 1 << bits
     packed = find_shared(scatter(docs, hot, bits).repartitionById(ranges, F.col("key")), bits)
     found = saved(survivors(packed.repartitionById(ranges, F.col("key")), hot_from), "survivors")
@@ -544,22 +562,42 @@ def class_labels(docs: DataFrame, profiles: DataFrame) -> DataFrame:
     return labels
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``."""
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows of ``docs``, and name, label of every class."""
     profiles = saved(profile(docs), "profiles")
     labels = class_labels(docs, profiles)
-    full = profiles.filter("kind = 0 and size > 0")
-    classes = full.groupBy("name").agg(F.min("doc_id").alias("least")).join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+    classes = profiles.filter("kind = 0 and size > 0").groupBy("name").agg(F.min("doc_id").alias("least"))
+    return profiles, classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``."""
+    profiles, classes = labelled(docs)
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = saved(classes.join(least, "label").select("name", "component_id"), "classes")
-    out = full.join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    out = profiles.filter("kind = 0 and size > 0").join(named, "name").select("doc_id", F.col("size").alias("n_shingles"), "component_id")
     return out.unionByName(profiles.filter("kind = 0 and size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one that names it.
-    Documents without words and those without doc_id stay."""
-    gone = saved(components(docs).filter("doc_id != component_id").select("doc_id"), "copies")
-    # Ids of dropped rows are sent to all tasks only if they are few enough.
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each component: the one of its least doc_id.
+    Rows without words stay."""
+    profiles, classes = labelled(docs)
+    # Rows of equal doc_id and text are one candidate.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    rows = profiles.filter("kind = 0 and size > 0").groupBy("name", "doc_id", "print").agg(F.count("*").alias("n"))
+    own = saved(rows.groupBy("name").agg(F.min(rank).alias("best")).join(classes, "name"), "classes")
+    best = own.groupBy("label").agg(F.min("best").alias("best"))
+    named = saved(own.select("name", "label").join(best, "label").select("name", "best"), "kept")
+    judged = rows.join(named, "name").select("doc_id", "print", "n", (rank == F.col("best")).alias("stays"))
+    judged = saved(judged.filter("not stays or n > 1"), "copies")
+    text_hash = free_name(docs, "print")
+    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("copy_id"))) & (F.col(text_hash) == F.col("copy_print"))
+    copies = judged.select(F.col("doc_id").alias("copy_id"), F.col("print").alias("copy_print"), "stays")
+    left = docs.withColumn(text_hash, F.xxhash64("text")).join(copies.filter("not stays").drop("stays"), same, "left_anti")
+    repeated = copies.filter("stays").drop("stays")
+    if not repeated.isEmpty():
+        row = F.struct(*docs.columns)
+        once = left.join(repeated, same, "left_semi").groupBy("doc_id", text_hash).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        left = left.join(repeated, same, "left_anti").select(docs.columns).unionByName(once)
+    return left.select(docs.columns)

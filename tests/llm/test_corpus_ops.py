@@ -140,6 +140,33 @@ def test_join_on_odd_tables(spark):
     assert sorted(map(str, map(tuple, ngram_join.components(rows).collect()))) == sorted(map(str, [(None, 2, 4), (4, 2, 4), (None, 0, None), (2, 0, 2)]))
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve", "a b c d e f g h"
+    columns = "doc_id long, text string, print string"
+    probe = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (7, a, "x"), (9, a, "x"), (9, a, "x")]
+    kept = lambda rows: sorted(map(str, map(tuple, ngram_join.one_of_each(spark.createDataFrame(rows, columns)).collect())))
+    assert kept(probe) == sorted(map(str, [(3, b, "x"), (5, a, "x")]))
+    assert kept([(4, a, "y"), (4, a, "x"), (4, a, "z")]) == [str((4, a, "x"))]
+    assert kept([(None, a, "x"), (None, a.upper(), "x"), (None, b, None), (None, b, None), (2, c, "x"), (None, c, "x")]) in (
+        sorted(map(str, [(None, t, "x"), (None, b, None), (2, c, "x")])) for t in (a, a.upper())
+    )
+    assert kept([(1, "", "x"), (1, None, "x"), (2, "", "x"), (2, None, "x")]) == sorted(map(str, [(1, "", "x"), (1, None, "x"), (2, "", "x"), (2, None, "x")]))
+    assert kept([]) == []
+
+
+def test_crowded_tiles_blocks_and_ranges_are_split(spark, monkeypatch):
+    """Near copies of one text in many blocks: bounds lowered so that blocks,
+    tiles and hash ranges all have several parts."""
+    draw = random.Random(21)
+    base = ["w%d" % draw.randrange(10**6) for _ in range(60)]
+    texts = [" ".join(near(draw, base, draw.choice([0.02, 0.04, 0.06]))) for _ in range(150)]
+    for name, value in (("BLOCK_SHINGLES", 300), ("BLOCK_SETS", 4), ("TILE_PAIRS", 3), ("RANGE_SHINGLES", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = list(enumerate(texts))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.components(table).collect())) == brute_join(rows)
+
+
 def test_light_and_heavy_paths_agree(spark, monkeypatch):
     draw = random.Random(9)
     texts = []
