@@ -54,7 +54,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = langid.remainder()
-    model = langid.fit(docs.filter(rest != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.fit(docs.filter((rest != 2) & (rest >= 0)), public_tokenizers.path("piece_bpe_32k.model"))
     # The prediction sees (doc_id, text) only; doc_id is carried, not used.
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (rest == 2).alias("held_out"), "lang_pred", "score")
 

@@ -1,8 +1,10 @@
 """Toxicity, secrets, join, sharding, language and the pipeline."""
 
 import collections
+import fractions
 import hashlib
 import importlib.util
+import math
 import random
 import re
 import zlib
@@ -286,35 +288,75 @@ def test_chain_uses_out_of_fold_margins():
 # Language
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def slow_word(word, prob, pieces):
-    """Sum over all segmentations of the mark and the word."""
-    text = langid.MARK + word
-    sums = [1.0] + [0.0] * len(text)
+    """Log of the sum over all segmentations of the mark and the word, exact."""
+    text, longest = langid.MARK + word, max(map(len, pieces))
+    sums = [fractions.Fraction(1)] + [fractions.Fraction(0)] * len(text)
     for end in range(1, len(text) + 1):
-        for begin in range(max(0, end - langid.PIECE), end):
+        for begin in range(max(0, end - longest), end):
             k = pieces.get(text[begin:end])
             if k is None and end - begin == 1:
                 k = len(pieces)
             if k is not None:
-                sums[end] += sums[begin] * prob[k]
-    return np.log(sums[-1])
+                sums[end] += sums[begin] * fractions.Fraction(float(prob[k]))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
 
 
 def test_forward_equals_slow_sum():
-    names = langid.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    """All pieces, long ones too, and words of several hundred characters."""
+    names = langid.pieces_of(PIECES)
     pieces = {p: i for i, p in enumerate(names)}
-    prob = np.random.default_rng(13).random((len(names) + 1, 2))
+    prob = np.random.default_rng(13).random((len(names) + 1, 2)) ** 4 + 1e-6
     prob /= prob.sum(axis=0)
-    model = langid.Model(public_tokenizers.path("piece_bpe_32k.model"), ["a", "b"], prob).ready()
-    words = ["the", "heilige", "garçon", "x", "中文", "abcdefghijklmnopqrs"]
+    model = langid.Model(PIECES, ["a", "b"], prob).ready()
+    draw = random.Random(17)
+    long_pieces = [p for p in names if 9 <= len(p) <= 16]
+    assert len(long_pieces) > 1000
+    words = ["the", "heilige", "garçon", "x", "中文", "abcdefghijklmnopqrs", "".join(draw.choice(long_pieces) for _ in range(16)), "".join(draw.choice("abcdef中文ñ\U0001f642") for _ in range(300)), "".join(draw.choice(names) for _ in range(40))]
+    assert len(words[-3]) > 140
     got = model.scores(words)
+    want = np.array([[slow_word(w, prob[:, k], pieces) for k in range(2)] for w in words])
+    assert got == pytest.approx(want, rel=1e-9)
     for i, w in enumerate(words):
-        assert got[i] == pytest.approx([slow_word(w, prob[:, k], pieces) for k in range(2)], rel=1e-9)
-    points, lengths, _ = langid.stretches(words)
-    edges, width = model.lattice.edges(points, lengths), points.shape[1]
-    counts = langid.expected(edges, lengths, width, prob, np.ones((len(words), 2)), len(names) + 1)
-    covered = sum(counts[i, 0] * (len(p)) for p, i in pieces.items()) + counts[len(names), 0]
-    assert covered == pytest.approx(lengths.sum())
+        points = np.array([ord(c) for c in langid.MARK + w], np.int64)
+        for step in (7, 50):  # through a window
+            assert langid.long_score(model.lattice, points, prob, step) == pytest.approx(want[i], rel=1e-9)
+    for points, lengths, own in langid.grouped(words):
+        counts = langid.expected(model.lattice, points, lengths, prob, np.ones((len(lengths), 2)), len(names) + 1)
+        for k in range(2):
+            covered = sum(counts[i, k] * len(p) for p, i in pieces.items()) + counts[len(names), k]
+            assert covered == pytest.approx(lengths.sum())
+    # The count of a piece is how the sum answers to its probability.
+    points, lengths, own = next(iter(langid.grouped(["heilige"])))
+    counts = langid.expected(model.lattice, points, lengths, prob, np.ones((1, 2)), len(names) + 1)
+    for k in np.argsort(-counts[:, 0])[:5]:
+        nudged = prob[:, 0].copy()
+        nudged[k] *= 1 + 1e-5
+        assert counts[k, 0] == pytest.approx((slow_word("heilige", nudged, pieces) - slow_word("heilige", prob[:, 0], pieces)) / 1e-5, rel=1e-2, abs=1e-6)
+
+
+def test_kept_scores_are_the_same(monkeypatch):
+    names = langid.pieces_of(PIECES)
+    prob = np.random.default_rng(3).random((len(names) + 1, 3))
+    model = langid.Model(PIECES, ["a", "b", "c"], prob / prob.sum(axis=0)).ready()
+    monkeypatch.setattr(langid, "KEEP", 30)
+    draw = random.Random(4)
+    for _ in range(6):
+        words = ["".join(draw.choice("abcde") for _ in range(draw.randrange(1, 4))) for _ in range(20)]
+        words = sorted(set(words))
+        hashes = np.array([int.from_bytes(w.encode().ljust(8), "big") for w in words], np.uint64)
+        assert model.of_hashes(hashes, lambda own: [words[i] for i in own]).tolist() == model.scores(words).tolist()
+        assert len(model.known) <= 30
+
+
+def test_language_sample_is_bounded_and_has_all_languages(spark):
+    rows = [("text %d" % i, "en") for i in range(4000)] + [("the same text", "de")] * 3000 + [("nur %d" % i, "fr") for i in range(5)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    found = collections.Counter(r["lang"] for r in langid.sampled(table, 300).collect())
+    assert found["de"] == 1 and found["fr"] == 5 and 60 <= found["en"] <= 150
 
 
 def test_language_held_out(spark):
@@ -336,6 +378,10 @@ def test_language_held_out(spark):
     assert langid.predict(rows.filter("false"), model).count() == 0
     nothing = langid.fit(rows.filter("false"), public_tokenizers.path("piece_bpe_32k.model"))
     assert {r["lang_pred"] for r in langid.predict(rows.limit(3), nothing).collect()} == {"und"}
+    odd = spark.createDataFrame([(None, "der"), (None, None), (7, "und " * 30_000 + "x" * 200_000), (7, "the")], "doc_id long, text string")
+    found = langid.predict(odd.select("doc_id", "text", F.lit("clash").alias("lang_pred")), model).collect()
+    assert sorted(r["lang_pred"] for r in found if r["doc_id"] is None) == ["de", "und"] and len(found) == 4
+    assert odd.select((langid.remainder() == 2).alias("h")).filter("h is null").count() == 0
     kept = rows.select("doc_id", langid.remainder().alias("r")).limit(50).collect()
     assert all(r["r"] == zlib.crc32(str(r["doc_id"]).encode()) % 4 for r in kept)
 
