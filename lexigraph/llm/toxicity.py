@@ -1,20 +1,21 @@
 """Toxicity by a classifier chain of linear models.
 
-Categories are predicted one after another; each model sees the presence or
-the rate of a small set of whole words and word beginnings (so that inflected
-and compound forms count too) and the log-odds of all earlier categories. For training
-those come from out-of-fold predictions, so a later model learns from earlier
-probabilities as good as it will meet, and never from rows that taught them.
-
-Where the labels name one degree only, the later categories are degrees of it:
-labelled rows that hold several of the telling words.
+The chain's categories are what the labels hold, from the general to the specific:
+poor quality, then toxicity. They are predicted one after another; each link sees
+whole words and word beginnings that tell its category (their presence, or their
+rate, so that inflected and compound forms count too), four measures of the text's
+shape, and the log-odds of all earlier categories. The last link decides. For training,
+earlier log-odds come from out-of-fold predictions, so a later link learns from
+probabilities as good as it will meet: for each fold both the features and the
+weights come from the other folds alone.
 
 The models are fitted on at most about ``FIT_ROWS`` labelled rows, chosen by a
-hash of doc_id. Rows of one label whose sets of words and beginnings are equal
+hash of doc_id (several labels of one doc_id count as their most severe). Rows of one label
+whose sets of words and beginnings are equal
 count once, the one with the least doc_id; near copies (by min-hashes) all count,
 but in one fold and as one row of a feature's support, lest a group of copies
-teach its own words. Words are
-chosen by the strength of their association with the labels inside a language
+teach its own words. A link's words are
+chosen by the strength of their association with its label inside a language
 (``lang``, where there is one) or over all, against that language's own share of
 the label and with room for each; a word that clean texts hold by chance, once,
 still tells by its rate. The strengths are counted over the whole sample by
@@ -40,7 +41,7 @@ from .common import FOLDED_VALUES, MIX, hash_spans, mix, saved, slices, text_buf
 from .decontam import WORD
 
 FIT_ROWS = 10_000
-#: Features of one language, and of all, at most.
+#: Words of one link that one language, and all together, can give: a bound on the model's size.
 WORDS = 96
 ALL_WORDS = 384
 #: Lengths of word beginnings, in characters; WHOLE stands for the whole word.
@@ -61,19 +62,27 @@ STRENGTH = 6.0
 #: Or, for presence, minus the log of a bound on the chance of so many labelled
 #: rows (Chernoff); where the label is common, deviations can't get that large.
 SURPRISE = 14.0
-#: From the general to the specific: name, label condition, and how many of the
-#: chosen words a row of that label must hold to count for the category.
-CATEGORIES = (("toxic", "toxic = 1", 0), ("repeated", "toxic = 1", 2), ("severe", "toxic = 1", 5))
+#: From the general to the specific: name and label condition.
+CATEGORIES = (("poor", "quality = 0"), ("toxic", "toxic = 1"))
+#: Measures of a text's shape.
+SHAPE = 4
 
 
-def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash (signed, the length in its low bits) and text of every word and word
-    beginning, and the words of each text."""
+    beginning, the words of each text, and its shape: how many words (log), their
+    share of its bytes, how many repeat the one before, and their mean length."""
     data, offsets = text_buffer(column)
     starts, ends, first = word_spans(data, offsets, WORD)
     sizes = np.diff(first)
+    shape = np.zeros((len(sizes), SHAPE))
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), sizes, shape
+    inner = np.concatenate([[0], np.cumsum(ends - starts)])
+    inner = inner[first[1:]] - inner[first[:-1]]
+    shape[:, 0] = np.log1p(sizes) / 10
+    shape[:, 1] = inner / np.maximum(np.diff(offsets), 1)
+    shape[:, 3] = inner / np.maximum(sizes, 1) / 10
     owner = np.repeat(np.arange(len(offsets) - 1), sizes)
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     chars = np.append(chars, np.full(max(BEGINNINGS) + 1, len(data)))
@@ -83,11 +92,14 @@ def beginnings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stop = ends if k == WHOLE else chars[np.minimum(at + k, len(chars) - 1)]
         use = stop <= ends
         h = hash_spans(data, starts[use], stop[use], FOLDED_VALUES)
+        if k == WHOLE:
+            again = np.append(False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
+            shape[:, 2] = np.bincount(owner, again, len(sizes)) / np.maximum(sizes, 1)
         with np.errstate(over="ignore"):
             h = (h + MIX[k]) * MIX[0]
         hashes.append(((h ^ (h >> np.uint64(32))) & np.uint64(2**64 - 32) | np.uint64(k)).view(np.int64))
         texts.append(owner[use])
-    return np.concatenate(hashes), np.concatenate(texts), sizes
+    return np.concatenate(hashes), np.concatenate(texts), sizes, shape
 
 
 def counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,8 +169,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 5
 
 
 class Chain:
-    """The features (ascending), one weight vector for each category, and
-    the log-odds of the first from which a text counts as toxic."""
+    """The words (ascending), one weight vector for each category (words, shape,
+    earlier log-odds, intercept), and the log-odds of the last from which a text
+    counts as toxic."""
 
     def __init__(self, names: list[str], words: np.ndarray, weights: list[np.ndarray], cut: float = 0.0):
         self.names, self.words, self.weights, self.cut = names, words, weights, cut
@@ -172,12 +185,13 @@ class Chain:
         return out
 
     def features(self, column: pa.Array) -> np.ndarray:
-        return measured(*beginnings(column), self.words)
+        hashes, owner, sizes, shape = beginnings(column)
+        return np.hstack([measured(hashes, owner, sizes, self.words), shape])
 
     def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (rows, categories), and which texts are toxic."""
         margins = self.margins(self.features(column))
-        return 1 / (1 + np.exp(-margins)), margins[:, 0] >= self.cut
+        return 1 / (1 + np.exp(-margins)), margins[:, -1] >= self.cut
 
 
 def best_cut(margins: np.ndarray, y: np.ndarray) -> float:
@@ -190,63 +204,96 @@ def best_cut(margins: np.ndarray, y: np.ndarray) -> float:
     return float(m[k] - 1 if k + 1 == len(m) else (m[k] + m[k + 1]) / 2)
 
 
-def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], float]:
-    """One weight vector for each column of ``labels``; the later ones are
-    fitted on the earlier ones' out-of-fold log-odds. And the first's cut."""
+def fit_arrays(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, chosen: list[list[np.ndarray]] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """One weight vector for each column of ``labels``, and the out-of-fold
+    log-odds (rows, categories), on which the later ones are fitted.
+    ``chosen[m][k]``: the columns of ``x`` that link k may use when fold m is
+    left out, or, at the end, when none is; without it all columns."""
+    chosen = chosen or [[np.arange(x.shape[1])] * labels.shape[1]] * (FOLDS + 1)
     known, weights = np.zeros((len(x), 0)), []
     for k in range(labels.shape[1]):
-        full, y = np.hstack([x, known]), labels[:, k]
-        weights.append(logistic(full, y))
+        y, own = labels[:, k], chosen[-1][k]
+        w = logistic(np.hstack([x[:, own], known]), y)
+        full = np.zeros(x.shape[1] + k + 1)
+        full[own], full[x.shape[1] :] = w[: len(own)], w[len(own) :]
+        weights.append(full)
         held = np.zeros(len(x))
         for f in range(FOLDS):
-            out = fold == f
-            w = logistic(full[~out], y[~out])
-            held[out] = full[out] @ w[:-1] + w[-1]
+            out, seen = fold == f, np.hstack([x[:, chosen[f][k]], known])
+            w = logistic(seen[~out], y[~out])
+            held[out] = seen[out] @ w[:-1] + w[-1]
         known = np.hstack([known, np.clip(held, -30, 30)[:, None]])
-    return weights, best_cut(known[:, 0], labels[:, 0]) if labels[:, 0].any() else 0.0
+    return weights, known
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = FIT_ROWS, words: int = WORDS) -> Chain:
-    """Learn the chain from the rows of ``docs`` that ``labels`` covers."""
-    names = [n for n, _, _ in categories]
-    truth = labels.filter("doc_id is not null").select("doc_id", *(F.coalesce(F.expr(c), F.lit(False)).cast("double").alias(f"y{i}") for i, (_, c, _) in enumerate(categories))).dropDuplicates(["doc_id"])
-    total = labels.count()
+def training(docs: DataFrame, labels: DataFrame, categories, rows: int) -> DataFrame:
+    """The sample: doc_id, lang, fold, alike, size, shape, words, counts and a
+    column of each category."""
+    ys = [f"y{i}" for i in range(len(categories))]
+    conditions = [F.max(F.coalesce(F.expr(c), F.lit(False)).cast("double")).alias(y) for y, (_, c) in zip(ys, categories)]
+    truth = labels.filter("doc_id is not null")
+    total = truth.select(F.approx_count_distinct("doc_id", 0.02)).first()[0]
     if total > rows:
         truth = truth.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * rows / total))
-    # At most about ``rows`` rows of a few numbers each: a proven bound.
+    truth = truth.groupBy("doc_id").agg(*conditions)
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    joined = docs.filter("text is not null").select("doc_id", lang.alias("lang"), "text").join(F.broadcast(truth), "doc_id")
-    ys = [f"y{i}" for i in range(len(categories))]
+    # About ``rows`` rows of a few numbers each; Spark knows their size from the written table.
+    truth = saved(truth, "toxicity-labels")
+    joined = docs.filter("text is not null").select("doc_id", lang.alias("lang"), "text").join(truth, "doc_id")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, owner, sizes = beginnings(part.column("text"))
+                hashes, owner, sizes, shape = beginnings(part.column("text"))
                 hashes, owner, counts = counted(hashes, owner)
                 cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v)) for v in (hashes, counts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), pa.array(sketches(hashes, cuts)), *lists, *(part.column(y) for y in ys)], names=["doc_id", "lang", "size", "alike", "words", "counts", *ys])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), pa.array(list(shape), pa.list_(pa.float64())), pa.array(sketches(hashes, cuts)), *lists, *(part.column(y) for y in ys)], names=["doc_id", "lang", "size", "shape", "alike", "words", "counts", *ys])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, size long, shape array<double>, alike long, words array<long>, counts array<long>, " + ", ".join(f"{y} double" for y in ys)
+    sample = one_of_equals(joined.mapInArrow(listed, schema), ys)
+    return saved(sample.withColumn("fold", F.pmod("alike", F.lit(FOLDS)).cast("int")), "toxicity-sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = FIT_ROWS, words: int = WORDS) -> Chain:
+    """Learn the chain from the rows of ``docs`` that ``labels`` covers."""
+    return fitted(docs, labels, categories, rows, words)[0]
 
-    sample = joined.mapInArrow(listed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, size long, alike long, words array<long>, counts array<long>, " + ", ".join(f"{y} double" for y in ys))
-    sample = saved(one_of_equals(sample, ys), "toxicity-sample")
+
+def fitted(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int = FIT_ROWS, words: int = WORDS) -> tuple[Chain, dict[str, np.ndarray]]:
+    """The chain, and of each row of the sample its doc_id, lang, labels (rows,
+    categories) and out-of-fold log-odds."""
+    names, ys = [n for n, _ in categories], [f"y{i}" for i in range(len(categories))]
+    sample = training(docs, labels, categories, rows)
     if sample.isEmpty():
-        return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * i + [-30.0]) for i in range(len(names))])
-    chosen = chosen_features(sample, list({c: y for (_, c, _), y in zip(reversed(categories), reversed(ys))}.values()), words)
+        none = np.zeros((0, len(names)))
+        return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * (SHAPE + i) + [-30.0]) for i in range(len(names))], np.inf), {"doc_id": none[:, 0], "lang": none[:, 0], "labels": none, "margins": none}
+    counts = saved(word_counts(sample, ys), "toxicity-words")
+    found = [chosen_words(counts.filter(F.col("fold") != f), sample.filter(F.col("fold") != f), ys, words, 1 - 1 / FOLDS) for f in range(FOLDS)] + [chosen_words(counts, sample, ys, words)]
+    every = np.unique(np.concatenate([w for one in found for w in one]))
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, counts = batch.column("words"), batch.column("counts").flatten().to_numpy()
+            lists, times = batch.column("words"), batch.column("counts").flatten().to_numpy()
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            x = measured(np.repeat(lists.flatten().to_numpy(), counts), np.repeat(owner, counts), batch.column("size").to_numpy(), chosen)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("alike"), *(batch.column(y) for y in ys), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "alike", *ys, "x"])
-
-    rows_ = sample.mapInArrow(valued, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, alike long, " + ", ".join(f"{y} double" for y in ys) + ", x array<double>").orderBy("doc_id", "alike", *ys).toPandas()
-    x = np.array(rows_["x"].tolist(), float).reshape(len(rows_), len(chosen))
-    degree = np.array([least for _, _, least in categories])
-    truths = rows_[ys].to_numpy(float) * ((x > 0).sum(axis=1)[:, None] >= degree)
-    weights, cut = fit_arrays(x, truths, rows_["alike"].to_numpy() % FOLDS)
-    # Without a telling feature all texts have the base rates, and none is toxic.
-    return Chain(names, chosen, weights, cut if len(chosen) else np.inf)
+            x = measured(np.repeat(lists.flatten().to_numpy(), times), np.repeat(owner, times), batch.column("size").to_numpy(), every)
+            x = np.hstack([x, np.array(batch.column("shape").to_pylist()).reshape(len(x), SHAPE)]).astype("<f4")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "alike", "lang", "fold", *ys)), pa.array([row.tobytes() for row in x], pa.binary())], names=["doc_id", "alike", "lang", "fold", *ys, "x"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, alike long, lang string, fold int, " + ", ".join(f"{y} double" for y in ys) + ", x binary"
+    # A bounded sample, with the values of a bounded number of words.
+    rows_ = sample.select("doc_id", "alike", "lang", "fold", "size", "shape", "words", "counts", *ys).mapInArrow(valued, schema).orderBy("doc_id", "alike", *ys).toPandas()
+    x = np.frombuffer(b"".join(rows_["x"]), "<f4").reshape(len(rows_), -1).astype(float)
+    shape = np.arange(len(every), x.shape[1])
+    columns = [[np.append(np.searchsorted(every, w), shape) for w in one] for one in found]
+    truths = rows_[ys].to_numpy(float)
+    weights, margins = fit_arrays(x, truths, rows_["fold"].to_numpy(), columns)
+    # Without a telling word all texts have the base rates, and none is toxic.
+    cut = best_cut(margins[:, -1], truths[:, -1]) if truths[:, -1].any() and len(found[-1][-1]) else np.inf
+    used = np.unique(np.concatenate(found[-1]))
+    at = np.append(np.searchsorted(every, used), shape)
+    weights = [np.append(w[at], w[x.shape[1] :]) for w in weights]
+    return Chain(names, used, weights, cut), {"doc_id": rows_["doc_id"].to_numpy(), "lang": rows_["lang"].to_numpy(), "labels": truths, "margins": margins}
 
 
 def one_of_equals(sample: DataFrame, ys: list[str]) -> DataFrame:
@@ -255,45 +302,51 @@ def one_of_equals(sample: DataFrame, ys: list[str]) -> DataFrame:
     return sample.withColumn("copy", F.row_number().over(same)).filter("copy = 1").drop("copy")
 
 
-def chosen_features(sample: DataFrame, ys: list[str], words: int) -> np.ndarray:
-    """The features, ascending, whose sum over the rows of a label is well above
-    what the label's share in each language lets expect; in one language or over
-    all. Of features equal in all rows the longest is taken."""
-    least, most = 1e-3, 1 - 1e-3
-    shares = [F.greatest(F.lit(least), F.least(F.lit(most), F.avg(y))).alias(f"p_{y}") for y in ys]
-    base = sample.groupBy("lang").agg(F.count("*").alias("total"), *shares)
-    one = sample.select("lang", "size", "alike", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    one = one.select("lang", "row", "alike", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
+def word_counts(sample: DataFrame, ys: list[str]) -> DataFrame:
+    """For each fold, language and word: rows, groups of near copies (bits), and
+    sums of its rates, their squares and both in each label's rows."""
+    one = sample.select("fold", "lang", "size", "alike", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    one = one.select("fold", "lang", "row", "alike", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
     sums = [F.sum("v").alias("v1"), F.sum(F.col("v") * F.col("v")).alias("v2"), *(F.sum(y).alias(f"n_{y}") for y in ys), *(F.sum(F.col(y) * F.col("v")).alias(f"v_{y}") for y in ys)]
     # Groups of near copies are told apart by one of 64 bits each.
     bit = F.expr("bit_or(shiftleft(1L, cast(pmod(alike, 64) as int)))")
-    own = one.groupBy("lang", "word").agg(F.count("*").alias("n"), F.bit_count(bit).alias("groups"), F.sum("row").alias("rows"), *sums).filter(F.greatest(*(F.col(f"n_{y}") for y in ys), F.lit(0.0)) > 0).join(F.broadcast(base), "lang")
+    return one.groupBy("fold", "lang", "word").agg(F.count("*").alias("n"), bit.alias("bits"), F.sum("row").alias("rows"), *sums)
+
+
+def chosen_words(counts: DataFrame, sample: DataFrame, ys: list[str], words: int, part: float = 1.0) -> list[np.ndarray]:
+    """For each label the words, ascending, whose sum over its rows is well above
+    what the label's share in each language lets expect; in one language or over
+    all. Of words equal in all rows the longest is taken. ``part``: the share of
+    the sample that is given; what is asked of a word shrinks alike."""
+    least, most = 1e-3, 1 - 1e-3
+    shares = [F.greatest(F.lit(least), F.least(F.lit(most), F.avg(y))).alias(f"p_{y}") for y in ys]
+    base = sample.groupBy("lang").agg(*shares)
+    names = ["n", "rows", "v1", "v2", *(f"{c}_{y}" for c in "nv" for y in ys)]
+    own = counts.groupBy("lang", "word").agg(F.expr("bit_count(bit_or(bits))").alias("groups"), *(F.sum(c).alias(c) for c in names))
+    own = own.filter(F.greatest(*(F.col(f"n_{y}") for y in ys), F.lit(0.0)) > 0).join(base, "lang")
     kinds = []
-    for kind, first, second, name in ((0, F.col("n").cast("double"), F.col("n").cast("double"), "n"), (RATE, F.col("v1"), F.col("v2"), "v")):
-        over = [(F.col(f"{name}_{y}") - F.col(f"p_{y}") * first).alias(f"o{i}") for i, y in enumerate(ys)]
-        vary = [(F.col(f"p_{y}") * (1 - F.col(f"p_{y}")) * second).alias(f"e{i}") for i, y in enumerate(ys)]
-        want = [(F.col(f"p_{y}") * first).alias(f"w{i}") for i, y in enumerate(ys)]
-        kinds.append(F.struct(F.col("word").bitwiseOR(F.lit(kind)).alias("word"), F.round(first, 6).alias("first"), *over, *vary, *want))
+    for label, y in enumerate(ys):
+        for kind, first, second, name in ((0, F.col("n").cast("double"), F.col("n").cast("double"), "n"), (RATE, F.col("v1"), F.col("v2"), "v")):
+            p, seen = F.col(f"p_{y}"), F.col(f"{name}_{y}")
+            kinds.append(F.struct(F.lit(label).alias("label"), F.col("word").bitwiseOR(F.lit(kind)).alias("word"), F.round(first, 6).alias("first"), (seen - p * first).alias("o"), (p * (1 - p) * second).alias("e"), (p * first).alias("w")))
     each = own.select("lang", "n", "groups", "rows", F.explode(F.array(*kinds)).alias("kind")).select("lang", "n", "groups", "rows", "kind.*")
-    at = range(len(ys))
-    z = lambda o, e: F.greatest(*(F.when(e(i) > 0, o(i) / F.sqrt(e(i))).otherwise(0.0) for i in at), F.lit(0.0))
-    each = each.withColumn("z", F.when((F.col("n") >= SUPPORT) & (F.col("groups") >= SUPPORT - 1), z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}"))).otherwise(0.0))
-    pooled = each.groupBy("word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), F.sum("n").alias("n"), F.sum("groups").alias("groups"), F.sum("rows").alias("rows"), F.sum("first").alias("first"), *(F.sum(f"{c}{i}").alias(f"{c}{i}") for c in "oew" for i in at))
-    strong: Column = F.greatest("top", z(lambda i: F.col(f"o{i}"), lambda i: F.col(f"e{i}")))
-    unlikely: Column = F.lit(False)
-    for i in at:
-        n, k = F.col("n"), F.col(f"w{i}") + F.col(f"o{i}")
-        rest = F.when(n - k > 1e-6, (n - k) * F.log((n - k) / (n - F.col(f"w{i}")))).otherwise(0.0)
-        bound = F.when(F.col(f"o{i}") > 0, k * F.log(k / F.col(f"w{i}")) + rest).otherwise(0.0)
-        unlikely = unlikely | ((F.col("word").bitwiseAND(F.lit(RATE)) == 0) & (bound >= SURPRISE))
-    strong = pooled.filter((F.col("n") >= SUPPORT) & (F.col("groups") >= SUPPORT - 1)).withColumn("z", strong).filter((F.col("z") >= STRENGTH) | unlikely)
+    z = F.when((F.col("e") > 0) & (F.col("o") > 0), F.col("o") / F.sqrt("e")).otherwise(0.0)
+    enough = (F.col("n") >= part * SUPPORT) & (F.col("groups") >= part * SUPPORT - 1)
+    each = each.withColumn("z", F.when(enough, z).otherwise(0.0))
+    pooled = each.groupBy("label", "word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), *(F.sum(c).alias(c) for c in ("n", "groups", "rows", "first", "o", "e", "w")))
+    n, k = F.col("n"), F.col("w") + F.col("o")
+    rest = F.when(n - k > 1e-6, (n - k) * F.log((n - k) / (n - F.col("w")))).otherwise(0.0)
+    bound = F.when(F.col("o") > 0, k * F.log(k / F.col("w")) + rest).otherwise(0.0)
+    unlikely: Column = (F.col("word").bitwiseAND(F.lit(RATE)) == 0) & (bound >= part * SURPRISE)
+    strong = pooled.filter(enough).withColumn("z", F.greatest("top", z)).filter((F.col("z") >= part**0.5 * STRENGTH) | unlikely)
     # Equal in all rows: the same rows (by their hashes' sum) and the same sum of values.
     kind = F.col("word").bitwiseAND(F.lit(RATE))
     strong = strong.withColumn("length", F.col("word").bitwiseAND(F.lit(RATE - 1)))
-    same = Window.partitionBy(kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
-    ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), "word")))
-    found = ranked.filter(F.col("rank") <= words).orderBy("rank", F.desc("z"), "word").limit(ALL_WORDS).select("word").collect()
-    return np.sort(np.array([r["word"] for r in found], np.int64))
+    same = Window.partitionBy("label", kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
+    ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.desc("z"), "word")))
+    ranked = ranked.filter(F.col("rank") <= words).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank", F.desc("z"), "word")))
+    found = ranked.filter(F.col("place") <= ALL_WORDS).select("label", "word").collect()
+    return [np.sort(np.array([r["word"] for r in found if r["label"] == i], np.int64)) for i in range(len(ys))]
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
