@@ -51,3 +51,20 @@ ways as materialized (select a as src, b as dst from links union all select b, a
 step as (select 0 as turn, doc_id as id, doc_id as label from doc union all
   select turn + 1, id, least(label, coalesce(other, label)) from (select s.turn, s.id, s.label, min(o.label) as other from step s left join ways on src = s.id left join step o on o.id = dst group by all) where turn < 24)
 select doc_id, coalesce(n, 0) as n_shingles, label as component_id from doc left join size using (doc_id) join step on id = doc_id and turn = 24"""
+
+# CRC-32 by its table, which a rule gives: eight steps of the reflected polynomial for each byte.
+_CRC = """crc as materialized (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b::bigint)) as t)"""
+
+
+def _crc32(data: str) -> str:
+    """CRC-32 of a blob, with crc in reach."""
+    octets = f"list_transform(regexp_extract_all(hex({data}), '..'), lambda x: ('0x' || x)::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+ORACLES["op8_sharding"] = f"""with {_CRC}, base as (select doc_id, source, coalesce(octet_length(encode(text)), 0)::bigint + 8 as size, {_crc32("encode(coalesce(text, ''))")} as text_crc32 from documents, crc),
+hashed as (select *, ('0x' || substr(md5(concat('11|', coalesce(doc_id::varchar, '-'), '|', text_crc32, '|', size)), 1, 13))::bigint as h from base),
+ranked as (select *, (row_number() over (partition by source order by h, doc_id nulls first, size, text_crc32) - 0.5::double) / count(*) over (partition by source) as fraction from hashed),
+placed as (select *, row_number() over (order by fraction, source nulls first, h, doc_id nulls first, size, text_crc32) - 1 as place, count(*) over () as n from ranked),
+cut as (select *, place * 24 // n as shard from placed)
+select doc_id, size, text_crc32, 'rows' as law, shard::int as shard, (place - (shard * n + 23) // 24)::bigint as slot, null::int as grown_shard, source, fraction from cut"""

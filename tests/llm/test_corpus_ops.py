@@ -279,10 +279,28 @@ def test_sharding(spark):
     mixture = collections.Counter((r["shard"], r["source"]) for r in out)
     total = collections.Counter(r["source"] for r in out)
     assert all(abs(mixture[s, k] - total[k] / 7) <= len(total) for s in range(7) for k in total)
+    spots = sorted(((r["shard"], r["slot"], r["fraction"], r["source"] or "") for r in out))
+    assert [x[2:] for x in spots] == sorted(x[2:] for x in spots)  # the order is that of the fractional ranks
+    for k in total:
+        assert sorted(r["fraction"] for r in out if r["source"] == k) == pytest.approx([(i + 0.5) / total[k] for i in range(total[k])])
     assert sharding.slots(rows.filter("false")).count() == 0
     assert sharding.slots(rows.limit(3), 7).count() == 3
 
 
+def test_sharding_of_odd_rows(spark, monkeypatch):
+    """Rows without doc_id, repeated ones, a long text, clashing columns; small slices."""
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 16)
+    monkeypatch.setattr(sharding, "SLICES", 4)
+    rows = [(None, "text %d" % i, None, "x", 1.5) for i in range(1000)] + [(5, "same", "a", "x", 1.5)] * 30 + [(6, "long " * 400_000, "a", "x", 1.5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, fraction double")
+    out = sharding.slots(table, 24)
+    assert out.count() == 1031 and out.filter("size = 2000008").count() == 1
+    cells = out.groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top"), F.count_distinct("slot").alias("slots")).collect()
+    assert len(cells) == 24 and all(r["top"] + 1 == r["n"] == r["slots"] and r["n"] in (42, 43) for r in cells)
+    slices = table.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit(1).alias("size")).filter("doc_id is null").select(F.floor(sharding.order_hash(11) / 16**sharding.DIGITS * 64).alias("s")).groupBy("s").count()
+    assert slices.count() >= 60 and slices.agg({"count": "max"}).first()[0] < 45
+
+
 # Toxicity
 
 
