@@ -304,9 +304,13 @@ def one_of_equals(sample: DataFrame, ys: list[str]) -> DataFrame:
 
 def word_counts(sample: DataFrame, ys: list[str]) -> DataFrame:
     """For each fold, language and word: rows, groups of near copies (bits), and
-    sums of its rates, their squares and both in each label's rows."""
+    sums of its rates, their squares and both in each label's rows; of words in
+    as many rows as any choice asks for."""
+    enough = sample.select(F.explode("words").alias("often")).groupBy("often").agg(F.count("*").alias("n")).filter(F.col("n") >= (1 - 1 / FOLDS) * SUPPORT).select("often")
+    enough = saved(enough, "toxicity-often")
     one = sample.select("fold", "lang", "size", "alike", *ys, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("row"), F.explode(F.arrays_zip("words", "counts")).alias("w"))
     one = one.select("fold", "lang", "row", "alike", *ys, F.col("w.words").alias("word"), rate(F.col("w.counts"), F.col("size"), F.log1p).alias("v"))
+    one = one.join(enough, F.col("word") == F.col("often"), "left_semi")
     sums = [F.sum("v").alias("v1"), F.sum(F.col("v") * F.col("v")).alias("v2"), *(F.sum(y).alias(f"n_{y}") for y in ys), *(F.sum(F.col(y) * F.col("v")).alias(f"v_{y}") for y in ys)]
     # Groups of near copies are told apart by one of 64 bits each.
     bit = F.expr("bit_or(shiftleft(1L, cast(pmod(alike, 64) as int)))")
