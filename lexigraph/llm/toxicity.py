@@ -134,7 +134,11 @@ def measured(hashes: np.ndarray, owner: np.ndarray, sizes: np.ndarray, features:
     if not len(features) or not len(hashes):
         return x
     known = np.unique(features & ~RATE)
-    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+    # Nearly all words are none of these; their first 16 bits tell most of that.
+    begin, shift = np.zeros(1 << 16, bool), np.uint64(48)
+    begin[known.view(np.uint64) >> shift] = True
+    may = np.flatnonzero(begin[hashes.view(np.uint64) >> shift])
+    hit = may[known[np.minimum(np.searchsorted(known, hashes[may]), len(known) - 1)] == hashes[may]]
     hashes, owner, counts = counted(hashes[hit], owner[hit])
     for kind, values in ((0, np.ones(len(counts))), (RATE, rate(counts, sizes[owner]))):
         place = np.minimum(np.searchsorted(features, hashes | kind), len(features) - 1)
@@ -283,7 +287,7 @@ def fitted(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, alike long, lang string, fold int, " + ", ".join(f"{y} double" for y in ys) + ", x binary"
     # A bounded sample, with the values of a bounded number of words.
     rows_ = sample.select("doc_id", "alike", "lang", "fold", "size", "shape", "words", "counts", *ys).mapInArrow(valued, schema).orderBy("doc_id", "alike", *ys).toPandas()
-    x = np.frombuffer(b"".join(rows_["x"]), "<f4").reshape(len(rows_), -1).astype(float)
+    x = np.frombuffer(b"".join(rows_.pop("x")), "<f4").reshape(len(rows_), -1)
     shape = np.arange(len(every), x.shape[1])
     columns = [[np.append(np.searchsorted(every, w), shape) for w in one] for one in found]
     truths = rows_[ys].to_numpy(float)
