@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 
@@ -10,69 +11,97 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks, graph, index, ingest, search
-from .plans.storage import Store
+from .plans.storage import Store, saved
 
 SEARCH_SECONDS = 8.0
+#: Parts of a table at which an import merges them.
+PARTS = 25
 
 
 class Library:
-    """Tables under ``path``. Each import or graph makes a new version and then
-    moves the pointer, so a failure changes nothing and readers aren't disturbed."""
+    """Tables under ``path``. Each import adds parts, each graph makes new ones, and
+    then the next pointer names them: a failure changes nothing and readers aren't
+    disturbed."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
-        self._open: tuple[str, dict[str, DataFrame]] | None = None
+        self._open: tuple[str, dict, dict[str, DataFrame]] | None = None
 
     # Reading
 
-    def tables(self) -> dict[str, DataFrame]:
-        """The current tables, kept in memory until a version changes."""
+    def opened(self) -> tuple[dict, dict[str, DataFrame]]:
+        """The current pointer and its tables, kept in memory until it changes."""
         at = self.store.pointer()
-        key = repr(sorted(at.items(), key=str))
+        key = json.dumps(at, sort_keys=True)
         if self._open is None or self._open[0] != key:
             if self._open:
-                for df in self._open[1].values():
+                for df in self._open[2].values():
                     df.unpersist()
-            self._open = key, {n: self.store.read(n, at).persist(StorageLevel.MEMORY_AND_DISK) for n in ("books", "terms", "postings", "edges", "scores")}
-        return self._open[1]
+            self._open = key, at, {n: self.store.read(n, at).persist(StorageLevel.MEMORY_AND_DISK) for n in ("books", "terms", "postings", "edges", "scores")}
+        return self._open[1:]
+
+    def tables(self) -> dict[str, DataFrame]:
+        return self.opened()[1]
 
     def graph_info(self) -> dict | None:
         return self.store.graph()
 
     # Importing
 
-    def import_books(self, rows: DataFrame, min_words: int = ingest.MIN_WORDS, strict: bool = True) -> int:
+    def import_books(self, rows: DataFrame, min_words: int = ingest.MIN_WORDS, strict: bool = True, refresh: bool = False) -> int:
         """Add the rows (id, text, title, author, source) that are new by id and
         by content; returns how many. ``strict``: a short one is an error and
-        nothing is added; else short ones are left out."""
+        nothing is added; else short ones are left out. ``refresh``: books already
+        known get the digest of their present text.
+
+        Texts are cleaned once and tokenized once; what is written follows the
+        new rows, not the library."""
         at = self.store.pointer()
-        books, words, posts = (self.store.read(n, at) for n in ("books", "terms", "postings"))
-        fresh = ingest.books_of(rows, min_words, books, strict).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            count = fresh.count()
-            if not count:
-                return 0
-            own = index.postings(fresh)
-            at = dict(at)
-            all_posts = self.store.write(index.laid_out(posts.unionByName(own)), "postings")
-            at["books"] = self.store.write(books.unionByName(fresh.drop("content")), "books")
-            at["postings"] = all_posts
-            at["terms"] = self.store.write(index.vocabulary(self.store.read("postings", at)).repartitionByRange("word").sortWithinPartitions("word"), "terms")
+        to, books = dict(at), self.store.read("books", at)
+        if refresh and at.get("books"):
+            changed = saved(ingest.refreshed_digests(books, rows), "refreshed")
+            if not changed.join(books.select("id", "digest"), ["id", "digest"], "left_anti").isEmpty():
+                to["books"] = [self.store.write(changed, "books")]
+                books = self.store.read("books", to)
+        stage = ingest.staged(rows, books if at.get("books") else None)
+        counts = ingest.word_counts(stage)
+        fresh = saved(ingest.accepted(stage, counts, min_words, books if at.get("books") else None, strict), "books")
+        count = fresh.count()
+        if count:
+            own = counts.join(fresh.select("turn", F.col("id").alias("book_id")), "turn").select("word", "book_id", "count")
+            posts = self.store.write(index.laid_out(own), "postings")
+            new = index.vocabulary(self.store.read("postings", {"postings": [posts]}))
+            if at.get("terms"):
+                new = ingest.without(new, self.store.read("terms", at), "word")
+            to["books"] = [*to.get("books", []), self.store.write(fresh, "books")]
+            to["terms"] = [*to.get("terms", []), self.store.write(new.repartitionByRange("word").sortWithinPartitions("word"), "terms")]
             # The graph was of the old postings, and is absent from now on.
-            self.store.point(at)
-            return count
-        finally:
-            fresh.unpersist()
+            to["postings"] = [*to.get("postings", []), posts]
+            if len(to["postings"]) > PARTS:
+                to = self.compacted(to)
+        if to != at:
+            self.store.point(to)
+        return count
+
+    def compacted(self, at: dict) -> dict:
+        """A pointer to the same rows in one part for each table; the graph stays."""
+        to = dict(at)
+        for name, key in (("books", "id"), ("terms", "word")):
+            to[name] = [self.store.write(self.store.read(name, at).repartitionByRange(key).sortWithinPartitions(key), name)]
+        to["postings"] = [self.store.write(index.laid_out(self.store.read("postings", at)), "postings")]
+        if self.store.graph(at):
+            to["graph_of"] = to["postings"]
+        return to
+
+    def compact(self) -> None:
+        at = self.store.pointer()
+        if any(len(at.get(n, [])) > 1 for n in ("books", "terms", "postings")):
+            self.store.point(self.compacted(at))
 
     def index_books(self, rows: DataFrame, min_words: int = ingest.MIN_WORDS) -> int:
         """Import a folder's books; those already known get the digest of their
-        present text."""
-        at = self.store.pointer()
-        if "books" in at:
-            known = self.store.read("books", at)
-            at = at | {"books": self.store.write(ingest.refreshed_digests(known, rows), "books")}
-            self.store.point(at)
-        return self.import_books(rows, min_words)
+        present text. One pointer for both."""
+        return self.import_books(rows, min_words, refresh=True)
 
     def subset(self, path: str, count: int) -> "Library":
         """A library of the first ``count`` ids, with the graph's edges among
@@ -82,12 +111,12 @@ class Library:
         wanted = books.select("id")
         posts = self.store.read("postings", at)
         own = posts.join(wanted, posts["book_id"] == wanted["id"], "left_semi")
-        to = {"books": other.store.write(books, "books"), "postings": other.store.write(index.laid_out(own), "postings")}
-        to["terms"] = other.store.write(index.vocabulary(own), "terms")
+        to = {"books": [other.store.write(books, "books")], "postings": [other.store.write(index.laid_out(own), "postings")]}
+        to["terms"] = [other.store.write(index.vocabulary(own), "terms")]
         if self.store.graph(at):
             links, scores = self.store.read("edges", at), self.store.read("scores", at)
             inner = links.join(wanted, links["a"] == wanted["id"], "left_semi").join(wanted, links["b"] == wanted["id"], "left_semi")
-            to |= {"edges": other.store.write(inner, "edges"), "scores": other.store.write(scores.join(wanted, scores["book_id"] == wanted["id"], "left_semi"), "scores"), "graph": at["graph"], "graph_of": to["postings"]}
+            to |= {"edges": [other.store.write(inner, "edges")], "scores": [other.store.write(scores.join(wanted, scores["book_id"] == wanted["id"], "left_semi"), "scores")], "graph": at["graph"], "graph_of": to["postings"]}
         other.store.point(to)
         return other
 
@@ -105,7 +134,7 @@ class Library:
             "threshold": threshold, "distance_threshold": 1 - threshold, "comparison": "similarity > threshold", "metric": graph.METRIC, "nodes": books.count(), "edges": links.count(), "iterations": turns, "damping": damping, "tolerance": tolerance,
             "representation": "occurrence counts", "empty_intersection_distance": 1, "ranking": "pagerank", "seconds": round(time.perf_counter() - started, 6),
         }
-        self.store.point(at | {"edges": version, "scores": self.store.write(scores, "scores"), "graph": info, "graph_of": at.get("postings")})
+        self.store.point(at | {"edges": [version], "scores": [self.store.write(scores, "scores")], "graph": info, "graph_of": at.get("postings")})
         return info
 
     # Searching
@@ -115,21 +144,19 @@ class Library:
         a query, and for one that takes longer than ``budget`` seconds."""
         started = time.perf_counter()
         asked = search.Query(query, mode, ranking, page, page_size)
-        t = self.tables()
+        at, t = self.opened()
         tag = f"search-{id(asked)}-{time.monotonic_ns()}"
         late = threading.Timer(budget, self.spark.interruptTag, [tag])
         self.spark.addTag(tag)
         late.start()
         try:
-            found = search.hits(t["postings"], t["terms"], asked, t["scores"]).persist()
-            total = found.count()
-            results = [r.asDict() for r in search.page_of(found, t["books"], asked).orderBy("place").drop("place").collect()]
-            words = search.matched_terms(t["terms"], asked)
-            shown = [r["word"] for r in words.orderBy("word").limit(search.SHOWN_TERMS).collect()]
-            term_count = len(shown) if len(shown) < search.SHOWN_TERMS else words.count()
-            ready = self.graph_info() is not None
+            shown, term_count = search.term_list(t["terms"], asked) if mode == "regex" else ([asked.keyword()], 1)
+            found = search.hits(t["postings"], t["terms"], asked, t["scores"] if self.store.graph(at) else None)
+            total, results = search.first_page(found, t["books"], asked)
+            if not total and mode == "keyword":
+                shown, term_count = [], 0
+            ready = self.store.graph(at) is not None
             near = [r.asDict() for r in search.recommendations(found, t["edges"], t["books"], ranking).orderBy("place").drop("place").collect()] if total and ready else []
-            found.unpersist()
         except Exception as error:
             if time.perf_counter() - started > budget:
                 raise ValueError("This query takes too long; try a more specific one.") from error
@@ -137,6 +164,8 @@ class Library:
         finally:
             late.cancel()
             self.spark.removeTag(tag)
+        if time.perf_counter() - started > budget:
+            raise ValueError("This query takes too long; try a more specific one.")
         return {
             "query": asked.text, "mode": mode, "ranking": ranking, "total": total, "page": page, "page_size": page_size, "results": results, "matched_terms": shown, "matched_term_count": term_count, "recommendations": near,
             "graph_ready": ready, "elapsed_ms": round((time.perf_counter() - started) * 1000, 2),

@@ -25,7 +25,8 @@ BLOCK = 1024
 BLOCK_POSTINGS = 400_000
 #: Edges up to which PageRank runs in one task; beyond, as joins.
 SMALL_EDGES = 2_000_000
-METRIC = "weighted-shared-words"
+#: The similarity's name in a graph's metadata (fixed value).
+METRIC = "lecture3-weighted-shared"
 OVERLAP = "a long, b long, shared_words long, minimum long, maximum long"
 
 
@@ -80,8 +81,9 @@ def overlaps(index: DataFrame, threshold: float = -1.0, blocks: int | None = Non
         size = index.agg(F.count("*").alias("n"), F.count_distinct("book_id").alias("books")).first()
         blocks = max(1, -(-size["books"] // BLOCK), -(-size["n"] // BLOCK_POSTINGS))
     block = F.pmod(F.xxhash64("book_id"), F.lit(blocks)).cast("int")
-    # A word of one book makes no pair.
-    rows = index.select("word", "book_id", "count", block.alias("block"))
+    # A word of one book makes no pair, and goes to no tile.
+    shared = index.groupBy("word").agg(F.count("*").alias("held")).filter("held > 1").select("word")
+    rows = index.join(shared, "word", "left_semi").select("word", "book_id", "count", block.alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     dealt = rows.withColumn("other", other).select("word", "book_id", "count", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return dealt.groupBy("low", "high").applyInPandas(lambda t: _tile(t, threshold), OVERLAP)
@@ -199,9 +201,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def connectivity(nodes: DataFrame, links: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+def connectivity(nodes: DataFrame, links: DataFrame, thresholds: tuple[float, ...], stored: float | None = None, index: DataFrame | None = None) -> DataFrame:
     """A row for each threshold: edges, density, mean degree, isolated nodes,
-    components and the largest one. Stored edges serve all stricter ones."""
+    components and the largest one. Edges ``stored`` for a threshold serve all
+    stricter ones; for a lower one pairs are compared anew, from ``index``."""
+    if stored is not None and min(thresholds) < stored:
+        if index is None:
+            raise ValueError("Thresholds below the stored one need the index.")
+        links = saved(edges(index, min(thresholds)), "edges")
     n = nodes.count()
     out: DataFrame | None = None
     for level in sorted(set(thresholds)):

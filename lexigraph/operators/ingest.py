@@ -1,15 +1,17 @@
 """From raw documents to accepted books: filters, states and exact duplicates.
 
 Input: id, text and, if there, title, author and source. Every rule is a column
-or one window per digest; nothing is looped over.
+or an aggregate over digests, whose groups of copies meet as narrow rows with
+partial sums; no window holds texts, and nothing is looped over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.storage import saved
 
 MIN_WORDS = 10_000
 #: The twelve books of a first installation (fixed values).
@@ -51,19 +53,21 @@ def cleaned(rows: DataFrame) -> DataFrame:
 
 
 def statuses(rows: DataFrame, min_words: int = MIN_WORDS, known: DataFrame | None = None, order: list[Column] | None = None, too_large: int = 20_000_000) -> DataFrame:
-    """id, status and words: error (too large, or a web page), short (checked
-    before duplicates), duplicate (of a known book's digest or of an accepted
-    row earlier in ``order``), accepted."""
+    """id, status, words and digest: error (too large, or a web page), short
+    (checked before duplicates), duplicate (of a known book's digest or of an
+    accepted row earlier in ``order``), accepted. Other columns but the text are
+    kept."""
     order = order or [F.col("id")]
     error = F.coalesce(T.too_large(F.col("text"), too_large) | T.is_html(F.col("text")), F.lit(True))
-    out = cleaned(rows).withColumn("bad", error).withColumn("fit", ~error & (F.col("words") >= min_words))
+    out = cleaned(rows).withColumn("bad", error).drop("text", "content")
+    # Texts are read once; the number tells equal rows apart.
+    out = saved(out.withColumn("fit", ~F.col("bad") & (F.col("words") >= min_words)).withColumn("turn", F.monotonically_increasing_id()), "judged")
+    first = out.filter("fit").groupBy("digest").agg(F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "turn"))["turn"].alias("turn"))
     if known is not None:
-        out = out.join(known.select("digest", F.lit(True).alias("seen")).distinct(), "digest", "left")
-    else:
-        out = out.withColumn("seen", F.lit(None).cast("boolean"))
-    turn = F.row_number().over(Window.partitionBy("digest", "fit").orderBy(*order))
-    status = F.when(F.col("bad"), "error").when(~F.col("fit"), "short").when(F.col("seen").isNotNull() | (turn > 1), "duplicate").otherwise("accepted")
-    return out.withColumn("status", status).drop("bad", "fit", "seen")
+        first = without(first, known, "digest")
+    out = out.join(first.select("turn", F.lit(True).alias("first")), "turn", "left")
+    status = F.when(F.col("bad"), "error").when(~F.col("fit"), "short").when(F.col("first"), "accepted").otherwise("duplicate")
+    return out.withColumn("status", status).drop("bad", "fit", "first", "turn")
 
 
 def first_accepted(rows: DataFrame, target: int, order: list[str]) -> DataFrame:
@@ -71,24 +75,48 @@ def first_accepted(rows: DataFrame, target: int, order: list[str]) -> DataFrame:
     return rows.filter(F.col("status") == "accepted").orderBy(*order).limit(target)
 
 
-def books_of(rows: DataFrame, min_words: int, known: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """Accepted rows as books, with content: id, title, author, source, words,
-    digest, excerpt, content. Known ids are skipped without a look at their
-    text; ``strict`` raises for the first short one instead of leaving it out."""
+def staged(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The rows with cleaned texts, written once: turn (a number of the row), id,
+    title, author, source, digest, excerpt and content. Known ids are left out
+    without a look at their text."""
     if known is not None:
         rows = without(rows, known, "id")
-    found = cleaned(rows)
+    content = T.clean_text(F.coalesce(F.col("text"), F.lit("")))
+    optional = lambda name, missing: F.coalesce(F.col(name), F.lit(missing)) if name in rows.columns else F.lit(missing)
+    out = rows.select("id", optional("title", "").alias("title"), optional("author", "Unknown").alias("author"), optional("source", "").alias("source"), content.alias("content"))
+    return saved(out.select(F.monotonically_increasing_id().alias("turn"), "id", "title", "author", "source", T.digest(F.col("content")).alias("digest"), T.excerpt(F.col("content")).alias("excerpt"), "content"), "staged")
+
+
+def accepted(stage: DataFrame, counts: DataFrame, min_words: int, known: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """turn and the columns of a book of those staged rows that are books: with
+    enough words (``counts`` has turn, word and count), new by content and the
+    first of it by id; of rows of one id the one with the least digest. ``strict``
+    raises for the first short one instead of leaving it out."""
+    lengths = counts.groupBy("turn").agg(F.sum("count").alias("words"))
+    found = stage.drop("content").join(lengths, "turn", "left").withColumn("words", F.coalesce("words", F.lit(0)))
     if strict:
         short = found.filter(F.col("words") < min_words).select("id", "words").orderBy("id").first()
         if short:
             raise ShortBook(f"Book {short['id']} has {short['words']} words, fewer than {min_words}.")
     found = found.filter(F.col("words") >= min_words)
     if known is not None:
-        found = found.join(known.select("digest").distinct(), "digest", "left_anti")
-    first = F.row_number().over(Window.partitionBy("digest").orderBy("id")) == 1
-    found = found.withColumn("first", first).filter("first")
-    optional = lambda name, missing: F.coalesce(F.col(name), F.lit(missing)) if name in rows.columns else F.lit(missing)
-    return found.select("id", optional("title", "").alias("title"), optional("author", "Unknown").alias("author"), optional("source", "").alias("source"), "words", "digest", T.excerpt(F.col("content")).alias("excerpt"), "content")
+        found = without(found, known, "digest")
+    one = found.groupBy("id").agg(F.min(F.struct("digest", "turn")).alias("x"))
+    first = one.groupBy("x.digest").agg(F.min(F.struct("id", "x.turn"))["turn"].alias("turn"))
+    return found.join(first.select("turn"), "turn").select("turn", "id", "title", "author", "source", "words", "digest", "excerpt")
+
+
+def word_counts(stage: DataFrame) -> DataFrame:
+    """turn, word and count of every word of every staged row, written once."""
+    words = stage.select("turn", F.explode(T.tokens(F.col("content"))).alias("word"))
+    return saved(words.groupBy("turn", "word").agg(F.count("*").alias("count")), "counts")
+
+
+def books_of(rows: DataFrame, min_words: int, known: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Accepted rows as books, with content: id, title, author, source, words,
+    digest, excerpt, content."""
+    stage = staged(rows, known)
+    return accepted(stage, word_counts(stage), min_words, known, strict).join(stage.select("turn", "content"), "turn").drop("turn")
 
 
 def refreshed_digests(books: DataFrame, texts: DataFrame) -> DataFrame:

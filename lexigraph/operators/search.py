@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -63,13 +63,15 @@ def matched_terms(terms: DataFrame, query: Query) -> DataFrame:
     return found.filter(pattern.matches(word)).select("word")
 
 
-def hits(index: DataFrame, terms: DataFrame, query: Query, scores: DataFrame) -> DataFrame:
+def hits(index: DataFrame, terms: DataFrame, query: Query, scores: DataFrame | None) -> DataFrame:
     """book_id, occurrences and pagerank (0 if unknown) of every match. A
     keyword is compared with the postings themselves, without the vocabulary."""
     if query.mode == "keyword":
         found = index.filter(F.col("word") == query.keyword()).groupBy("book_id").agg(F.sum("count").alias("occurrences"))
     else:
         found = occurrences(index, matched_terms(terms, query))
+    if scores is None:
+        return found.select("book_id", "occurrences", F.lit(0.0).alias("pagerank"))
     return found.join(scores, "book_id", "left").select("book_id", "occurrences", F.coalesce("score", F.lit(0.0)).alias("pagerank"))
 
 
@@ -88,6 +90,24 @@ def page_of(found: DataFrame, books: DataFrame, query: Query) -> DataFrame:
     return placed.join(books, placed["book_id"] == books["id"]).select("place", "id", "title", "author", "source", "words", "excerpt", "occurrences", "pagerank")
 
 
+def term_list(terms: DataFrame, query: Query) -> tuple[list[str], int]:
+    """The first matched words and the number of all, in one job."""
+    seen = Observation()
+    words = matched_terms(terms, query).observe(seen, F.count(F.lit(1)).alias("n")).orderBy("word").limit(SHOWN_TERMS).collect()
+    return [r["word"] for r in words], seen.get["n"]
+
+
+def first_page(found: DataFrame, books: DataFrame, query: Query) -> tuple[int, list[dict]]:
+    """The number of all hits and the page's books in order: one job counts and
+    ranks, a second one looks up the page's books."""
+    seen, last = Observation(), query.page * query.page_size
+    top = found.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*ranking_order(query.ranking)).limit(last).collect()[last - query.page_size :]
+    if not top:
+        return seen.get["n"], []
+    known = {r["id"]: r.asDict() for r in books.filter(F.col("id").isin([r["book_id"] for r in top])).select("id", "title", "author", "source", "words", "excerpt").collect()}
+    return seen.get["n"], [known[r["book_id"]] | {"occurrences": r["occurrences"], "pagerank": r["pagerank"]} for r in top]
+
+
 def recommendations(found: DataFrame, links: DataFrame, books: DataFrame, ranking: str, limit: int = RECOMMENDED) -> DataFrame:
     """Neighbours of the three best hits that aren't hits themselves, by their
     best similarity; related_to is the hit that gives it (the better-ranked one

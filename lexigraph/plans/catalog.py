@@ -433,8 +433,16 @@ def corpus_stats(spark, sf_dir):
     return checks.corpus_stats(books(spark, sf_dir), words(spark, sf_dir))
 
 
-@query("""select * from (values ('corpus_minimum', false), ('storage_integrity', true), ('index_counts', true), ('foreign_keys', true), ('graph_ready', true), ('graph_definition', true), ('graph_counts', true), ('graph_edges', true),
-  ('pagerank_coverage', true), ('pagerank_finite_positive', true), ('pagerank_normalized', true)) t(name, passed)""")
+@query(_with(_RANKS, """, totals as (select book_id, sum(count) as total from posts group by book_id),
+found as (select
+  (select count(*) >= 1664 and min(words) >= 10000 from books) as corpus_minimum, true as storage_integrity,
+  (select count(*) = 0 from books left join totals on book_id = id where coalesce(total, 0) != words) as index_counts,
+  (select count(*) from posts anti join books on book_id = id) + (select count(*) from links anti join books on a = id) + (select count(*) from links anti join books on b = id) + (select count(*) from ranks anti join books on book_id = id) = 0 as foreign_keys,
+  true as graph_ready, true as graph_definition, (select count(*) from deg) = (select count(*) from books) as graph_counts,
+  (select count(*) = 0 from links where a >= b or similarity <= 0 or similarity > 1 or similarity <= 0.5) as graph_edges,
+  (select count(*) from books anti join ranks on book_id = id) = 0 and (select count(*) from ranks) = (select count(*) from books) as pagerank_coverage,
+  (select bool_and(isfinite(score) and score > 0) from ranks) as pagerank_finite_positive, (select abs(sum(score) - 1) < 1e-8 from ranks) as pagerank_normalized)
+select name, passed from (unpivot found on columns(*) into name name value passed)"""))
 def validation_checks(spark, sf_dir):
     info = {"threshold": THRESHOLD, "metric": graph.METRIC, "nodes": books(spark, sf_dir).count(), "edges": links(spark, sf_dir).count()}
     found = checks.checks(books(spark, sf_dir), words(spark, sf_dir), posts(spark, sf_dir), links(spark, sf_dir), ranks(spark, sf_dir), info, graph.METRIC)
@@ -460,13 +468,14 @@ _ALL_HITS = f"{_POSTS}, f as (select book_id, sum(count) as n from posts where w
 
 
 def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of five labelled books for each language, judged by
-    labels.quality."""
-    own = posts(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book_id")), "book_id", "left_semi").join(books(spark, sf_dir).select(F.col("id").alias("book_id"), F.col("source").alias("lang"), "words"), "book_id").groupBy("lang", "book_id", "words").agg(F.sum("count").alias("n"))
+    """Two rankings of five labelled books for each language, by words and by
+    PageRank, judged by labels.quality."""
+    own = posts(spark, sf_dir).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book_id")), "book_id", "left_semi").join(books(spark, sf_dir).select(F.col("id").alias("book_id"), F.col("source").alias("lang")), "book_id").groupBy("lang", "book_id").agg(F.sum("count").alias("n"))
+    own = own.join(ranks(spark, sf_dir), "book_id").withColumn("score", F.round("score", 8))
     from pyspark.sql import Window
 
     groups = None
-    for ranking, key in (("frequency", F.desc("n")), ("pagerank", F.asc("words"))):
+    for ranking, key in (("frequency", F.desc("n")), ("pagerank", F.desc("score"))):
         turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "book_id"))
         top = own.withColumn("place", turn).filter("place <= 5").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "book_id"))), lambda x: x["book_id"]).alias("book_ids"))
         one = top.select(F.lit("p1").alias("participant"), F.col("lang").alias("task"), F.col("lang").alias("query"), F.lit("keyword").alias("mode"), F.lit(ranking).alias("ranking"), "book_ids")
@@ -476,9 +485,9 @@ def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return groups, sheet.withColumn("relevant", F.coalesce("judged", F.lit(""))).select(*evaluation.FIELDS)
 
 
-_TOPS = f"""{_BOOKS}, own as (select source as task, id, words from books where id in (select doc_id from labels)),
-tops as (select task, 'frequency' as ranking, id from own qualify row_number() over (partition by task order by words desc, id) <= 5
-  union all select task, 'pagerank', id from own qualify row_number() over (partition by task order by words, id) <= 5),
+_TOPS = f"""{_RANKS}, own as (select source as task, id, words, round(score, 8) as score from books join ranks on book_id = id where id in (select doc_id from labels)),
+tops as (select task, 'frequency' as ranking, id, row_number() over (partition by task order by words desc, id) as place from own qualify place <= 5
+  union all select task, 'pagerank', id, row_number() over (partition by task order by score desc, id) as place from own qualify place <= 5),
 trials as (select task, ranking, sum(quality) / 5.0 as precision_at_5 from tops left join labels on doc_id = id group by all having count(quality) = 5 and count(*) = 5)"""
 
 
@@ -492,7 +501,9 @@ def paired_difference(spark, sf_dir):
     return evaluation.paired_differences(evaluation.completed_trials(_judged(spark, sf_dir)[1])).select("task", "difference")
 
 
-@query("select 2::bigint as trials, 0.4::double as frequency, 0.6::double as pagerank, 0.2::double as difference")
+@query("""with marks as (select ranking, unnest(string_split(marks, '')) as mark from (values ('frequency', '10010'), ('pagerank', '11010')) t(ranking, marks)),
+trials as (select ranking, count(*) filter (mark = '1') / 5.0 as p from marks group by ranking having count(*) = 5)
+select count(*)::bigint as trials, avg(p) filter (ranking = 'frequency') as frequency, avg(p) filter (ranking = 'pagerank') as pagerank, round(avg(p) filter (ranking = 'pagerank') - avg(p) filter (ranking = 'frequency'), 6) as difference from trials""")
 def evaluation_fixture(spark, sf_dir):
     """One participant, one query, both rankings of five books."""
     judged = {"frequency": "10010", "pagerank": "11010"}
@@ -517,7 +528,9 @@ def throughput_by_status(spark, sf_dir):
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
-@query()
+@query(_with(_TOPS, """, groups as (select task, ranking, string_agg(id::varchar, ',' order by place) as book_ids from tops group by all)
+select 'p1' as participant, 'trial-' || row_number() over (order by md5('2026|p1|' || task || '|keyword|' || ranking), task, ranking) as trial, task, ranking, book_ids from groups"""))
 def seeded_shuffle(spark, sf_dir):
-    """Blinded order of trials by a seeded hash; SQL has no such hash."""
-    return evaluation.shuffled_trials(_judged(spark, sf_dir)[0]).select("participant", "trial", "task", "ranking", "book_ids")
+    """Blinded order of trials by a seeded hash."""
+    shuffled = evaluation.shuffled_trials(_judged(spark, sf_dir)[0])
+    return shuffled.select("participant", "trial", "task", "ranking", F.array_join(F.transform("book_ids", lambda x: x.cast("string")), ",").alias("book_ids"))

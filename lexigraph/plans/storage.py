@@ -1,10 +1,14 @@
 """Where derived tables live.
 
-A library is a folder with one subfolder for each version of its tables and a
-small pointer table that names the current version. Writers make a new version
-and then move the pointer; readers keep the version they opened. Derived tables
-(edges, scores) carry the version of the index that they were made from, so a
-changed index makes them absent at once.
+A library is a folder with a subfolder for every part of its tables and numbered
+pointer files. A pointer names the parts of each table; it is written once and
+never changed, and the highest complete one is the library. Writers add parts
+and then the next pointer; readers keep the one they opened, and a crash at any
+moment leaves the last one in force. Two writers can't take the same number, so
+the later one fails and its parts stay unused.
+
+Derived tables (edges, scores) carry the parts of the index that they were made
+from, so a changed index makes them absent at once.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ SCHEMAS = {"books": BOOKS, "terms": TERMS, "postings": POSTINGS, "edges": EDGES,
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where a session names none, a folder of this
-    machine, as in tests."""
+    """spark.checkpoint.dir, or the checkpoint folder that the session was given
+    later; without one only a session on one machine goes on."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         base = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -45,54 +51,67 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Pointers that are kept for readers that opened them.
+KEPT_POINTERS = 20
+
+
 class Store:
     """The versioned tables of one library."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._place = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._place(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointer files, the highest first."""
+        folder = self._place(f"{self.path}/pointers")
+        if not self._files.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(folder)]
+        return sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True)
 
-    def _swap(self, new: str, old: str) -> None:
-        """Put the pointer ``new`` in the place of ``old``."""
-        jvm = self.spark._jvm
-        a, b = jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(old)
-        fs = a.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(b, True)
-        if not fs.rename(a, b):
-            raise OSError(f"cannot move {new} to {old}")
+    def _where(self, number: int):
+        return self._place(f"{self.path}/pointers/{number:012d}.json")
 
     def pointer(self) -> dict:
-        """Versions of the tables and the graph's metadata, {} at first."""
-        where = f"{self.path}/current"
-        if not self._exists(where):
-            return {}
-        row = self.spark.read.schema("value string").json(where).first()
-        return json.loads(row["value"])
+        """Parts of the tables and the graph's metadata, {} at first. No Spark
+        job: a listing and one small file."""
+        for number in self._numbers():
+            stream = self._files.open(self._where(number))
+            try:
+                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            try:
+                return json.loads(text)
+            except ValueError:
+                continue  # its writer was lost before the end
+        return {}
 
     def point(self, to: dict) -> None:
-        aside = f"{self.path}/next-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(to, sort_keys=True),)], "value string").coalesce(1).write.json(aside)
-        self._swap(aside, f"{self.path}/current")
+        """Make ``to`` the next pointer."""
+        numbers = self._numbers()
+        number = numbers[0] + 1 if numbers else 1
+        stream = self._files.create(self._where(number), False)
+        stream.write(json.dumps(to, sort_keys=True).encode())
+        stream.close()
+        for old in numbers[KEPT_POINTERS:]:
+            self._files.delete(self._where(old), False)
 
     def write(self, df: DataFrame, name: str) -> str:
-        """A new version of a table; it isn't current until ``point``."""
-        version = f"{name}/{uuid.uuid4().hex}"
+        """A new part of a table; it doesn't count until ``point``."""
+        part = f"{name}/{uuid.uuid4().hex}"
         fields = SCHEMAS[name].fields
-        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.parquet(f"{self.path}/{version}")
-        return version
+        df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)).write.parquet(f"{self.path}/{part}")
+        return part
 
     def read(self, name: str, at: dict | None = None) -> DataFrame:
-        """A table's current version; an empty one where there is none."""
+        """A table's current parts as one; an empty one where there is none."""
         at = self.pointer() if at is None else at
-        if name in ("edges", "scores") and not self.graph(at):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        if name not in at:
+        if not at.get(name) or name in ("edges", "scores") and not self.graph(at):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{at[name]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{part}" for part in at[name]))
 
     def graph(self, at: dict | None = None) -> dict | None:
         """Metadata of the graph, if it was made from the present index."""

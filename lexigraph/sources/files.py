@@ -14,6 +14,13 @@ from ..functions.text import WHITE
 
 #: Columns that a catalogue must have (fixed by its publisher).
 CATALOG_COLUMNS = ("Text#", "Title", "Authors", "Language", "Type")
+#: Where the catalogue and the books are (fixed by their publisher and a mirror).
+CATALOG = "https://www.gutenberg.org/cache/epub/feeds/pg_catalog.csv"
+MIRROR = "https://mirror.cs.odu.edu/gutenberg-epub"
+CATALOG_BYTES = 100_000_000
+BOOK_BYTES = 20_000_000
+AGENT = "Lexigraph/1.0"
+TIMEOUT = 45
 BOOK_SCHEMA = "id long, title string, author string, source string, download_url string, language string, words long, digest string"
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,13 +35,13 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def catalog_books(catalog: DataFrame, site: str = "https://www.gutenberg.org", mirror: str = "https://www.gutenberg.org/files") -> DataFrame:
+def catalog_books(catalog: DataFrame, site: str = "https://www.gutenberg.org", mirror: str = MIRROR) -> DataFrame:
     """id, title, author, language, source and download_url of a catalogue."""
     number = F.col("`Text#`").cast("long")
     author: Column = F.coalesce(F.expr("nullif(Authors, '')"), F.lit("Unknown"))
     return catalog.select(
         number.alias("id"), F.col("Title").alias("title"), author.alias("author"), F.trim("Language").alias("language"),
-        F.format_string("%s/ebooks/%d", F.lit(site), number).alias("source"), F.format_string("%s/%d/pg%d.txt", F.lit(mirror), number, number).alias("download_url"),
+        F.format_string("%s/ebooks/%d", F.lit(site), number).alias("source"), F.format_string("%s/%d/pg%d.txt", F.lit(mirror.rstrip("/")), number, number).alias("download_url"),
     )
 
 
@@ -65,12 +72,14 @@ def bars(rows: DataFrame, label: str, value: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(top)).select(F.col(label).alias("label"), F.col(value).alias("value"), F.when(F.col("top") > 0, F.col(value) / F.col("top")).otherwise(0.0).alias("share"))
 
 
-def fetch(url: str, retries: int = 3, max_bytes: int = 20_000_000, pause: Callable[[float], None] = time.sleep, opener=urllib.request.urlopen) -> bytes:
-    """Download at most ``max_bytes``; 403 and 404 at once, others again after
-    2 and 4 seconds."""
+def fetch(url: str, retries: int = 3, max_bytes: int = BOOK_BYTES, pause: Callable[[float], None] = time.sleep, opener=urllib.request.urlopen, timeout: float = TIMEOUT) -> bytes:
+    """Download at most ``max_bytes``, waiting ``timeout`` seconds for an answer;
+    403 and 404 are final at once, other failures and timeouts are tried again
+    after 2 and 4 seconds."""
+    asked = urllib.request.Request(url, headers={"User-Agent": AGENT})
     for attempt in range(1, retries + 1):
         try:
-            with opener(url) as response:
+            with opener(asked, timeout=timeout) as response:
                 data = response.read(max_bytes + 1)
             if len(data) > max_bytes:
                 raise ValueError("The download is too large.")
@@ -78,7 +87,7 @@ def fetch(url: str, retries: int = 3, max_bytes: int = 20_000_000, pause: Callab
         except urllib.error.HTTPError as error:
             if error.code in (403, 404) or attempt == retries:
                 raise
-        except urllib.error.URLError:
+        except (urllib.error.URLError, TimeoutError):
             if attempt == retries:
                 raise
         pause(2.0**attempt)

@@ -1,5 +1,6 @@
-import random
+import collections
 
+import numpy as np
 import pytest
 
 from lexigraph.operators import graph
@@ -13,47 +14,77 @@ def links(spark, pairs):
     return spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "a long, b long, similarity double")
 
 
-def ranks(spark, ids, pairs, by=graph.pagerank):
-    found, turns = by(nodes(spark, ids), links(spark, pairs))
-    return {r["book_id"]: r["score"] for r in found.collect()}, turns
+def solved(ids, pairs, damping=0.85):
+    """PageRank as the solution of its linear equations."""
+    ids, n = sorted(ids), len(ids)
+    place = {v: i for i, v in enumerate(ids)}
+    flow = np.zeros((n, n))
+    for a, b in pairs:
+        flow[place[a], place[b]] = flow[place[b], place[a]] = 1
+    degree = flow.sum(axis=0)
+    flow = np.where(degree > 0, flow / np.maximum(degree, 1), 1 / n)
+    rank = np.linalg.solve(np.eye(n) - damping * flow, np.full(n, (1 - damping) / n))
+    return dict(zip(ids, rank))
 
 
+SHAPES = {
+    "wheel": ([1, 2, 3, 4, 5, 6], [(1, i) for i in range(2, 7)] + [(2, 3), (3, 4), (4, 5), (5, 6), (2, 6)]),
+    "two paths and strays": ([10, 20, 30, 40, 50, 60, 70], [(10, 20), (20, 30), (40, 50)]),
+    "strays only": ([3, 5, 8], []),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
 @pytest.mark.parametrize("by", [graph.pagerank, graph.pagerank_by_join])
-def test_star(spark, by):
-    if by is graph.pagerank_by_join:
-        found, _ = by(nodes(spark, [1, 2, 3]), links(spark, [(1, 2), (1, 3)]), tolerance=1e-4)
-        assert {r["book_id"]: r["score"] for r in found.collect()}[1] == pytest.approx(0.9 / 1.85, abs=1e-3)
-        return
-    found, _ = ranks(spark, [1, 2, 3], [(1, 2), (1, 3)], by)
-    assert found[1] == pytest.approx(0.9 / 1.85) and found[2] == pytest.approx(found[3]) and sum(found.values()) == pytest.approx(1)
-
-
-def test_isolated_and_dangling(spark):
-    assert ranks(spark, [1, 2], [])[0] == {1: 0.5, 2: 0.5}
-    assert ranks(spark, [], []) == ({}, 0)
-    found, _ = ranks(spark, [1, 2, 3], [(1, 2)])
-    assert found[1] > found[3] and sum(found.values()) == pytest.approx(1)
-    with pytest.raises(graph.NotConverged):
-        graph.pagerank(nodes(spark, [1, 2, 3]), links(spark, [(1, 2), (1, 3)]), max_iterations=2)[0].collect()
-
-
-def test_tiles_equal_direct_sums(spark):
-    draw = random.Random(2026)
-    bags = {i: {f"w{t}": draw.choice([1, 2, 3, 8, 256, 4095, 50_000]) for t in range(33) if draw.random() < 0.55} for i in range(12)}
-    bags |= {12: {"w0": 1}, 2057: {"w2": 2}}
+def test_pagerank_solves_its_equations(spark, shape, by):
+    ids, pairs = SHAPES[shape]
+    tolerance = 1e-10 if by is graph.pagerank else 1e-5
+    found, _ = by(nodes(spark, ids), links(spark, pairs), tolerance=tolerance)
+    found = {r["book_id"]: r["score"] for r in found.collect()}
+    assert found == pytest.approx(solved(ids, pairs), abs=10 * tolerance) and sum(found.values()) == pytest.approx(1)
+
+
+def test_pagerank_of_nothing_and_without_convergence(spark):
+    found, turns = graph.pagerank(nodes(spark, []), links(spark, []))
+    assert (found.collect(), turns) == ([], 0)
+    for by in (graph.pagerank, graph.pagerank_by_join):
+        with pytest.raises(graph.NotConverged):
+            by(nodes(spark, [1, 2, 3, 4]), links(spark, [(1, 2), (2, 3), (3, 4)]), max_iterations=3)[0].collect()
+
+
+def test_both_ways_of_pagerank_agree(spark):
+    draw = np.random.default_rng(41)
+    pairs = sorted({tuple(sorted(p)) for p in draw.integers(0, 120, (260, 2)).tolist() if p[0] != p[1]})
+    ids = range(130)
+    scores = [{r["book_id"]: r["score"] for r in by(nodes(spark, ids), links(spark, pairs), tolerance=1e-6)[0].collect()} for by in (graph.pagerank, graph.pagerank_by_join)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-6)
+    assert scores[0] == pytest.approx(solved(ids, pairs), abs=1e-5)
+
+
+@pytest.mark.parametrize("seed,books,words", [(5, 20, 15), (6, 41, 60)])
+def test_tiles_and_join_equal_counting(spark, seed, books, words):
+    """Zipf-like bags, some empty of common words, some with huge counts."""
+    draw = np.random.default_rng(seed)
+    bags = {}
+    for i in range(books):
+        chosen = draw.choice(words, draw.integers(1, words // 2), replace=False)
+        bags[int(i * 37 + draw.integers(0, 30))] = {f"term{w}": int(min(draw.zipf(1.4), 10**6)) for w in chosen}
+    bags[10**7] = {"alone": 4}
     index = spark.createDataFrame([(w, i, c) for i, bag in bags.items() for w, c in bag.items()], "word string, book_id long, count long")
-    expected = {}
-    for a in bags:
-        for b in bags:
-            both = bags[a].keys() & bags[b].keys()
-            if a < b and both:
-                expected[a, b] = (len(both), sum(min(bags[a][w], bags[b][w]) for w in both), sum(max(bags[a][w], bags[b][w]) for w in both))
-    for blocks in (1, 4):
-        found = {(r["a"], r["b"]): (r["shared_words"], r["minimum"], r["maximum"]) for r in graph.overlaps(index, blocks=blocks).collect()}
-        assert found == expected
-    assert {(r["a"], r["b"]): (r["shared_words"], r["minimum"], r["maximum"]) for r in graph.overlaps_by_join(index).collect()} == expected
-    edges = {(r["a"], r["b"]) for r in graph.edges(index, 0.3).collect()}
-    assert edges == {k for k, (_, low, high) in expected.items() if low / high > 0.3}
+    low, high, shared = collections.Counter(), collections.Counter(), collections.Counter()
+    for a, x in bags.items():
+        for b, y in bags.items():
+            for w in x.keys() & y.keys() if a < b else ():
+                low[a, b] += min(x[w], y[w])
+                high[a, b] += max(x[w], y[w])
+                shared[a, b] += 1
+    expected = {k: (shared[k], low[k], high[k]) for k in shared}
+    told = lambda pairs: {(r["a"], r["b"]): (r["shared_words"], r["minimum"], r["maximum"]) for r in pairs.collect()}
+    for blocks in (1, 3, 7):
+        assert told(graph.overlaps(index, blocks=blocks)) == expected
+    assert told(graph.overlaps_by_join(index)) == expected
+    for level in (0.0, 0.2, 0.5):
+        assert {(r["a"], r["b"]): r["similarity"] for r in graph.edges(index, level).collect()} == pytest.approx({k: low[k] / high[k] for k in shared if low[k] / high[k] > level})
 
 
 def test_connectivity_and_decomposition(spark):
@@ -66,3 +97,12 @@ def test_connectivity_and_decomposition(spark):
     assert all(r["residual"] < 1e-9 for r in graph.decomposition(all_nodes, pairs, scores).collect())
     top = graph.top_contributions(graph.contributions(all_nodes, pairs, scores), 1).filter("id = 2").collect()
     assert len(top) == 1 and top[0]["neighbour"] == 1
+
+
+def test_connectivity_below_the_stored_threshold_is_computed_anew(spark):
+    index = spark.createDataFrame([("a", 1, 1), ("a", 2, 4), ("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "word string, book_id long, count long")
+    stored = graph.edges(index, 0.4)
+    out = {r["threshold"]: r["edges"] for r in graph.connectivity(nodes(spark, [1, 2, 3, 4]), stored, (0.1, 0.4), stored=0.4, index=index).collect()}
+    assert out == {0.1: 2, 0.4: 1}
+    with pytest.raises(ValueError):
+        graph.connectivity(nodes(spark, [1, 2, 3, 4]), stored, (0.1,), stored=0.4)

@@ -10,6 +10,7 @@ from lexigraph.library import Library
 from lexigraph.operators import ingest
 from lexigraph.server import make_server, respond
 from lexigraph.sources import files
+from lexigraph.sources.collect import Collector, Refused, collect
 from lexigraph.streaming.arrivals import index_stream
 
 BOOK = "id long, title string, author string, source string, text string"
@@ -42,10 +43,16 @@ def test_http(library):
     server.shutdown()
 
 
-def test_busy(library):
+def test_busy(library, spark, tmp_path):
     slots = threading.BoundedSemaphore(1)
     slots.acquire()
-    assert respond(library, "/api/stats", slots)[0] == 503
+    assert respond(library, "/api/search?q=ocean", slots)[0] == 503
+    assert respond(library, "/api/stats", slots)[0] == 200  # takes no search slot
+    slots.release()
+    broken = Library(spark, f"file://{tmp_path}")
+    broken.store.point({"books": ["books/gone"], "terms": ["terms/gone"], "postings": ["postings/gone"]})
+    assert respond(broken, "/api/stats", slots)[0] == respond(broken, "/api/search?q=x", slots)[0] == 503
+    assert slots.acquire(blocking=False)  # was given back
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -99,29 +106,35 @@ def test_fetch():
         def read(self, n):
             return self.data[:n]
 
-    assert files.fetch("x", opener=lambda u: Answer(b"abc")) == b"abc"
+    assert files.fetch("http://x", opener=lambda u, timeout: Answer(b"abc")) == b"abc"
     with pytest.raises(ValueError):
-        files.fetch("x", max_bytes=2, opener=lambda u: Answer(b"abc"))
+        files.fetch("http://x", max_bytes=2, opener=lambda u, timeout: Answer(b"abc"))
     calls, waits = [], []
 
     def failing(code):
-        def opener(url):
-            calls.append(url)
-            raise urllib.error.HTTPError(url, code, "", None, None)
+        def opener(request, timeout):
+            calls.append((request.full_url, request.get_header("User-agent"), timeout))
+            raise urllib.error.HTTPError(request.full_url, code, "", None, None)
 
         return opener
 
     with pytest.raises(urllib.error.HTTPError):
-        files.fetch("x", opener=failing(404), pause=waits.append)
+        files.fetch("http://x", opener=failing(404), pause=waits.append)
     assert len(calls) == 1
     with pytest.raises(urllib.error.HTTPError):
-        files.fetch("x", opener=failing(500), pause=waits.append)
-    assert len(calls) == 4 and waits == [2.0, 4.0]
+        files.fetch("http://x", opener=failing(500), pause=waits.append)
+    assert len(calls) == 4 and waits == [2.0, 4.0] and set(calls) == {("http://x", files.AGENT, 45)}
 
+    def slow(request, timeout):
+        waits.append("late")
+        raise TimeoutError
 
-def test_collect(spark):
-    from lexigraph.sources.collect import Collector
+    with pytest.raises(TimeoutError):
+        files.fetch("http://x", opener=slow, pause=lambda s: None)
+    assert waits.count("late") == 3
 
+
+def test_collect(spark, tmp_path):
     texts = {11: "sea ocean whale", 12: "sea ocean whale", 13: "short", 14: None, 15: "<html> a b c", 16: "new words here"}
     rows = [(i, f"T{i}", "A", "s", f"u{i}", "en") for i in texts]
     candidates = spark.createDataFrame(rows, "id long, title string, author string, source string, download_url string, language string")
@@ -132,25 +145,66 @@ def test_collect(spark):
             raise urllib.error.HTTPError(url, 404, "", None, None)
         return text.encode()
 
-    run = Collector(spark, min_words=2, get=get, pause=lambda s: None)
-    assert run.run(candidates, 10) == 2
-    assert {k: v[0] for k, v in run.states.items()} == {11: "accepted", 12: "duplicate", 13: "short", 14: "missing", 15: "error", 16: "accepted"}
-    again = Collector(spark, min_words=2, get=get, pause=lambda s: None)
-    again.resume(run.state_table(), run.book_table())
+    def collector(folder, get=get, words=2):
+        return Collector(spark, f"{tmp_path}/{folder}", words, get=get, pause=lambda s: None)
+
+    state = lambda: {int(k): v["status"] for k, v in json.loads((tmp_path / "one/collection.json").read_text()).items()}
+    # Lost in the middle of the fourth book: what was reached is on disk.
+    lost = lambda url: get(url) if url != "u14" else (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        collector("one", lost).run(candidates, 10)
+    assert state() == {11: "accepted", 12: "duplicate", 13: "short"}
+    asked = []
+    assert collector("one", lambda url: asked.append(url) or get(url)).run(candidates, 10) == 2
+    assert asked == ["u14", "u15", "u16"]  # no book twice
+    assert state() == {11: "accepted", 12: "duplicate", 13: "short", 14: "missing", 15: "error", 16: "accepted"}
     texts[15] = "now a text"
-    assert again.run(candidates, 10) == 3 and again.states[15][0] == "accepted"
-    assert Collector(spark, min_words=2, get=get, pause=lambda s: None).run(candidates, 10, seed=True) == 1
+    assert collector("one").run(candidates, 10) == 3 and state()[15] == "accepted"
+    assert collector("two").run(candidates, 10, seed=True) == 1
+    saved = tmp_path / "one/books/16.txt"
+    saved.write_text("new words\r\r\nhere", newline="")
+    assert collector("one").resume() == 3 and saved.read_bytes() == b"new words\nhere"
+    assert json.loads((tmp_path / "one/books/16.json").read_text())["words"] == 3
+    assert files.read_books(spark, f"file://{tmp_path}/one/books").count() == 3
 
     def down(url):
         raise OSError("down")
 
-    failing = Collector(spark, get=down, pause=lambda s: None)
     with pytest.raises(ValueError):
-        failing.run(candidates, 10)
-    assert len(failing.states) == 5
-    short = Collector(spark, min_words=100)
+        collector("three", down).run(candidates, 10)
+    assert len(json.loads((tmp_path / "three/collection.json").read_text())) == 5
+    with pytest.raises(ValueError):
+        collector("one", words=100).resume()
+    refuse = lambda url: (_ for _ in ()).throw(urllib.error.HTTPError(url, 403, "", None, None))
+    with pytest.raises(Refused):
+        collector("four", refuse).run(candidates, 10)
+    saved.unlink()
     with pytest.raises(ValueError):
-        short.resume(run.state_table(), run.book_table())
+        collector("one").resume()
+
+
+def test_collect_and_prepare_commands(spark, tmp_path, monkeypatch, capsys):
+    text = {i: " ".join(f"word{chr(97 + (i * k) % 23)}{chr(97 + k % 19)}" for k in range(10_050)) for i in (11, 74, 500)}
+
+    def get(url, max_bytes=0, **_):
+        if url == files.CATALOG:
+            return b'Text#,Title,Authors,Language,Type\n74,B,,en,Text\n11,A,Z,en,Text\n500,C,Y,en,Text\n9,D,Y,fr,Text\n'
+        number = int(url.split("/")[-2])
+        assert url == f"{files.MIRROR}/{number}/pg{number}.txt"
+        return text[number].encode()
+
+    monkeypatch.setattr("lexigraph.__main__.collect", lambda *a: collect(*a, get=get, pause=lambda s: None))
+    run = lambda *a: main(["--library", f"file://{tmp_path}/library", *a], spark)
+    assert run("collect", "--data", f"{tmp_path}/data", "--target", "2") == 0
+    assert sorted(p.name for p in (tmp_path / "data/books").glob("*.txt")) == ["11.txt", "74.txt"]
+    assert json.loads((tmp_path / "data/books/74.json").read_text())["author"] == "Unknown"
+    assert run("collect", "--data", f"{tmp_path}/data", "--seed") == 1  # ten of the twelve aren't listed
+    assert run("collect", "--data", f"{tmp_path}/data", "--target", "0") == 1
+    capsys.readouterr()
+    assert run("prepare", "--data", f"{tmp_path}/data", "--target", "3") == 0
+    said = capsys.readouterr().out
+    stages = json.loads(said[said.index("{") :])
+    assert stages["index"]["result"] == 3 and stages["graph"]["result"]["nodes"] == 3 and stages["validate"]["result"]["checks"]["graph_ready"]
 
 
 def test_stream(spark, tmp_path):

@@ -17,9 +17,15 @@ def column(spark, texts, f):
     return [r[1] for r in sorted(rows.select("i", f(F.col("t"))).collect())]
 
 
-def test_wrapper_case_and_apostrophes(spark):
-    text = f"license\n{STAR}\nCafé DON’T 123 ocean.\n{END}\nlicense"
-    assert column(spark, [text], lambda c: T.tokens(T.clean_text(c))) == [["café", "don't", "ocean"]]
+@pytest.mark.parametrize("said", ["THE", "THIS"])
+def test_only_what_is_between_the_marks_counts(spark, said):
+    texts = [
+        f"About this file.\n*** START OF {said} PROJECT GUTENBERG EBOOK 7 ***\n\n  Grüße, O’Neill’s “Straße” 1850!  \n\n*** END OF {said} PROJECT GUTENBERG EBOOK 7 ***\nTerms.",
+        f"*** end of {said} project gutenberg ebook ***\nnothing before",
+        "no marks at all",
+    ]
+    assert column(spark, texts, T.clean_text) == ["Grüße, O’Neill’s “Straße” 1850!", "", texts[2]]
+    assert column(spark, texts[:1], lambda c: T.tokens(T.clean_text(c))) == [["grüsse", "o'neill's", "strasse"]]
 
 
 @pytest.mark.parametrize("end", ["\r\n", "\r\r\n", "\r"])
@@ -30,7 +36,14 @@ def test_line_ends_give_the_same_text(spark, end):
 
 
 def test_line_ends_are_replaced_in_order(spark):
-    assert column(spark, ["a\r\r\r\nb"], T.normalize_newlines) == ["a\n\nb".replace("\n\n", "\n\n")] or column(spark, ["a\r\r\r\nb"], T.normalize_newlines) == ["a\n\nb"]
+    """CR CR LF first, then CR LF, then CR, each all through the text."""
+    texts = ["a\r\r\r\nb", "a\r\r\nb", "\n\r\n\r", "a\r\r\r\r\nb"]
+    expected = []
+    for t in texts:
+        for end in ("\r\r\n", "\r\n", "\r"):
+            t = t.replace(end, "\n")
+        expected.append(t)
+    assert column(spark, texts, T.normalize_newlines) == expected == ["a\nb", "a\nb", "\n\n\n", "a\n\nb"]
 
 
 def test_marks_only_at_line_starts_and_in_order(spark):
