@@ -352,9 +352,10 @@ def chosen_words(counts: DataFrame, sample: DataFrame, ys: list[str], words: int
     strong = strong.withColumn("length", F.col("word").bitwiseAND(F.lit(RATE - 1)))
     same = Window.partitionBy("label", kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
     ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.desc("z"), "word")))
-    ranked = ranked.filter(F.col("rank") <= words).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("rank", F.desc("z"), "word")))
-    found = ranked.filter(F.col("place") <= ALL_WORDS).select("label", "word").collect()
-    return [np.sort(np.array([r["word"] for r in found if r["label"] == i], np.int64)) for i in range(len(ys))]
+    # At most ``words`` of each language and label.
+    found = ranked.filter(F.col("rank") <= words).select("label", "rank", "z", "word").collect()
+    best = [sorted((r["rank"], -r["z"], r["word"]) for r in found if r["label"] == i)[:ALL_WORDS] for i in range(len(ys))]
+    return [np.sort(np.array([w for *_, w in one], np.int64)) for one in best]
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
