@@ -64,7 +64,7 @@ HOT_LEAST = 64
 COMPARED = 0.02
 #: Shingles of the sets in a block, and sets in it, about.
 BLOCK_SHINGLES = 2_000_000
-BLOCK_SETS = 20_000
+BLOCK_SETS = 512
 #: Pairs in a part of a tile, about.
 TILE_PAIRS = 512
 #: Shingles of a hash range, about, where that makes more ranges than there are shuffle partitions.
