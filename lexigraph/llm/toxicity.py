@@ -273,7 +273,7 @@ def fitted(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, rows: int
         none = np.zeros((0, len(names)))
         return Chain(names, np.zeros(0, np.int64), [np.array([0.0] * (SHAPE + i) + [-30.0]) for i in range(len(names))], np.inf), {"doc_id": none[:, 0], "lang": none[:, 0], "labels": none, "margins": none}
     counts = saved(word_counts(sample, ys), "toxicity-words")
-    found = [chosen_words(counts.filter(F.col("fold") != f), sample.filter(F.col("fold") != f), ys, words, 1 - 1 / FOLDS) for f in range(FOLDS)] + [chosen_words(counts, sample, ys, words)]
+    found = chosen_words(counts, sample, ys, words)
     every = np.unique(np.concatenate([w for one in found for w in one]))
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,41 +321,44 @@ def word_counts(sample: DataFrame, ys: list[str]) -> DataFrame:
     return one.groupBy("fold", "lang", "word").agg(F.count("*").alias("n"), bit.alias("bits"), F.sum("row").alias("rows"), *sums)
 
 
-def chosen_words(counts: DataFrame, sample: DataFrame, ys: list[str], words: int, part: float = 1.0) -> list[np.ndarray]:
-    """For each label the words, ascending, whose sum over its rows is well above
+def chosen_words(counts: DataFrame, sample: DataFrame, ys: list[str], words: int) -> list[list[np.ndarray]]:
+    """For each fold that is left out, and at the end for none, for each label: the
+    words, ascending, whose sum over its rows is well above
     what the label's share in each language lets expect; in one language or over
-    all. Of words equal in all rows the longest is taken. ``part``: the share of
-    the sample that is given; what is asked of a word shrinks alike."""
+    all. Of words equal in all rows the longest is taken. What is asked of a word
+    shrinks with the share of the sample that is seen."""
     least, most = 1e-3, 1 - 1e-3
+    seen = lambda rows: rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).filter("model != fold")
+    part = F.when(F.col("model") == FOLDS, 1.0).otherwise(1 - 1 / FOLDS)
     shares = [F.greatest(F.lit(least), F.least(F.lit(most), F.avg(y))).alias(f"p_{y}") for y in ys]
-    base = sample.groupBy("lang").agg(*shares)
+    base = seen(sample.select("fold", "lang", *ys)).groupBy("model", "lang").agg(*shares)
     names = ["n", "rows", "v1", "v2", *(f"{c}_{y}" for c in "nv" for y in ys)]
-    own = counts.groupBy("lang", "word").agg(F.expr("bit_count(bit_or(bits))").alias("groups"), *(F.sum(c).alias(c) for c in names))
-    own = own.filter(F.greatest(*(F.col(f"n_{y}") for y in ys), F.lit(0.0)) > 0).join(base, "lang")
+    own = seen(counts).groupBy("model", "lang", "word").agg(F.expr("bit_count(bit_or(bits))").alias("groups"), *(F.sum(c).alias(c) for c in names))
+    own = own.filter(F.greatest(*(F.col(f"n_{y}") for y in ys), F.lit(0.0)) > 0).join(base, ["model", "lang"])
     kinds = []
     for label, y in enumerate(ys):
         for kind, first, second, name in ((0, F.col("n").cast("double"), F.col("n").cast("double"), "n"), (RATE, F.col("v1"), F.col("v2"), "v")):
-            p, seen = F.col(f"p_{y}"), F.col(f"{name}_{y}")
-            kinds.append(F.struct(F.lit(label).alias("label"), F.col("word").bitwiseOR(F.lit(kind)).alias("word"), F.round(first, 6).alias("first"), (seen - p * first).alias("o"), (p * (1 - p) * second).alias("e"), (p * first).alias("w")))
-    each = own.select("lang", "n", "groups", "rows", F.explode(F.array(*kinds)).alias("kind")).select("lang", "n", "groups", "rows", "kind.*")
+            p, held = F.col(f"p_{y}"), F.col(f"{name}_{y}")
+            kinds.append(F.struct(F.lit(label).alias("label"), F.col("word").bitwiseOR(F.lit(kind)).alias("word"), F.round(first, 6).alias("first"), (held - p * first).alias("o"), (p * (1 - p) * second).alias("e"), (p * first).alias("w")))
+    each = own.select("model", "lang", "n", "groups", "rows", F.explode(F.array(*kinds)).alias("kind")).select("model", "lang", "n", "groups", "rows", "kind.*")
     z = F.when((F.col("e") > 0) & (F.col("o") > 0), F.col("o") / F.sqrt("e")).otherwise(0.0)
     enough = (F.col("n") >= part * SUPPORT) & (F.col("groups") >= part * SUPPORT - 1)
     each = each.withColumn("z", F.when(enough, z).otherwise(0.0))
-    pooled = each.groupBy("label", "word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), *(F.sum(c).alias(c) for c in ("n", "groups", "rows", "first", "o", "e", "w")))
+    pooled = each.groupBy("model", "label", "word").agg(F.max_by("lang", F.struct("z", "n", "lang")).alias("lang"), F.max("z").alias("top"), *(F.sum(c).alias(c) for c in ("n", "groups", "rows", "first", "o", "e", "w")))
     n, k = F.col("n"), F.col("w") + F.col("o")
     rest = F.when(n - k > 1e-6, (n - k) * F.log((n - k) / (n - F.col("w")))).otherwise(0.0)
     bound = F.when(F.col("o") > 0, k * F.log(k / F.col("w")) + rest).otherwise(0.0)
     unlikely: Column = (F.col("word").bitwiseAND(F.lit(RATE)) == 0) & (bound >= part * SURPRISE)
-    strong = pooled.filter(enough).withColumn("z", F.greatest("top", z)).filter((F.col("z") >= part**0.5 * STRENGTH) | unlikely)
+    strong = pooled.filter(enough).withColumn("z", F.greatest("top", z)).filter((F.col("z") >= F.sqrt(part) * STRENGTH) | unlikely)
     # Equal in all rows: the same rows (by their hashes' sum) and the same sum of values.
     kind = F.col("word").bitwiseAND(F.lit(RATE))
     strong = strong.withColumn("length", F.col("word").bitwiseAND(F.lit(RATE - 1)))
-    same = Window.partitionBy("label", kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
-    ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("label", "lang").orderBy(F.desc("z"), "word")))
+    same = Window.partitionBy("model", "label", kind, "n", "rows", F.round("first", 5)).orderBy(F.desc("length"), "word")
+    ranked = strong.withColumn("twin", F.row_number().over(same)).filter("twin = 1").withColumn("rank", F.row_number().over(Window.partitionBy("model", "label", "lang").orderBy(F.desc("z"), "word")))
     # At most ``words`` of each language and label.
-    found = ranked.filter(F.col("rank") <= words).select("label", "rank", "z", "word").collect()
-    best = [sorted((r["rank"], -r["z"], r["word"]) for r in found if r["label"] == i)[:ALL_WORDS] for i in range(len(ys))]
-    return [np.sort(np.array([w for *_, w in one], np.int64)) for one in best]
+    found = ranked.filter(F.col("rank") <= words).select("model", "label", "rank", "z", "word").collect()
+    best = [[sorted((r["rank"], -r["z"], r["word"]) for r in found if (r["model"], r["label"]) == (m, i))[:ALL_WORDS] for i in range(len(ys))] for m in range(FOLDS + 1)]
+    return [[np.sort(np.array([w for *_, w in one], np.int64)) for one in model] for model in best]
 
 
 def score(docs: DataFrame, chain: Chain, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
