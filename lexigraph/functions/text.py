@@ -24,6 +24,7 @@ START_MARK = r"(?imd)^\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG.*?\*\*\*"
 END_MARK = r"(?imd)^\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG.*?\*\*\*"
 #: What str.strip and str.split count as white space.
 WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE_CHARACTERS = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Texts made of these need no normal form, and fold by lower() and two rules.
 EASY = r"^[\x00-\x{FF}\x{2010}-\x{2027}]*$"
 EXCERPT = 650
@@ -37,7 +38,7 @@ def normalize_newlines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+\\z", "")
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
 
 
 @F.pandas_udf(StringType())
@@ -87,8 +88,11 @@ def digest(content: Column) -> Column:
 
 
 def excerpt(content: Column, size: int = EXCERPT) -> Column:
-    """The first characters with white space collapsed."""
-    return F.substring(strip(F.regexp_replace(content, f"[{WHITE}]+", " ")), 1, size)
+    """The first characters with white space collapsed. A beginning of the text
+    is enough where that gives more than is asked for."""
+    collapsed = lambda text: strip(F.regexp_replace(text, f"[{WHITE}]+", " "))
+    head = collapsed(F.substring(content, 1, 4 * size))
+    return F.substring(F.when(F.length(head) > size, head).otherwise(collapsed(content)), 1, size)
 
 
 def fold_query(text: str) -> str:

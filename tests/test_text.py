@@ -66,6 +66,16 @@ def test_excerpt_counts_characters(spark):
     assert column(spark, ["  a \n\t b c " + "é" * 700], T.excerpt) == ["a b c " + "é" * 644]
 
 
+def test_excerpt_of_much_white_space(spark):
+    texts = ["a" + " " * 3000 + "b " * 900, "x " * 2000, " \n" * 5000 + "end", "w" * 649 + " " * 2600 + "z"]
+    assert column(spark, texts, T.excerpt) == [" ".join(t.split())[:650] for t in texts]
+
+
+def test_strip_equals_pythons(spark):
+    texts = [c + " a" + c + "b" + c for c in T.WHITE_CHARACTERS] + ["\u200b a", "", "  "]
+    assert column(spark, texts, T.strip) == [t.strip() for t in texts]
+
+
 def test_html_and_size(spark):
     texts = [" \n<!DOCTYPE html><p>", "<HTML>", "text <html>", ""]
     assert column(spark, texts, T.is_html) == [True, True, False, False]
