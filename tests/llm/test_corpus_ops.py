@@ -559,3 +559,59 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen[3]) == set(seen[2]) and "[SECRET]" in seen[3][24] and "abcdef123" not in seen[3][24]
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert packed == set(seen[3])
+
+
+def brute_pipeline(rows, flagged, items):
+    """(doc_id, text) rows after the first four stages, given what is toxic:
+    one row of each component, no row with a benchmark window, base secrets marked."""
+    rows = [r for r in rows if r[1] not in flagged]
+    component = {}
+    for (d, _, least), r in zip(brute_join([(i, r[1]) for i, r in enumerate(rows)]), rows):
+        component.setdefault(least, []).append(r)
+    kept = []
+    for group in component.values():
+        with_words = [r for r in group if (r[1] or "").split()]
+        kept += [min(with_words, key=lambda r: (r[0] is None, r[0] or 0, r[1]))] if with_words else group
+    windows = [re.findall("[a-z0-9]+", t.lower()) for t in items]
+    windows = {tuple(w[i : i + 10]) for w in windows for i in range(len(w) - 9)}
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    kept = [r for r in kept if not any(tuple(words(r[1])[i : i + 10]) in windows for i in range(len(words(r[1]))))]
+    out = []
+    for d, t in kept:
+        for s, _, e in reversed(base_spans(t or "")):
+            t = t[:s] + "[SECRET]" + t[e:]
+        out.append((d, t))
+    return sorted(out, key=str)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not there")
+def test_pipeline_on_odd_rows_equals_brute_force(spark, tmp_path):
+    """Repeated and missing doc_ids, two texts of one doc_id, nulls, and columns
+    named like the stages' own; and an empty table."""
+    import corpus_pipeline
+
+    draw = random.Random(23)
+    new = lambda n: " ".join("w%d" % draw.randrange(3000) for _ in range(n))
+    item, secret, twin = new(14), new(20) + " password=abcdef123", new(30)
+    rows = [(i, new(draw.randrange(12, 50)) + (" scum moron" if i % 7 == 1 else "")) for i in range(300)]
+    rows += [(3, rows[40][1]), (None, new(20)), (None, twin), (None, twin), (900, twin), (900, twin), (901, twin + " more"), (902, item + " x"), (902, secret), (903, secret.upper()), (None, None), (904, None), (905, ""), (905, "")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, key string, spans string, toxic string, print string, label string"
+    table = spark.createDataFrame([(d, t, "en", "s", 1, "k", "own", "t", "p", "l") for d, t in rows], columns)
+    table.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 7 == 1)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("q1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs_ = stage(spark, docs_, str(tmp_path))
+        assert docs_.columns == table.columns
+        docs_.write.parquet(f"{tmp_path}/stage{k}")
+        docs_ = spark.read.parquet(f"{tmp_path}/stage{k}")
+    found = docs_.collect()
+    flagged = {t for i, t in rows[:300] if i % 7 == 1}
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == brute_pipeline(rows, flagged, [item])
+    assert {(r["key"], r["spans"], r["toxic"], r["print"], r["label"]) for r in found} == {("k", "own", "t", "p", "l")}
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in packed.select("doc_id").collect()) == sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in found)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").filter("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -212,6 +212,42 @@ def test_ogg_checksum():
         assert media.ogg_crc(data) == slow(data)
 
 
+def slow_feature(payload, said):
+    """The feature's figures, sample by sample; pages and packets as said."""
+    levels = [b - 128 for b in payload]
+    bins = collections.Counter(b // 16 for b in payload)
+    crossings = sum((a >= 0) != (b >= 0) for a, b in zip(levels, levels[1:]))
+    counted = re.match(r"[^;]*;(pages=\d+;packets=\d+);", said)[1]
+    assert counted.endswith(f"packets={-(-len(payload) // 4096)}")
+    return f"s={len(payload) / 8000:.6f};{counted};marks={-(-len(payload) // 8000)};sum={sum(levels)};power={sum(x * x for x in levels)};zc={crossings};h=" + ".".join(str(bins[i]) for i in range(16))
+
+
+def slow_ogg(data):
+    """The samples of the first logical stream, page by page by the format's book."""
+    at, serial, packet, packets = 0, None, b"", []
+    while at < len(data):
+        assert data[at : at + 4] == b"OggS" and data[at + 4] == 0
+        own = int.from_bytes(data[at + 14 : at + 18], "little")
+        serial = own if serial is None else serial
+        laces = data[at + 27 : at + 27 + data[at + 26]]
+        end = at + 27 + len(laces) + sum(laces)
+        crc = 0
+        for b in data[at : at + 22] + bytes(4) + data[at + 26 : end]:
+            crc ^= b << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        assert crc == int.from_bytes(data[at + 22 : at + 26], "little")
+        body = at + 27 + len(laces)
+        for lace in laces if own == serial else ():
+            packet += data[body : body + lace]
+            body += lace
+            if lace < 255:
+                packets.append(packet)
+                packet = b""
+        at = end
+    return b"".join(packets[1:])
+
+
 def test_media(spark):
     texts = [*TEXTS, "z" * 70_000, "é" * 200_000, "y" * 64, "y" * 255, "y" * 4096 * 17]
     stored = media.encode_media(docs(spark, texts))
@@ -221,7 +257,16 @@ def test_media(spark):
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = out[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert f"s={len(payload) / 8000:.6f};" in r["feature"]
+        assert r["feature"] == slow_feature(payload, r["feature"])
+    cells = {r["doc_id"]: bytes(r["media"]) for r in stored.collect()}
+    for i, r in out.items():
+        assert (r["media_bytes"], r["media_sha256"]) == (len(cells[i]), hashlib.sha256(cells[i]).hexdigest())
+    for i in (0, 3, 7, len(texts) - 1):  # read by a reader of its own
+        raw = (texts[i] or "").encode()
+        assert slow_ogg(cells[i]) == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+    twice = spark.createDataFrame([(1, "same", "mine", "x"), (1, "same", "mine", "y"), (None, "same", None, "z")], "doc_id long, text string, feature string, media string")
+    found = media.describe_media(media.encode_media(twice)).collect()
+    assert len(found) == 3 and len({tuple(r)[1:] for r in found}) == 1 and sorted(str(r["doc_id"]) for r in found) == ["1", "1", "None"]
     assert media.describe_media(stored.filter("false")).count() == 0
 
 
