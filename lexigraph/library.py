@@ -150,8 +150,9 @@ class Library:
         self.spark.addTag(tag)
         late.start()
         try:
-            shown, term_count = search.term_list(t["terms"], asked) if mode == "regex" else ([asked.keyword()], 1)
-            found = search.hits(t["postings"], t["terms"], asked, t["scores"] if self.store.graph(at) else None)
+            words, term_count = search.term_list(t["terms"], asked) if mode == "regex" else ([asked.keyword()], 1)
+            shown, named = words[: search.SHOWN_TERMS], words if len(words) == term_count else None
+            found = search.hits(t["postings"], t["terms"], asked, t["scores"] if self.store.graph(at) else None, named)
             total, results = search.first_page(found, t["books"], asked)
             if not total and mode == "keyword":
                 shown, term_count = [], 0

@@ -15,6 +15,8 @@ from .index import occurrences
 SEEDS = 3
 RECOMMENDED = 6
 SHOWN_TERMS = 30
+#: Matched words that are asked for by name; more are joined.
+NAMED_TERMS = 500
 
 
 @dataclass(frozen=True)
@@ -63,11 +65,14 @@ def matched_terms(terms: DataFrame, query: Query) -> DataFrame:
     return found.filter(pattern.matches(word)).select("word")
 
 
-def hits(index: DataFrame, terms: DataFrame, query: Query, scores: DataFrame | None) -> DataFrame:
+def hits(index: DataFrame, terms: DataFrame, query: Query, scores: DataFrame | None, words: list[str] | None = None) -> DataFrame:
     """book_id, occurrences and pagerank (0 if unknown) of every match. A
-    keyword is compared with the postings themselves, without the vocabulary."""
+    keyword is compared with the postings themselves, without the vocabulary,
+    and so are a pattern's ``words``, where the caller has them all."""
     if query.mode == "keyword":
         found = index.filter(F.col("word") == query.keyword()).groupBy("book_id").agg(F.sum("count").alias("occurrences"))
+    elif words is not None:
+        found = index.filter(F.col("word").isin(words)).groupBy("book_id").agg(F.sum("count").alias("occurrences"))
     else:
         found = occurrences(index, matched_terms(terms, query))
     if scores is None:
@@ -91,9 +96,10 @@ def page_of(found: DataFrame, books: DataFrame, query: Query) -> DataFrame:
 
 
 def term_list(terms: DataFrame, query: Query) -> tuple[list[str], int]:
-    """The first matched words and the number of all, in one job."""
+    """The first matched words (all, if there are no more than NAMED_TERMS) and
+    the number of all, in one job."""
     seen = Observation()
-    words = matched_terms(terms, query).observe(seen, F.count(F.lit(1)).alias("n")).orderBy("word").limit(SHOWN_TERMS).collect()
+    words = matched_terms(terms, query).observe(seen, F.count(F.lit(1)).alias("n")).orderBy("word").limit(NAMED_TERMS).collect()
     return [r["word"] for r in words], seen.get["n"]
 
 

@@ -102,6 +102,16 @@ def test_patterns_equal_a_scan(library, pattern):
     assert out["matched_terms"] == words[:30] and out["matched_term_count"] == len(words)
 
 
+def test_many_matched_words_are_joined(library, monkeypatch):
+    monkeypatch.setattr("lexigraph.operators.search.NAMED_TERMS", 3)
+    monkeypatch.setattr("lexigraph.operators.search.SHOWN_TERMS", 2)
+    for pattern in ("[a-f].*", "bread|soup"):
+        out = library.search(pattern, mode="regex", ranking="frequency")
+        assert [(r["id"], r["occurrences"]) for r in out["results"]] == brute_search(pattern, "frequency")
+        words = sorted({w for t in SHELF.values() for w in t.split() if re.fullmatch(pattern, w)})
+        assert out["matched_terms"] == words[:2] and out["matched_term_count"] == len(words)
+
+
 def test_recommendations(library):
     for word in ("bread", "onion", "violin"):
         out = library.search(word, ranking="frequency")
