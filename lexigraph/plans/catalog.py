@@ -222,7 +222,7 @@ def duplicate_groups(spark, sf_dir):
     return rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
-@query("select doc_id as id, 'doc ' || doc_id as title, coalesce(nullif(source, ''), 'Unknown') as author, lang as language, 'https://www.gutenberg.org/ebooks/' || doc_id as source, 'https://www.gutenberg.org/files/' || doc_id || '/pg' || doc_id || '.txt' as download_url from documents")
+@query("select doc_id as id, 'doc ' || doc_id as title, coalesce(nullif(source, ''), 'Unknown') as author, lang as language, 'https://www.gutenberg.org/ebooks/' || doc_id as source, 'https://mirror.cs.odu.edu/gutenberg-epub/' || doc_id || '/pg' || doc_id || '.txt' as download_url from documents")
 def catalog_books(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Text#"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("Title"), F.col("source").alias("Authors"), F.col("lang").alias("Language"), F.lit("Text").alias("Type"))
     return files.catalog_books(rows)
