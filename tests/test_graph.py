@@ -106,3 +106,40 @@ def test_connectivity_below_the_stored_threshold_is_computed_anew(spark):
     assert out == {0.1: 2, 0.4: 1}
     with pytest.raises(ValueError):
         graph.connectivity(nodes(spark, [1, 2, 3, 4]), stored, (0.1,), stored=0.4)
+
+
+def clustered(spark):
+    """A large and a small crowd that share no word, pairs and a chain that reach one of them only at
+    their ends, books alone, and the edges by counting."""
+    draw = np.random.default_rng(77)
+    bags = {i: {f"w{int(i % 5 == 0)}x{w}": int(draw.integers(1, 3)) for w in draw.choice(12, 6, replace=False)} for i in range(100, 180)}
+    bags |= {1: {"p": 1}, 2: {"p": 1, "q": 9}, 3: {"q": 9, "r": 2}, 4: {"r": 2, "w0x0": 1}, 50: {"solo": 3}, 51: {"far": 1, "r": 40}, 60: {"m": 2}, 61: {"m": 2}}
+    index = spark.createDataFrame([(w, i, c) for i, bag in bags.items() for w, c in bag.items()], "word string, book_id long, count long")
+    met = {(a, b): [(x[w], y[w]) for w in x.keys() & y.keys()] for a, x in bags.items() for b, y in bags.items() if a < b}
+    near = {k: sum(map(min, v)) / sum(map(max, v)) for k, v in met.items() if v}
+    return [*bags, 999], index, {k: v for k, v in near.items() if v > 0.5}
+
+
+@pytest.mark.parametrize("probes", [1, 4, 1000])
+def test_components_and_isolated_books_without_all_edges(spark, monkeypatch, probes):
+    ids, index, near = clustered(spark)
+    if probes == 4:
+
+        def refused(*_):
+            raise AssertionError("All pairs were compared.")
+
+        monkeypatch.setattr(graph, "overlaps", refused)
+    label = {i: i for i in ids}
+    for _ in ids:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r["id"]: r["component"] for r in graph.joined_components(nodes(spark, ids), index, 0.5, probes).collect()} == label
+    assert {r["id"] for r in graph.isolated(nodes(spark, ids), index, 0.5, probes).collect()} == set(ids) - {i for pair in near for i in pair}
+
+
+def test_edges_of_some_books(spark):
+    _, index, near = clustered(spark)
+    own, others = {1, 3, 100, 101, 102}, {2, 4, 50, 100, 102, 130}
+    told = lambda rows: {(r["a"], r["b"]): r["similarity"] for r in rows.collect()}
+    assert told(graph.edges_between(index, nodes(spark, own))) == {k: v for k, v in near.items() if own & set(k)}
+    assert told(graph.edges_between(index, nodes(spark, own), nodes(spark, others))) == {k: v for k, v in near.items() if k[0] in own and k[1] in others or k[1] in own and k[0] in others}
