@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigraph.operators import graph
 
@@ -143,3 +144,15 @@ def test_edges_of_some_books(spark):
     told = lambda rows: {(r["a"], r["b"]): r["similarity"] for r in rows.collect()}
     assert told(graph.edges_between(index, nodes(spark, own))) == {k: v for k, v in near.items() if own & set(k)}
     assert told(graph.edges_between(index, nodes(spark, own), nodes(spark, others))) == {k: v for k, v in near.items() if k[0] in own and k[1] in others or k[1] in own and k[0] in others}
+
+
+def test_recommendations_need_only_the_seeds_edges(spark):
+    from lexigraph.operators import search
+
+    _, index, near = clustered(spark)
+    ids = sorted({r["book_id"] for r in index.select("book_id").collect()})
+    books = spark.createDataFrame([(i, f"t{i}", "a", "s", 1) for i in ids], "id long, title string, author string, source string, words long")
+    found = index.filter("word = 'w0x0'").select("book_id", F.col("count").alias("occurrences"), F.lit(0.0).alias("pagerank"))
+    own = graph.edges_between(index, search.seeds(found, "frequency").select(F.col("book_id").alias("id")))
+    told = lambda links: [tuple(r) for r in search.recommendations(found, links, books, "frequency").orderBy("place").collect()]
+    assert own.count() < len(near) and told(own) == told(graph.edges(index)) != []
