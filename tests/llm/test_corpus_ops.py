@@ -133,6 +133,36 @@ def test_reported_runs_are_controlled(spark):
     assert secret_scan.secret_report(docs(spark, alone)).filter("spans != ''").count() == 0
 
 
+def test_ordinary_runs_are_made_of_all_words(spark):
+    """Every word of a long text, not of a part of it, so one text is enough to tell keys from it."""
+    draw = random.Random(12)
+    texts = [None, "", "a b", "é" * 50, "x" * 25, "y" * 25 + " end", prose(draw, 9) + " " + "Q" * 30 + "\n" + prose(draw, 700), " ".join("abcde" for _ in range(900))]
+    rows = docs(spark, texts)
+    for r in rows.select("text", secret_scan.stretches(F.coalesce("text", F.lit(""))).alias("s")).collect():
+        assert " ".join(r["s"]).split() == [w for w in re.findall("[A-Za-z0-9]+", r["text"] or "") if len(w) < 20]
+    runs = [r["token"].lower() for r in secret_scan.ordinary_runs(rows.filter("doc_id = 7")).collect()]
+    assert sum(t.count(c) for t in runs for c in "abcde") == 4500 and min(map(len, runs)) >= 20
+    keys = ["".join(draw.choice(LETTERS) for _ in range(40)) for _ in range(20)]
+    text = " ".join(f"{prose(draw, 300)} see {k} here" for k in keys)
+    spans = secret_scan.secret_report(docs(spark, [text])).first()["spans"]
+    assert sum(f"random:{text.index(k)}:{text.index(k) + 40}" in spans for k in keys) >= 15
+
+
+def test_counts_up_to_the_cut_equal_the_whole_battery(spark):
+    draw = random.Random(13)
+    rows = docs(spark, [prose(draw, 200) for _ in range(40)] + [" ".join("".join(draw.choice(LETTERS) for _ in range(draw.randrange(1, 9))) for _ in range(200)) for _ in range(20)])
+    token = F.struct(F.lit(0).alias("start"), F.length("token").alias("end"), "token")
+    every = secret_scan.ordinary_runs(rows).select(F.explode(secret_scan.battery(F.array(token))).alias("x"))
+    every = collections.Counter((r[0], r[1]) for r in every.select(secret_scan.class_of(F.col("x")), secret_scan.p_bin(F.col("x.p"))).collect())
+    cuts = dict(enumerate(secret_scan.CUTS))
+    found = {(r["class"], r["bin"]): r["ordinary"] for r in secret_scan.ordinary_counts(rows, cuts).collect()}
+    assert sum(found.values()) == sum(every.values()) and any(b <= cuts[c] for c, b in every)
+    assert {k: v for k, v in found.items() if k[1] <= cuts[k[0]]} == {k: v for k, v in every.items() if k[1] <= cuts[k[0]]}
+    more = rows.unionAll(docs(spark, ["see " + "".join(draw.choice(LETTERS) for _ in range(40)) for _ in range(9)]))
+    levels = [secret_scan.span_levels(more, 0.01, cuts) for cuts in ((0,) * 9, (secret_scan.BINS - 1,) * 9)]
+    assert levels[0] == levels[1]
+
+
 def test_columns_named_like_results(spark):
     rows = spark.createDataFrame([(1, "password=hunter2", "mine", "own"), (1, "password=hunter2", "mine", "own"), (None, None, None, "own")], "doc_id long, text string, spans string, base_spans string")
     assert sorted(map(str, map(tuple, secret_scan.redact(rows).collect()))) == sorted(map(str, [(1, "[SECRET]", "mine", "own")] * 2 + [(None, None, None, "own")]))
