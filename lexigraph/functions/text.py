@@ -62,9 +62,9 @@ def compose(text: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Full case folding of the normal form C, apostrophes straight."""
-    easy = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "µ", "μ")
+    easy = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
     folded = F.coalesce(_folded(F.when(~is_easy(text), text)), easy)
-    return F.translate(folded, "’", "'")
+    return F.replace(folded, F.lit("’"), F.lit("'"))
 
 
 def _without_wrapper(text: Column) -> Column:
@@ -74,8 +74,10 @@ def _without_wrapper(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """The text of a book without its wrapper, in normal form C and stripped."""
-    return strip(compose(_without_wrapper(normalize_newlines(text))))
+    """The text of a book without its wrapper, in normal form C and stripped.
+    Texts without the stars of both marks are spared the search for them."""
+    lines = normalize_newlines(text)
+    return strip(compose(F.when(lines.contains("***"), _without_wrapper(lines)).otherwise(lines)))
 
 
 def tokens(text: Column) -> Column:

@@ -10,7 +10,8 @@ no join emits a row per pair and word and memory is bounded.
 
 Components and isolated books don't need every edge. ``joined_components`` and
 ``isolated`` compare all books with a few probes, those that this leaves open
-with more probes, and the last of them with every book.
+with more probes, and the last of them with every book; ``isolated`` does it
+where a book's bag is read, without a shuffle (``tiles.beside``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ SMALL_EDGES = 2_000_000
 PROBES, MORE_PROBES = 16, 8
 #: Ids and postings up to which a join broadcasts them.
 FEW_IDS, FEW_POSTINGS = 1_000_000, 500_000
+#: Books whose postings the driver may hold at once, to be compared with others.
+MOST_PROBES = 2048
 #: The similarity's name in a graph's metadata (fixed value).
 METRIC = "lecture3-weighted-shared"
 
@@ -125,18 +129,53 @@ def joined_components(nodes: DataFrame, index: DataFrame, threshold: float = 0.5
     return labels
 
 
-def isolated(nodes: DataFrame, index: DataFrame, threshold: float = 0.5, probes: int = PROBES) -> DataFrame:
-    """id of every node without an edge, from the postings: once a node has an
-    edge, its other ones don't matter."""
-    rest = nodes.select("id").distinct()
+def bags_of(index: DataFrame) -> DataFrame:
+    """A row for each book: book_id, words, counts."""
+    return index.groupBy("book_id").agg(F.collect_list(F.struct("word", "count")).alias("held")).select("book_id", F.col("held.word").alias("words"), F.col("held.count").alias("counts"))
 
-    def left_open(links: DataFrame) -> DataFrame:
-        nonlocal rest
-        rest = saved(rest.join(both_ways(links).select(F.col("src").alias("id")), "id", "left_anti"), "isolated")
-        return rest
 
-    by_turns(nodes, index, threshold, left_open, probes)
-    return rest
+def index_of(bags: DataFrame) -> DataFrame:
+    """word, book_id and count of every word of every bag."""
+    return bags.select("book_id", F.explode(F.arrays_zip("words", "counts")).alias("held")).select(F.col("held.words").alias("word"), "book_id", F.col("held.counts").alias("count"))
+
+
+def own_bags(bags: DataFrame, ids: DataFrame) -> pa.Table:
+    """The bags of a few books, on the driver, in the order of their ids."""
+    return bags.join(F.broadcast(ids.select(F.col("id").alias("book_id"))), "book_id", "left_semi").select("book_id", "words", "counts").orderBy("book_id").toArrow()
+
+
+def edges_of(bags: DataFrame, ids: list[int], threshold: float = 0.5) -> DataFrame:
+    """``edges_between`` a few books, by id, and all, from a row for each book, written."""
+    check_threshold(threshold)
+    own = bags.filter(F.col("book_id").isin(ids)).select("book_id", "words", "counts").toArrow()
+    return saved(tiles.beside(bags, own, threshold), "edges")
+
+
+def isolated(nodes: DataFrame, index: DataFrame | None, threshold: float = 0.5, probes: int = PROBES * MORE_PROBES, bags: DataFrame | None = None) -> DataFrame:
+    """id of every node without an edge, from the postings, or from ``bags`` (see ``bags_of``): once a
+    node has an edge, its other ones don't matter. All books meet a few probes, those left
+    open more of them, until they are few themselves and meet all books; where more probes
+    don't help, all pairs are compared."""
+    check_threshold(threshold)
+    bags = saved(bags_of(index), "bags") if bags is None else bags
+    rest = saved(nodes.select("id").distinct(), "nodes")
+    n = count = rest.count()
+    ids, open_bags = rest, bags
+    while count > probes and 2 * probes < n and probes <= MOST_PROBES:
+        before, probe = count, ids.orderBy(F.xxhash64("id", F.lit(probes)), "id").limit(probes)
+        met = tiles.beside(open_bags, own_bags(bags, probe), threshold, True)
+        rest = saved(rest.join(met, "id", "left_anti"), "isolated")
+        count = rest.count()
+        open_bags = bags.join(few(rest.select(F.col("id").alias("book_id"))), "book_id", "left_semi")
+        probes *= MORE_PROBES
+        if 4 * count > 3 * before:
+            break
+    if count <= MOST_PROBES:
+        own = own_bags(bags, rest)
+        return saved(rest.join(tiles.beside(bags, own, threshold, True), "id", "left_anti"), "isolated") if own.num_rows else rest
+    index = index_of(bags) if index is None else index
+    links = edges(index, threshold) if 2 * count > n else edges_between(index, rest, None, threshold)
+    return saved(rest.join(both_ways(links).select(F.col("src").alias("id")), "id", "left_anti"), "isolated")
 
 
 def both_ways(links: DataFrame) -> DataFrame:

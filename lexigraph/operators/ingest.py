@@ -131,6 +131,40 @@ def word_counts(stage: DataFrame) -> DataFrame:
     return saved(words.mapInArrow(_counted, "turn long, word string, count long"), "counts")
 
 
+def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct words and their counts in place of its words."""
+    for batch in batches:
+        lists = batch.column("words")
+        coded = lists.flatten().dictionary_encode()
+        wide = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        key, count = np.unique(row * wide + coded.indices.to_numpy(), return_counts=True)
+        places = np.searchsorted(key, np.arange(len(lists) + 1) * wide).astype(np.int32)
+        words = coded.dictionary.take(pa.array(key % wide))
+        total = np.bincount(row, minlength=len(lists)).astype(np.int64)
+        made = {"words": pa.ListArray.from_arrays(places, words), "counts": pa.ListArray.from_arrays(places, pa.array(count.astype(np.int64))), "total": pa.array(total)}
+        names = [n for n in batch.schema.names if n != "words"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made.values()], names=[*names, *made])
+
+
+def bagged(rows: DataFrame) -> DataFrame:
+    """The rows (id, text and more) without their texts, one row for each, written once: turn (a number
+    of the row), digest, distinct words, their counts and total. Neither the texts are written
+    nor a row's words dealt out."""
+    content = T.clean_text(F.coalesce(F.col("text"), F.lit("")))
+    out = rows.withColumn("content", content).withColumn("turn", F.monotonically_increasing_id())
+    out = out.withColumn("digest", T.digest(F.col("content"))).withColumn("words", T.tokens(F.col("content"))).drop("text", "content")
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "words")
+    return saved(out.mapInArrow(_bagged, f"{others}, words array<string>, counts array<bigint>, total bigint"), "bagged")
+
+
+def first_copies(bags: DataFrame, min_words: int = 1) -> DataFrame:
+    """The rows of ``bagged`` that are books, by the rules of ``accepted``."""
+    found = bags.filter(F.col("total") >= min_words)
+    one = found.groupBy("id").agg(F.min(F.struct("digest", "turn")).alias("x"))
+    return found.join(one.groupBy("x.digest").agg(F.min(F.struct("id", "x.turn"))["turn"].alias("turn")).select("turn"), "turn")
+
+
 def refreshed_digests(books: DataFrame, texts: DataFrame) -> DataFrame:
     """Books with the digests of their present texts, where those are given."""
     fresh = texts.select("id", T.digest(T.clean_text(F.col("text"))).alias("fresh"))

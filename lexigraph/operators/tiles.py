@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,6 +239,52 @@ def similarity(least: np.ndarray, most: np.ndarray) -> np.ndarray:
         return np.divide(least, most, dtype=np.float64)
 
 
+def cell_of(words: pa.Array, counts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, known: pa.Array) -> Cell:
+    """Books whose words and counts stand one after the other, as a block of what they hold of the known words."""
+    code = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+    has = np.flatnonzero((code >= 0) & (counts > 0))
+    has = has[np.argsort(code[has], kind="stable")]  # rows are in order already
+    return Cell(-1, ids, code[has].astype(np.int32).tobytes() + row[has].tobytes() + counts[has].astype(np.int64).tobytes())
+
+
+def beside(bags: DataFrame, own: pa.Table, threshold: float, ends: bool = False) -> DataFrame:
+    """a < b and similarity of the edges from the few books ``own`` to all of ``bags`` (a row for each
+    book: book_id, words, counts), or with ``ends`` just the id of each book that has such an edge, now
+    and then more than once. A book meets ``own`` where it is read, so nothing is shuffled."""
+    own = own.combine_chunks()
+    words, lengths = own["words"].combine_chunks().flatten(), pc.list_value_length(own["words"]).to_numpy()
+    counts, ids, known = own["counts"].combine_chunks().flatten().to_numpy(), own["book_id"].to_numpy(), words.unique()
+    stop = np.append(0, np.cumsum(lengths))
+    cuts = range(0, len(ids), BLOCK)
+    parts = [(words[stop[s] : stop[e]], counts[stop[s] : stop[e]], lengths[s:e], ids[s:e]) for s in cuts for e in (min(s + BLOCK, len(ids)),)]
+    given = bags.sparkSession.sparkContext.broadcast((known, parts))
+    schema = "id long" if ends else "a long, b long, similarity double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts = given.value
+        asked = [cell_of(*part, known) for part in parts]
+        mine = np.sort(np.concatenate([x.ids for x in asked])) if asked else np.zeros(0, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(first, BLOCK)
+                lengths = pc.list_value_length(some["words"]).to_numpy()
+                b = cell_of(some["words"].flatten(), some["counts"].flatten().to_numpy(), lengths, some["book_id"].to_numpy(), known)
+                other = ~np.isin(b.ids, mine)
+                for a in asked:
+                    least, most, _ = sums(a, b)
+                    i, j = np.nonzero((similarity(least, most) > threshold) & (a.ids[:, None] != b.ids))
+                    if ends:
+                        yield pa.RecordBatch.from_pydict({"id": np.unique(np.concatenate([a.ids[i], b.ids[j]]))})
+                        continue
+                    once = other[j] | (a.ids[i] < b.ids[j])  # both are own: the pair comes twice
+                    i, j = i[once], j[once]
+                    x, y = a.ids[i], b.ids[j]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": similarity(least[i, j], most[i, j])})
+
+    return bags.filter("book_id is not null").select("book_id", "words", "counts").mapInArrow(run, schema)
+
+
 class Handler:
     """What is done with each tile, and at a task's end; both may return rows."""
 
